@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import freight, money, units
 from ..functions.freshness import SLA_HOURS
-from ..operators import estimate, facets, grounding, plausibility, pricing, ranking, reports, retrieval, surface
+from ..operators import estimate, facets, grounding, plausibility, pricing, quality, ranking, reports, retrieval, surface
 from ..sources import listings
 from ..streaming import events as streams
 from .offers import AS_OF, SQL, candidates, landed, offers, products, table, vendors
@@ -587,4 +587,22 @@ def indian_money(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", money.format_minor(F.col("p_partkey") % 99_999 * 100).alias("text"))
 
 
+@query("type_guide", _with("""select category, min(landed_minor)::bigint as low_minor, max(landed_minor)::bigint as high_minor, count(*)::bigint as n_offers, count(distinct vendor_id)::bigint as n_vendors,
+  list_sort(list(landed_minor))[1 + len(list(landed_minor)) // 2] as element_median from l group by category"""))
+def type_guide(spark, sf_dir):
+    return quality.type_guide(landed(candidates(spark, sf_dir)), "category", "landed_minor")
+
+
+@query("quality_rank", _with("""select product_id, category, quality_bp, row_number() over (partition by category order by quality_bp desc, product_id) as place from (
+  select product_id, category, floor((size / 50.0::double * 0.40::double + case when c > 0 then 1.0::double else 0.3::double end * 0.25::double + (brand <> 'Brand#1')::int * 0.15::double
+    + n::double / max(n) over (partition by category) * 0.20::double) * 10000 + 0.5)::bigint as quality_bp from (
+  select product_id, category, size, brand, count(distinct vendor_id) as n, count(*) filter (line_status = 'F') as c from o group by all))"""))
+def quality_rank(spark, sf_dir):
+    """Products by grade, certification, brand and breadth of supply; sizes and statuses stand in."""
+    own = candidates(spark, sf_dir).groupBy("product_id", "category", "size", "brand").agg(F.countDistinct("vendor_id").alias("n"), F.count_if(F.col("line_status") == "F").alias("c"))
+    most = F.max("n").over(Window.partitionBy("category"))
+    score = quality.quality(F.col("size") / 50, F.when(F.col("c") > 0, 1.0).otherwise(0.3), F.col("brand") != "Brand#1", F.col("n") / most)
+    return own.select("product_id", "category", score.alias("quality_bp")).withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("quality_bp"), "product_id")).cast("bigint"))
+
+
 _ = (units, SLA_HOURS)

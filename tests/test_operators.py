@@ -170,7 +170,7 @@ def test_upsert_and_diff(spark):
     assert got == {1: ("a", 9, 1), 2: ("b", 5, 1), 3: ("c", 7, 2)}
 
 
-def test_unknown_sort():
+def test_unknown_sort(spark):
     with pytest.raises(ValueError):
         ranking.sort_order("nearest")
 
@@ -201,3 +201,24 @@ def test_token_bucket_on_stream_equals_replay(spark, tmp_path):
     want = {r.event_id: r.allowed for r in streams.token_bucket(data).collect()}
     assert {r.event_id for r in spark.table("bucket").collect()} == set(want)
     assert 0 < sum(want.values()) < 120
+
+
+def test_search(spark):
+    from ratecard.operators.search import search
+    from ratecard.operators.surface import with_freshness
+
+    rows = with_freshness(landed(candidates(spark, SF)), L("2001-12-01"), L(24 * 900)).where("region = 'ASIA'").cache()
+    attributes = {"brand": F.col("brand")}
+    defs = {"size": (F.col("size"), ["1 – 10", "Over 30"])}
+    got = search(rows, "cement price", attributes, facet_defs=defs, selected={"size": ["1 – 10"]}, page_size=10)
+    assert got.query.category == "cement" and got.query.intent == "price"
+    shown = got.results.collect()
+    assert [r.position for r in shown] == sorted(r.position for r in shown) and len({r.product_id for r in shown}) == len(shown)
+    products = rows.where("category = 'cement' and size between 1 and 10").select("product_id").distinct().count()
+    assert len(shown) == min(10, products)
+    assert {r.value: r.n for r in got.facet_counts.collect()}["1 – 10"] == products
+    cheap = search(rows, "cement", attributes, sort="price_low").results.first()
+    assert cheap.landed_minor == rows.where("category = 'cement' and quotable").agg(F.min("landed_minor")).first()[0]
+    assert search(rows, "cement brand#1", attributes, brands=["Brand#1"]).constraints == {"brand": "brand#1"}
+    assert search(rows, "nothing such", attributes).weak_match
+    rows.unpersist()
