@@ -22,9 +22,13 @@ threshold, down to connected components. The steps:
    tokens within that reach are indexed.
 4. *Candidates.* Classes under one index key whose sizes allow the threshold are
    paired, for keys of up to ``group`` classes. Keys with more are handled in two
-   rounds: first every class against the key's first one, then, after components
-   are known, all pairs of classes that still are in different components.
-5. *Verification* on the full shingle sets, and components.
+   rounds: first every class against the key's most central one (the one with the
+   fewest rare tokens). Then, after components are known, classes that keys of
+   this kind connect form clusters, and clusters of several components are
+   compared in blocks of two times ``CHUNK`` classes, by counting common tokens;
+   no pair is written but those that join two components.
+5. *Verification* on the full shingle sets, of pairs whose sketches (parities of
+   hashed cells, a bound from below on what they differ in) allow it; components.
 
 Every pair at or above the threshold is either verified or lies inside a
 component already, so components are exact; 64-bit hashes stand for shingles.
@@ -55,6 +59,8 @@ REACH = 8
 #: Keys that are dealt to tasks: as many at any size up to that of the input.
 LEAST_BUCKETS = 64
 _CHUNK = 512
+#: Classes in a chunk of a cluster; every two chunks meet in a task.
+CHUNK = 256
 
 
 def need(n: int, threshold: Fraction) -> int:
@@ -86,16 +92,20 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return first - ((first >> 63) << 64), second - ((second >> 63) << 64)
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each of 1024 cells, as 16 words."""
+    return np.packbits((np.bincount((tokens >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit signature of the set."""
+    """doc_id, n_shingles, a 128-bit signature and a sketch of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            sets = [(len(s), *_signature(s)) for s in shingle_sets(texts, words)]
-            n, a, b = zip(*sets)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "n_shingles", "sig1", "sig2"])
+            n, a, b, sketches = zip(*((len(s), *_signature(s), _sketch(s)) for s in shingle_sets(texts, words)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig1", "sig2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, sketch array<bigint>")
 
 
 def _short(tokens: np.ndarray) -> np.ndarray:
@@ -265,23 +275,23 @@ def _pairs_of_keys(packed: DataFrame, group: int, threshold: Fraction) -> DataFr
 
 
 def _combinations(docs: DataFrame, shipped, threshold: Fraction, words: int) -> DataFrame:
-    """(key, a, n): the combination index of heavy sets."""
+    """(key, a, n, rare): the combination index of heavy sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
-            rows: dict[int, tuple[np.ndarray, int]] = {}
+            rows: dict[int, tuple[np.ndarray, int, int]] = {}
             for s in shingle_sets(texts, words):
                 keys = prefix_keys(s, shipped.value, threshold, True)
                 if len(keys):
-                    rows[_signature(s)[0]] = keys, len(s)
+                    rows[_signature(s)[0]] = keys, len(s), int(len(s) - np.isin(_short(s), shipped.value[0]).sum())
             if rows:
-                lens = [len(k) for k, _ in rows.values()]
+                lens = [len(r[0]) for r in rows.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([k for k, _ in rows.values()]).view(np.int64)), pa.array(np.repeat(np.array(list(rows), np.int64), lens)), pa.array(np.repeat(np.array([n for _, n in rows.values()], np.int64), lens))],
-                    names=["key", "a", "n"],
+                    [pa.array(np.concatenate([r[0] for r in rows.values()]).view(np.int64)), *(pa.array(np.repeat(np.array(c, np.int64), lens)) for c in (list(rows), [r[1] for r in rows.values()], [r[2] for r in rows.values()]))],
+                    names=["key", "a", "n", "rare"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, a bigint, n bigint").distinct()
+    return docs.mapInArrow(run, "key bigint, a bigint, n bigint, rare bigint").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: Fraction, words: int) -> DataFrame:
@@ -305,6 +315,58 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: Fraction, words: int
     return rows.select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
 
 
+def _joined_in_cluster(key, part):
+    """Links between components of two chunks of a cluster: enough to join what is joined."""
+    import pandas as pd
+
+    threshold, words = Fraction(int(part["num"].iloc[0]), int(part["den"].iloc[0])), int(part["words"].iloc[0])
+    part = part.sort_values("id")
+    ids, chunk, component = (part[c].to_numpy() for c in ("id", "chunk", "component"))
+    sets = list(shingle_sets(part["text"].tolist(), words))
+    n = np.array([len(s) for s in sets], np.int64)
+    tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    size = np.diff(np.concatenate([first, [len(tokens)]]))
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    wide = np.flatnonzero(size >= 16)
+    for a in range(0, len(wide), 2048):  # tokens of many sets: as products of bit matrices
+        held = np.zeros((len(sets), min(2048, len(wide) - a)), np.float32)
+        for j, w in enumerate(wide[a : a + 2048]):
+            held[row[first[w] : first[w] + size[w]], j] = 1
+        common += (held @ held.T).astype(np.int64)
+    few, of = size < 16, np.repeat(np.arange(len(size)), size)
+    for d in range(1, 15):  # tokens of few sets: their pairs
+        at = np.flatnonzero((of[:-d] == of[d:]) & few[of[:-d]])
+        np.add.at(common, (row[at], row[at + d]), 1)
+        np.add.at(common, (row[at + d], row[at]), 1)
+    hit = threshold.denominator * common >= threshold.numerator * (n[:, None] + n[None, :] - common)
+    hit &= component[:, None] != component[None, :]
+    if key[1] != key[2]:
+        hit &= chunk[:, None] != chunk[None, :]
+    i, j = np.nonzero(np.triu(hit, 1))
+    u, v = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+    pairs = np.unique(np.stack([u, v], 1), axis=0)  # components are named by a member each
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _cluster_links(docs: DataFrame, hot: DataFrame, ids: DataFrame, near: DataFrame, threshold: Fraction, words: int) -> DataFrame:
+    """(u, v): links that join components of classes under keys too large to pair."""
+    named = hot.select(F.col("a").alias("sig1"), F.col("first").alias("sig2")).distinct().join(ids, "sig1").join(ids.toDF("sig2", "first_id"), "sig2")
+    edges = named.select(F.col("class_id").alias("u"), F.col("first_id").alias("v"))
+    cluster = connected_components(edges).toDF("id", "cluster")
+    member = cluster.join(near.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = member.groupBy("cluster").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    member = member.join(mixed.select("cluster", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "cluster")
+    member = saved(member.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")), "members")
+    texts = docs.toDF("id", "text").join(member.select("id"), "id").dropDuplicates(["id"])
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("a"), F.greatest("chunk", c).alias("b")))
+    dealt = member.join(texts, "id").select("cluster", F.explode(meets).alias("meet"), "chunk", "id", "component", "text")
+    fixed = [F.lit(x).alias(c) for c, x in (("num", threshold.numerator), ("den", threshold.denominator), ("words", words))]
+    return dealt.select("cluster", "meet.a", "meet.b", "chunk", "id", "component", "text", *fixed).groupBy("cluster", "a", "b").applyInPandas(_joined_in_cluster, "u bigint, v bigint")
+
+
 def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: int = 5, group: int = 32, most_frequent: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, copies, kept for ``docs`` (doc_id, text).
 
@@ -314,49 +376,44 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: i
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     prints = saved(fingerprints(docs, words), "prints")
-    classes = saved(prints.where("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    classes = saved(prints.where("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "classes")
 
     shipped = spark.sparkContext.broadcast(frequent_tokens(docs, group, most_frequent, words))
     singles = saved(_pairs_of_keys(_postings(docs, shipped, threshold, words), group, threshold), "pairs")
     index = saved(_combinations(docs, shipped, threshold, words), "combinations")
-    sizes = saved(index.groupBy("key").agg(F.count("*").alias("size"), F.min_by("a", F.struct("n", "a")).alias("first"), F.min("n").alias("first_n")).where("size > 1"), "keys")
+    sizes = saved(index.groupBy("key").agg(F.count("*").alias("size"), F.min_by("a", F.struct("rare", "n", "a")).alias("first")).where("size > 1"), "keys")
     small = index.join(sizes.where(F.col("size") <= group).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias("own")).select("own").distinct()
     ratio = f"least(x.n, y.n) * {threshold.denominator}L >= greatest(x.n, y.n) * {threshold.numerator}L"
     paired = small.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y")).where("x.a < y.a").where(ratio).selectExpr("x.a as a", "y.a as b")
     hot = index.join(sizes.where(F.col("size") > group), "key").select("key", "a", "n", "first")
-    hot = hot.unionByName(singles.where("key is not null").select("key", "a", F.col("b").alias("n"), F.min("a").over(_by_key()).alias("first")))
+    large = singles.where("key is not null").select("key", "a", F.col("b").alias("n"))  # only if the limit of frequent tokens moved
+    hot = hot.unionByName(large.join(large.groupBy("key").agg(F.min("a").alias("first")), "key").select("key", "a", "n", "first"))
     hot = saved(hot, "hot")
     pairs = singles.where("key is null").select("a", "b").unionByName(paired).unionByName(hot.where("a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b"))).distinct()
 
     ids = classes.select("sig1", "class_id")
-    first = saved(_named(pairs, ids), "candidates")
+    first = saved(_named(pairs, classes, threshold), "candidates")
     edges = saved(_verified(docs, first, threshold, words), "links")
     if not hot.isEmpty():
-        near = connected_components(edges)
-        member = hot.select("key", F.col("a").alias("sig1"), "n").join(ids, "sig1").join(near.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-        member = saved(member.select("key", "n", "class_id", F.coalesce("component", "class_id").alias("component")), "members")
-        mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        member = member.join(mixed, "key")
-        x, y = member.select("key", *(F.col(c).alias(f"{c}_x") for c in member.columns if c != "key")), member.select("key", *(F.col(c).alias(f"{c}_y") for c in member.columns if c != "key"))
-        late = x.join(y, "key").where(f"class_id_x < class_id_y and component_x <> component_y and {ratio.replace('x.n', 'n_x').replace('y.n', 'n_y')}")
-        late = late.select(F.col("class_id_x").alias("u"), F.col("class_id_y").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-        edges = edges.unionByName(saved(_verified(docs, saved(late, "late"), threshold, words), "links"))
+        edges = edges.unionByName(saved(_cluster_links(docs, hot, ids, connected_components(edges), threshold, words), "links"))
     labels = connected_components(edges)
-    out = prints.join(classes, ["n_shingles", "sig1", "sig2"], "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = prints.drop("sketch").join(classes.drop("sketch"), ["n_shingles", "sig1", "sig2"], "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _by_key():
-    from pyspark.sql import Window
+def _named(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of signatures as pairs of class ids, the smaller one first.
 
-    return Window.partitionBy("key")
-
-
-def _named(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pairs of signatures as pairs of class ids, the smaller one first."""
-    named = pairs.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b")
-    return named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    Left out: pairs whose sketches show that they differ in too many tokens. A
+    sketch has the parity of the tokens in each of its cells, so two sets differ
+    in as many tokens at least as their sketches in bits.
+    """
+    side = lambda sig, i: classes.select(F.col("sig1").alias(sig), F.col("class_id").alias(f"id_{i}"), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"s_{i}"))
+    named = pairs.join(side("a", 1), "a").join(side("b", 2), "b").where("id_1 <> id_2")
+    bits = "aggregate(zip_with(s_1, s_2, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c)"
+    near = named.where(f"{bits} * {threshold.numerator + threshold.denominator}L <= (n_1 + n_2) * {threshold.denominator - threshold.numerator}L")
+    return near.select(F.least("id_1", "id_2").alias("u"), F.greatest("id_1", "id_2").alias("v")).distinct()
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
