@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import ID, WordEncoder, default_vocabulary
+from .tokens import ID, default_vocabulary, shared_encoder
 
 TIERS = (256, 512, 1024, 2048)
 PIECES = (
@@ -119,7 +119,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(vocabulary), np.array([end_id], ID).tobytes()
+        encoder, end = shared_encoder(vocabulary), np.array([end_id], ID).tobytes()
         base = TaskContext.get().partitionId() << 36
         made, steps, held = 0, 0, []  # held: (doc_id, ids from here on, ids before, all ids)
 
@@ -145,13 +145,14 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
         waiting = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder.encode(text) + end
-                held.append((doc_id, ids, 0, len(ids) // 4))
-                waiting += len(ids) // 4
-                if waiting >= group_tokens:
-                    yield from flush(last=False)
-                    waiting = 0
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode_many(piece.column("text").to_pylist())):
+                    held.append((doc_id, ids + end, 0, len(ids) // 4 + 1))
+                    waiting += len(ids) // 4 + 1
+                    if waiting >= group_tokens:
+                        yield from flush(last=False)
+                        waiting = 0
         yield from flush(last=True)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
-from .tokens import ID, WordEncoder, default_vocabulary
+from .tokens import ID, default_vocabulary, shared_encoder
 
 ENCODED = "doc_id bigint, part int, part_start bigint, n_tokens int, ids array<int>"
 DIGEST = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -42,12 +42,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, start = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, start = shared_encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], ID).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                ids = [encoder.encode(t) + end for t in piece.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
+                ids = [x + end for x in encoder.encode_many(piece.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 before = start + np.cumsum(n) - n
                 start += int(n.sum())

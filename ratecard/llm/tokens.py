@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -39,7 +40,7 @@ class WordEncoder:
     longer than ``longest``; forgetting changes no result.
     """
 
-    def __init__(self, path: str, most: int = 350_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,40 +51,77 @@ class WordEncoder:
         self.gap = self._ids(_SEPARATOR)
         if len(self.gap) != 1:
             raise ValueError(f"{path}: the separator is not one token")
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
 
-    def _learn(self, stretches: list[str]) -> None:
-        ids = self._ids(f" {_SEPARATOR} ".join(stretches))
-        ends = [*np.flatnonzero(ids == self.gap[0]).tolist(), len(ids)]
-        data, start = ids.tobytes(), 0
-        for stretch, end in zip(stretches, ends, strict=True):
-            self.young[stretch] = data[4 * start : 4 * end]
-            start = end + 1
+    def _cut(self, stretches: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> dict[str, bytes]:
+        """Each stretch with its ids, which stop at ``ends`` and are ``gap`` apart."""
+        data, start, out = ids.tobytes(), 0, {}
+        for stretch, end in zip(stretches, ends.tolist(), strict=True):
+            out[stretch] = data[4 * start : 4 * end]
+            start = end + gap
+        return out
+
+    def _learn(self, words: list[str], others: list[str]) -> dict[str, bytes]:
+        """Ask the library: once for words, which are one pre-token each and end
+        where an end-of-word id does, and once for other stretches."""
+        out: dict[str, bytes] = {}
+        if words:
+            ids = self._ids(" ".join(words))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words):
+                out = self._cut(words, ids, ends, 0)
+            else:
+                others = others + words
+        if others:
+            ids = self._ids(f" {_SEPARATOR} ".join(others))
+            out |= self._cut(others, ids, np.append(np.flatnonzero(ids == self.gap[0]), len(ids)), 1)
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text; null is empty."""
+        jobs: list[bytes | tuple[list[str], list[bytes | None]]] = []
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        known = self.young.get
+        for text in texts:
+            if not text:
+                jobs.append(b"")
+            elif _ODD.search(text):
+                jobs.append(self._ids(text).tobytes())
+            else:
+                if usual := not _UNUSUAL.search(text):
+                    text = text.lower()
+                    if not _RUN.search(text):
+                        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+                stretches = text.split()
+                out = list(map(known, stretches))
+                jobs.append((stretches, out))
+                if None in out:
+                    for w, x in zip(stretches, out):
+                        if x is None:
+                            (words if usual and w.isalpha() else others)[w] = None
+        fresh: dict[str, bytes] = {}
+        if words or others:
+            old = self.old
+            fresh = {w: old[w] for part in (words, others) for w in part if w in old}
+            fresh |= self._learn([w for w in words if w not in fresh], [w for w in others if w not in fresh and w not in words])
+        out = [job if isinstance(job, bytes) else b"".join([fresh[w] if x is None else x for w, x in zip(*job)] if None in job[1] else job[1]) for job in jobs]
+        if fresh:
+            self.young.update((w, x) for w, x in fresh.items() if len(w) <= self.longest)
+            if len(self.young) > self.most:
+                self.old, self.young = self.young, {}
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text; null is empty."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._ids(text).tobytes()
-        if not _UNUSUAL.search(text):
-            text = text.lower()
-            if not _RUN.search(text):
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        words = text.split()
-        out = list(map(self.young.get, words))
-        if None in out:
-            young, old = self.young, self.old
-            new = list(dict.fromkeys(w for w, x in zip(words, out) if x is None))
-            young.update((w, old[w]) for w in new if w in old)
-            if missing := [w for w in new if w not in young]:
-                self._learn(missing)
-            out = [young[w] if x is None else x for w, x in zip(words, out)]
-            for w in new:
-                if len(w) > self.longest:
-                    young.pop(w, None)
-            if len(young) > self.most:
-                self.old, self.young = young, {}
-        return b"".join(out)
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps its memory from task to task."""
+    return WordEncoder(path)
