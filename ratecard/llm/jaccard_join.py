@@ -93,8 +93,12 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the tokens in each of 1024 cells, as 16 words."""
-    return np.packbits((np.bincount((tokens >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+    """The parity of the tokens in each cell, as words; from 1024 cells on, a larger
+    set has four times as many, or again as many, so that they do not saturate."""
+    bits = 10
+    while len(tokens) > 1 << bits and bits < 18:
+        bits += 2
+    return np.packbits((np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -407,12 +411,13 @@ def _named(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFra
 
     Left out: pairs whose sketches show that they differ in too many tokens. A
     sketch has the parity of the tokens in each of its cells, so two sets differ
-    in as many tokens at least as their sketches in bits.
+    in as many tokens at least as their sketches in bits. Sketches of different
+    sizes are not compared.
     """
     side = lambda sig, i: classes.select(F.col("sig1").alias(sig), F.col("class_id").alias(f"id_{i}"), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"s_{i}"))
     named = pairs.join(side("a", 1), "a").join(side("b", 2), "b").where("id_1 <> id_2")
     bits = "aggregate(zip_with(s_1, s_2, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c)"
-    near = named.where(f"{bits} * {threshold.numerator + threshold.denominator}L <= (n_1 + n_2) * {threshold.denominator - threshold.numerator}L")
+    near = named.where(f"size(s_1) <> size(s_2) or {bits} * {threshold.numerator + threshold.denominator}L <= (n_1 + n_2) * {threshold.denominator - threshold.numerator}L")
     return near.select(F.least("id_1", "id_2").alias("u"), F.greatest("id_1", "id_2").alias("v")).distinct()
 
 
