@@ -15,8 +15,9 @@ distribution lambda solves sum p * exp(lambda * s) = 1, so a segment of score S
 in a document of n tokens has an expected number of chance equals of
 ``K * n * exp(-lambda * S)``. Segments below ``significant`` are toxic passages.
 The document's score is a logistic function of the best segment's and all
-passages' normalised scores, fitted on the two halves of the training rows, each
-scored with the other half's tokens.
+passages' normalised scores. Tokens are learnt from one half of the training rows,
+and lambda, the logistic weights and the bias (so that the threshold is where F1
+is best) from the other, which the tokens have not seen.
 
 The training rows are labelled rows with ``crc32(doc_id as text) mod 4 <> 2``;
 at most about ``sample`` of them, chosen by a hash of doc_id, are used: the
@@ -235,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
         counts = {u: (sum(c[2 * f + 1] for f in folds), sum(c[2 * f] for f in folds)) for u, c in table_}
         return token_scores(counts, max(1, sum(sizes.get((f, 1), 0) for f in folds)), max(1, sum(sizes.get((f, 0), 0) for f in folds)))
 
-    model.scores = scores((0, 1))
+    model.scores = scores((0,))
+    other = rows.where("fold = 1")  # what the model that is used has not seen
     crossed = spark.sparkContext.broadcast((scores((1,)), scores((0,))))
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(s, pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["toxic", "s", "n"])
 
     seen = {0: Counter(), 1: Counter()}
-    for r in rows.mapInArrow(tallies, "toxic int, s double, n bigint").groupBy("toxic", "s").agg(F.sum("n").alias("n")).collect():
+    for r in other.mapInArrow(tallies, "toxic int, s double, n bigint").groupBy("toxic", "s").agg(F.sum("n").alias("n")).collect():
         seen[r.toxic][r.s] += r.n
     all_toxic = max(1, sum(seen[1].values()))
     _background(model, seen[0], sum(c for s, c in seen[1].items() if s > 0) / all_toxic)
@@ -265,13 +267,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
                 yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*x))], names=["y", *(f"x{i}" for i in range(FEATURES))])
 
     # a row for each row of the bounded sample
-    got = rows.mapInArrow(features, "y int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toArrow()
+    got = other.mapInArrow(features, "y int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toArrow()
     y, x = np.asarray(got.column("y"), float), np.stack([np.asarray(got.column(f"x{i}")) for i in range(FEATURES)], 1)
     order = np.lexsort((*x.T, y))  # sums must not depend on the order of arrival
-    model.weights = tuple(logistic(x[order], y[order]))
+    if not 0 < y.sum() < len(y):
+        return model
+    model.weights = tuple(at_best_f1(logistic(x[order], y[order]), x[order], y[order]))
     return model
 
 
+def at_best_f1(w: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The weights with a bias that puts the threshold where F1 is best."""
+    z = x @ w
+    order = np.argsort(-z, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    last = np.concatenate([z[order][1:] < z[order][:-1], [True]])  # ends of equal scores
+    at = int(np.argmax(np.where(last, f1, -1)))
+    cut = (z[order][at] + z[order][min(at + 1, len(y) - 1)]) / 2
+    return w + np.eye(len(w))[0] * (np.log(threshold / (1 - threshold)) - cut)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     """Weights of a ridge-penalised logistic regression, by Newton's method."""
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
