@@ -11,9 +11,9 @@ class (both normalised exactly). It starts as the corpus's unigram model.
 Training is data-parallel, in numpy: in each round every task starts from the
 round's weights and trains on its documents, and the tasks' weights are averaged
 by their tokens, in a tree whose nodes hold a bounded number of weight sets. Each
-document belongs to one round, all documents take part, and every ``stride``-th
-token of a document is a target in training (all tokens are contexts). Word
-counts are over all documents; all tokens of whole texts are scored.
+document belongs to one round, all documents take part, and every token of a
+document is a target in training. Word counts are over all documents; all tokens
+of whole texts are scored.
 
 Defined cases: a text without words (or null) has no tokens, a score of 0 and no
 mean; repeated rows train and are scored each; rows without a doc_id take part;
@@ -146,7 +146,7 @@ def log_probabilities(w: dict[str, np.ndarray], around: np.ndarray, ids: np.ndar
         h = hidden(w, around[a : a + 16_384])
         group, member = own // EACH, own % EACH
         p = _log_softmax(h @ w["class_w"] + w["class_b"])[np.arange(len(own)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.int16), kind="stable")
         cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in np.unique(group):
             rows = order[cut[c] : cut[c + 1]]
@@ -164,7 +164,7 @@ def gradients(w: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) ->
     d_class[rows, group] += 1
     g = {"class_w": h.T @ d_class, "class_b": d_class.sum(0), "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
     d_h = d_class @ w["class_w"].T
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int16), kind="stable")
     cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in np.unique(group):
         own = order[cut[c] : cut[c + 1]]
@@ -175,7 +175,7 @@ def gradients(w: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) ->
     d_h *= 1 - h * h
     g["embed"] = np.zeros_like(w["embed"])
     for k in range(2 * SIDE):
-        order = np.argsort(around[:, k], kind="stable")
+        order = np.argsort(around[:, k].astype(np.int16), kind="stable")  # 16 bits: a radix sort
         first = np.flatnonzero(np.concatenate([[True], np.diff(around[order, k]) > 0])) if n else []
         if n:
             g["embed"][k][around[order[first], k]] = np.add.reduceat(d_h[order], first, axis=0)
@@ -234,7 +234,7 @@ def _averaged(parts: DataFrame, n: int) -> dict[str, np.ndarray] | None:
     return _unpack(sum(np.frombuffer(r[2], np.float32) * np.float64(r[1] / total) for r in rows).astype(np.float32).tobytes())
 
 
-def train(docs: DataFrame, words: int = 768, rounds: int = 3, stride: int = 4, rate: float = 0.08, batch: int = 8192, seed: int = 11) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+def train(docs: DataFrame, words: int = 768, rounds: int = 3, rate: float = 0.08, batch: int = 8192, seed: int = 11) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     """Vocabulary and weights from all of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     vocabulary, counts = count_words(docs, words)
@@ -253,9 +253,7 @@ def train(docs: DataFrame, words: int = 768, rounds: int = 3, stride: int = 4, r
                 for _, texts in _texts(batches, 0):
                     hashes, starts = word_hashes(texts, _APART)
                     ids = known.encode(hashes)
-                    place = np.arange(len(ids)) - np.repeat(starts[:-1], np.diff(starts))
-                    targets = (place + np.repeat(np.diff(starts), np.diff(starts))) % stride == 0
-                    yield contexts(ids, starts)[targets], ids[targets]
+                    yield contexts(ids, starts), ids
 
             seen = train_on(mine, chunks(), rate, batch)
             if seen:

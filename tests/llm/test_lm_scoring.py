@@ -83,3 +83,12 @@ def test_defined_cases(spark):
     assert all((r.log_likelihood == 0 and r.mean_log_likelihood is None) if not r.n_tokens else r.log_likelihood < 0 for r in rows)
     empty = docs.where("false")
     assert score(empty, train(empty)).count() == 0
+
+
+def test_every_token_trains(spark):
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "c") for i in range(40)], "doc_id long, text string")
+    vocabulary, w = train(docs)
+    start = initial_weights(count_words(docs, 768)[1], 11)
+    for word in "abc":
+        c, m = divmod(int(vocabulary.encode(word_hashes([word], _APART)[0])[0]), EACH)
+        assert not np.allclose(w["word_w"][c][:, m], start["word_w"][c][:, m])  # texts of one and two words give targets
