@@ -3,10 +3,14 @@
 The network predicts every token of a text from the tokens on both sides of it,
 never from itself; a document's score is the sum of those conditional
 log-probabilities. Tokens are words (runs of letters, digits and characters
-beyond ASCII, A-Z lower-cased): the ``words`` most frequent ones of the corpus,
-and hash classes for all others. The network sums an embedding for each place of
-the window, applies tanh, and predicts the token's class and the token within its
-class (both normalised exactly). It starts as the corpus's unigram model.
+beyond ASCII, A-Z lower-cased): the ``words`` most frequent ones of the corpus
+have an id each, all others share hash ids. The network sums an embedding for each
+place of the window, applies tanh, and predicts the id's class and the id within
+its class (both normalised exactly). It starts as the corpus's unigram model. To a
+token of a shared id its word's share of that id's tokens, counted over all
+documents, is added as log P(word | id), so every word has a probability of its
+own. Shares of the most frequent words go out with the model, ``SHIPPED`` words at
+most; tokens of rarer words meet their counts in a join.
 
 Training is data-parallel, in numpy: in each round every task starts from the
 round's weights and trains on its documents, and the tasks' weights are averaged
@@ -17,7 +21,8 @@ of whole texts are scored.
 
 Defined cases: a text without words (or null) has no tokens, a score of 0 and no
 mean; repeated rows train and are scored each; rows without a doc_id take part;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns are ignored; a word that was not
+counted has the share of a word counted once.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratch_path, table
 from .shingles import word_hashes
 
 _APART = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -40,16 +45,23 @@ CLASSES = 32
 EACH = 32
 DIMENSIONS = 24
 SHAPES = {"embed": (2 * SIDE, CLASSES * EACH + 1, DIMENSIONS), "class_w": (DIMENSIONS, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, DIMENSIONS, EACH), "word_b": (CLASSES, EACH)}
+_COUNTED = "h bigint, n bigint"
 SCORED = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double, pseudo_perplexity double"
 _CHUNK = 200
+SHIPPED = 400_000
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the frequent words, sorted, with their ids; other words share the rest of the ids."""
+    """Hashes of the frequent words, sorted, with their ids; other words share the rest of the ids.
+
+    ``counted`` is the path of all words' counts (h, n), ``totals`` the tokens of each id.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
+    counted: str | None = None
+    totals: np.ndarray | None = None
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         known = len(self.hashes)
@@ -88,16 +100,39 @@ def count_words(docs: DataFrame, words: int) -> tuple[Vocabulary, np.ndarray]:
         if size:
             yield flush()
 
-    counted = saved(docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "words")
+    docs.select("text").mapInArrow(run, _COUNTED).groupBy("h").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(path)
+    counted = spark.read.schema(_COUNTED).parquet(path)
     top = [(r.h, r.n) for r in counted.orderBy(F.desc("n"), "h").limit(words).collect()]
     hashes = np.array([h for h, _ in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], np.arange(len(top))[order])
-    counts = np.zeros(CLASSES * EACH)
-    counts[: len(top)] = [n for _, n in top]
-    counts[len(top) :] = (counted.agg(F.sum("n")).first()[0] or 0) - counts.sum()
-    counts[len(top) :] /= len(counts) - len(top)
-    return vocabulary, counts + 0.5
+    totals = np.zeros(CLASSES * EACH)
+    others = len(totals) - len(top)
+    shared = counted.groupBy((len(top) + F.shiftrightunsigned("h", 40) % others).alias("id")).agg(F.sum("n").alias("n"))
+    for r in shared.collect():  # one row for each shared id
+        totals[r.id] = r.n
+    for i, (h, n) in enumerate(top):
+        totals[len(top) + (h % (1 << 64) >> 40) % others] -= n
+        totals[i] = n
+    vocabulary = Vocabulary(hashes[order], np.arange(len(top))[order], path, totals)
+    return vocabulary, totals + 0.5
+
+
+def shipped_shares(spark: SparkSession, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sorted hashes of the most frequent words, ``SHIPPED`` at most, their counts, and whether these are all words."""
+    counted = spark.read.schema(_COUNTED).parquet(vocabulary.counted)
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r.step, r.n) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    cut, held = math.inf, 0
+    for at, n in sizes:
+        if held + n > SHIPPED:
+            break
+        cut, held = at, held + n
+    own = counted.where(step >= cut).toArrow() if held else pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    hashes = own.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], own.column("n").to_numpy()[order].astype(np.int32 if held and own.column("n").to_numpy().max() < 1 << 31 else np.int64), held == sum(n for _, n in sizes)
 
 
 def initial_weights(counts: np.ndarray, seed: int) -> dict[str, np.ndarray]:
@@ -240,7 +275,7 @@ def train(docs: DataFrame, words: int = 768, rounds: int = 3, rate: float = 0.08
     vocabulary, counts = count_words(docs, words)
     w = initial_weights(counts, seed)
     for r in range(rounds):
-        shipped = spark.sparkContext.broadcast((vocabulary, _pack(w)))
+        shipped = spark.sparkContext.broadcast((Vocabulary(vocabulary.hashes, vocabulary.ids), _pack(w)))
         own = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -266,21 +301,45 @@ def train(docs: DataFrame, words: int = 768, rounds: int = 3, rate: float = 0.08
 
 def score(docs: DataFrame, model: tuple[Vocabulary, dict[str, np.ndarray]]) -> DataFrame:
     """Every document's pseudo-likelihood; see ``SCORED``."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model[0], _pack(model[1])))
+    spark, vocabulary = docs.sparkSession, model[0]
+    words, counts, whole = shipped_shares(spark, vocabulary)
+    shipped = spark.sparkContext.broadcast((vocabulary, _pack(model[1]), words, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, data = shipped.value
+        from pyspark import TaskContext
+
+        known, data, words, counts = shipped.value
         w = _unpack(data)
+        log_totals = np.log(np.maximum(known.totals, 1))
+        row = TaskContext.get().partitionId() << 40
         for piece, texts in _texts(batches, 1):
             hashes, starts = word_hashes(texts, _APART)
             ids = known.encode(hashes)
-            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(w, contexts(ids, starts), ids))])
-            n = np.diff(starts)
-            total = sums[starts[1:]] - sums[starts[:-1]]
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(total), mean, pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)], names=[c.split()[0] for c in SCORED.split(", ")])
-
-    return docs.mapInArrow(run, SCORED)
+            p = log_probabilities(w, contexts(ids, starts), ids)
+            shared = np.flatnonzero(ids >= len(known.hashes))
+            p[shared] -= log_totals[ids[shared]]
+            rest = np.ones(len(shared), bool)
+            if len(words):
+                distinct, back = np.unique(hashes[shared], return_inverse=True)
+                at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
+                hit = words[at] == distinct
+                p[shared] += np.where(hit, np.log(counts[at]), 0.0)[back]
+                rest = ~hit[back]
+            sums = np.concatenate([[0.0], np.cumsum(p)])
+            far = shared[rest]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, starts).astype(np.int32)), pa.array(hashes[far].view(np.int64)))
+            rows = pa.array(np.arange(row, row + len(texts)))
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([rows, piece.column(0), pa.array(np.diff(starts)), pa.array(sums[starts[1:]] - sums[starts[:-1]]), lists], names=["row", "doc_id", "n", "total", "rest"])
+
+    out = docs.mapInArrow(run, "row bigint, doc_id bigint, n bigint, total double, rest array<bigint>")
+    if not whole:
+        out = saved(out, "scored")
+        counted = spark.read.schema(_COUNTED).parquet(vocabulary.counted)
+        rare = out.select("row", F.explode("rest").alias("h")).join(counted, "h").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        out = out.join(rare, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return out.select("doc_id", F.col("n").alias("n_tokens"), F.col("total").alias("log_likelihood"), mean.alias("mean_log_likelihood"), F.exp(-mean).alias("pseudo_perplexity"))
 
 
 def score_corpus(docs: DataFrame, **training) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from ratecard.llm import lm_scoring
 from ratecard.llm.common import table
 from ratecard.llm.lm_scoring import CLASSES, EACH, SIDE, _APART, contexts, count_words, gradients, initial_weights, log_probabilities, op1_lm_scoring, score, train
 from ratecard.llm.shingles import word_hashes
@@ -92,3 +93,26 @@ def test_every_token_trains(spark):
     for word in "abc":
         c, m = divmod(int(vocabulary.encode(word_hashes([word], _APART)[0])[0]), EACH)
         assert not np.allclose(w["word_w"][c][:, m], start["word_w"][c][:, m])  # texts of one and two words give targets
+
+
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
+    names = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(names), " ".join(names[:1200] * 3), "w3 " * 50 + "w7 w1100", "w3 " * 50 + "w7 w1400"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary, counts = count_words(docs, 2)
+    w = initial_weights(counts, 11)
+    n = {}
+    for word in " ".join(texts).split():
+        n[word] = n.get(word, 0) + 1
+    encode = lambda words: vocabulary.encode(word_hashes(words, _APART)[0])
+    totals = dict.fromkeys(range(CLASSES * EACH), 0)
+    for word, i in zip(n, encode([" ".join(n)])):
+        totals[i] += n[word]
+    for shipped in (10**6, 300, 0):
+        monkeypatch.setattr(lm_scoring, "SHIPPED", shipped)
+        got = {r.doc_id: r.log_likelihood for r in score(docs, (vocabulary, w)).collect()}
+        for d, text in enumerate(texts):
+            ids = encode([text])
+            want = log_probabilities(w, contexts(ids, np.array([0, len(ids)])), ids).sum()
+            want += sum(math.log(n[word] / totals[i]) for word, i in zip(text.split(), ids) if i >= 2)
+            assert abs(got[d] - want) < 1e-6 * abs(want)
