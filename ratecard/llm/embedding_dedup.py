@@ -5,8 +5,14 @@ its products with random directions (which agree for two vectors at an angle a
 with probability 1 - a / pi each). Vectors are sorted by (pass, key), and each is
 compared with the ``window`` vectors after it; pairs whose cosine reaches the
 threshold in double precision are links, and their union over all passes gives
-components. The number of passes follows from the number of vectors, so that a
-pair right at the threshold is missed with a probability of at most ``miss``.
+components. Besides, vectors that share the first ``depth_for`` signs of a key, a
+prefix group, are all compared with each other: within a block as they stand, and
+groups wider than the window that cross blocks in bounded blocks of their own. So
+a pair at the threshold meets in a pass with at least the probability that those
+signs agree, however the vectors lie, and the number of passes follows from that:
+the pair is missed with a probability of at most ``miss``. Crowded vectors (a common
+mean direction, a loose cluster) cost comparisons, not links. Of what a block finds
+only a spanning forest is written out.
 
 The sorted order is cut into blocks of bounded size by global rank, each with the
 ``window`` rows before it. Equal vectors are one node with a weight from the start.
@@ -41,18 +47,38 @@ THRESHOLD = 0.9
 WINDOW = 64
 MISS = 0.005
 BLOCK = 512
+CROWD = 2048
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with probability ``miss`` at most.
 
-    Two vectors meet in a window if they agree in the first log2(n / window)
-    signs, the depth at which as many others are left.
+    Two vectors meet in a pass if they agree in the first log2(n / window) signs.
     """
     agree = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(2, n) / window))
     return max(4, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
+def depth_for(n: int, window: int = WINDOW) -> int:
+    """The number of signs of a prefix group, no more than ``passes_for`` reckons with."""
+    return min(62, int(max(1.0, math.log2(max(2, n) / window))))
+
+
+def forest(similar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place that is connected in the symmetric ``similar``, and the first place of its part."""
+    linked = np.flatnonzero(similar.any(axis=1))
+    similar = similar[np.ix_(linked, linked)]
+    root = np.full(len(linked), -1)
+    for seed in range(len(linked)):
+        if root[seed] < 0:
+            root[seed], edge = seed, np.array([seed])
+            while len(edge):
+                edge = np.flatnonzero(similar[edge].any(axis=0) & (root < 0))
+                root[edge] = seed
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return linked[root[own]], linked[own]
+
+
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     """(id, v): one array of finite numbers, not all zero, for each id."""
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(column).alias("v")).where("id is not null and v is not null")
@@ -111,7 +137,8 @@ def window_links(rows: DataFrame, n: int, threshold: float, window: int, miss: f
     passes = passes_for(n, threshold, window, miss)
     parts = max(task_partitions(spark), math.ceil(n * passes / 200_000))
     ordered = _keys(rows, passes, seed).repartitionByRange(parts, "p", "key", "id").sortWithinPartitions("p", "key", "id")
-    ordered = saved(ordered.select(F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("place"), "p", "id", "v"), "sorted")
+    prefix = F.shiftright("key", 62 - depth_for(n, window)).alias("prefix")
+    ordered = saved(ordered.select(F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("place"), "p", prefix, "id", "v"), "sorted")
     counts = sorted((r.part, r.n) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())
     base, before = [], 0
     for part, size in counts:
@@ -120,26 +147,40 @@ def window_links(rows: DataFrame, n: int, threshold: float, window: int, miss: f
     ranked = ordered.join(F.broadcast(spark.createDataFrame(base, "part int, base bigint")), "part").withColumn("rank", F.col("base") + F.col("place"))
     block = (F.col("rank") / BLOCK).cast("bigint")
     late = F.col("rank") % BLOCK >= BLOCK - window  # also wanted before the next block
-    dealt = ranked.select(F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"), "rank", "p", "id", "v")
+    dealt = ranked.select(F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"), "rank", "p", "prefix", "id", "v")
 
-    def compare(key, part):
-        part = part.sort_values("rank")
-        own = (part["rank"].to_numpy() // BLOCK == key[0]).nonzero()[0]
-        ids, p = part["id"].to_numpy(), part["p"].to_numpy()
-        lengths = part["v"].map(len).to_numpy()
-        found = []
+    def found(part, close) -> pd.DataFrame:
+        ids, lengths = part["id"].to_numpy(), part["v"].map(len).to_numpy()
+        pairs = []
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
             m = unit(np.stack(part["v"].to_numpy()[at]))
-            similar = m @ m.T >= threshold
-            i, j = np.nonzero(np.triu(similar, 1))
-            i, j = at[i], at[j]
-            keep = (j - i <= window) & (p[i] == p[j]) & (j >= own.min(initial=len(part)))
-            found.append(np.stack([np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+            similar = (m @ m.T >= threshold) & close[np.ix_(at, at)]
+            np.fill_diagonal(similar, False)
+            i, j = forest(similar)
+            pairs.append(np.stack([ids[at[i]], ids[at[j]]], 1))
+        pairs = np.sort(np.concatenate(pairs), axis=1)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return dealt.groupBy("block").applyInPandas(compare, "u bigint, v bigint").distinct()
+    def same(part) -> np.ndarray:
+        p, prefix = part["p"].to_numpy(), part["prefix"].to_numpy()
+        return (p[:, None] == p) & (prefix[:, None] == prefix)
+
+    def compare(part):
+        part = part.sort_values("rank")
+        rank, p = part["rank"].to_numpy(), part["p"].to_numpy()
+        return found(part, (p[:, None] == p) & (np.abs(rank[:, None] - rank) <= window) | same(part))
+
+    near = dealt.groupBy("block").applyInPandas(compare, "u bigint, v bigint")
+    # groups wider than the window and in several blocks: every two chunks of a group meet once
+    groups = ranked.groupBy("p", "prefix").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    wide = groups.where((F.col("high") - F.col("low") > window) & (F.floor(F.col("low") / BLOCK) < F.floor(F.col("high") / BLOCK)))
+    chunk = F.floor(F.col("rank") / CROWD)
+    others = F.explode(F.sequence(F.floor(F.col("low") / CROWD), F.floor(F.col("high") / CROWD))).alias("other")
+    crowd = ranked.join(wide, ["p", "prefix"]).select(chunk.alias("chunk"), others, "p", "prefix", "id", "v")
+    crowd = crowd.select(F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "p", "prefix", "id", "v")
+    exact = crowd.groupBy("a", "b").applyInPandas(lambda part: found(part, same(part)), "u bigint, v bigint")
+    return near.unionByName(exact).distinct()
 
 
 def component_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:

@@ -64,3 +64,15 @@ def test_odd_vectors(spark):
 def test_passes():
     assert passes_for(10) == 10 or passes_for(10) >= 4
     assert passes_for(10**4) < passes_for(10**6) < passes_for(10**9) < 500
+
+
+def test_common_mean_direction(spark):
+    rng = np.random.default_rng(8)
+    norm = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, d = 6000, 64
+    rest = norm(rng.standard_normal((n, d)) * (np.arange(d) > 0))
+    v = np.sqrt(0.3) * rest + np.sqrt(0.7) * np.eye(d)[0]  # a mean cosine of 0.7
+    far = rest[1::2] - (rest[1::2] * rest[::2]).sum(1, keepdims=True) * rest[::2]
+    v[1::2] = np.sqrt(0.3) * (0.68 * rest[::2] + np.sqrt(1 - 0.68**2) * norm(far)) + np.sqrt(0.7) * np.eye(d)[0]  # pairs at 0.904
+    got = result(near_duplicates(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), window=8))
+    assert np.mean([got[i][1] == got[i + 1][1] for i in range(0, n, 2)]) >= 0.99
