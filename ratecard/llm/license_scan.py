@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-Blocks are the lines of a text, as sets of distinct words (lower-cased A-Z;
-letters, digits and all beyond ASCII). A block meets a template if it holds at
+Blocks are the lines of a text and, where it has several, windows of its words
+across line ends, twice as long as the longest template and overlapping by half, so
+that a template that is wrapped over lines stands whole in one. They are sets of
+distinct words (lower-cased A-Z; letters, digits and all beyond ASCII). A block meets a template if it holds at
 least ``ceil(threshold * size)`` of the template's distinct words. The join:
 
 * *order*: the templates' words by how many documents hold them, over the whole
@@ -120,7 +122,11 @@ def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, t
     spark = docs.sparkSession
     small = spark.sql(f"select * from values {', '.join(index)} as t(token, template, label, p, size, needed, tokens)")
     held = docs.where(F.col("words").rlike(" (?:" + "|".join(sorted(keys)) + ") "))
-    blocks = held.select("doc_id", F.posexplode(F.split("low", "\n")).alias("block", "line"))
+    longest = max((len(t.split()) for t in templates), default=1)
+    runs = F.regexp_extract_all(F.concat("words", F.lit(" ")), F.lit(f"((?:[^ ]+ +){{1,{longest}}})"), F.lit(1))
+    windows = F.zip_with(runs, F.slice(runs, 2, F.size(runs)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    lines = F.split("low", "\n")
+    blocks = held.select("doc_id", F.posexplode(F.when(F.contains("low", F.lit("\n")), F.concat(lines, windows)).otherwise(lines)).alias("block", "line"))
     # in the corpus's order: the vocabulary is listed in it, and an intersection keeps its first list's order
     own = F.array_intersect(F.array(*map(F.lit, order)), F.split(F.trim(F.regexp_replace("line", _GAPS, " ")), " "))
     blocks = blocks.select("doc_id", "block", own.alias("own")).where(F.size("own") >= min((int(x.split(", ")[5]) for x in index), default=0))

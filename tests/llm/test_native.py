@@ -73,6 +73,18 @@ def test_license_scan_against_brute_force(spark):
     assert sorted((r.doc_id or 0, r.n_base) for r in scan_licenses(twice).collect()) == [(0, 1), (1, 0), (1, 1)]
 
 
+def test_wrapped_notices(spark):
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation.\n */"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    filler = "some other words stand here\n" * 9
+    texts = [t for own in (gpl, bsd) for t in (own, filler + own + "\n" + filler, own.replace(" ", "\n"))] + [filler]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert all("gpl" in got[i].labels.split(",") and got[i].score == 1.0 for i in range(3))
+    assert all(got[i].labels == "bsd" and got[i].score == 1.0 for i in range(3, 6))
+    assert got[6].labels == "" and got[6].score == 0.0
+
+
 def test_op5_equals_sql(spark):
     df = op5_chat_format(spark, SF01)
     same(df, OP5_SQL, SF01, "conversations")
