@@ -334,6 +334,20 @@ def sort_nulls_last_desc(spark, sf_dir):
     return rows.select("offer_key", F.row_number().over(Window.orderBy(*ranking.column_order("lead_days", True, "offer_key", "base_minor"))).cast("bigint").alias("place"))
 
 
+def _sorted_nulls_last(descending: bool):
+    by = "desc" if descending else "asc"
+
+    @query(f"sort_nulls_last_{by}_all", _with(f"select category, region, offer_key, row_number() over (partition by category, region order by lead_days {by} nulls last, offer_key, base_minor) as place from o"))
+    def run(spark, sf_dir):
+        """All offers, within their category and region."""
+        own = Window.partitionBy("category", "region").orderBy(*ranking.column_order("lead_days", descending, "offer_key", "base_minor"))
+        return candidates(spark, sf_dir).select("category", "region", "offer_key", F.row_number().over(own).cast("bigint").alias("place"))
+
+
+_sorted_nulls_last(False)
+_sorted_nulls_last(True)
+
+
 @query("top_k", _with("select offer_key, landed_minor from l order by landed_minor, offer_key limit 100"))
 def top_k(spark, sf_dir):
     return landed(candidates(spark, sf_dir)).select("offer_key", "landed_minor").orderBy("landed_minor", "offer_key").limit(100)
@@ -582,6 +596,13 @@ def substitutes(spark, sf_dir):
     return reports.substitutes(rows)
 
 
+@query("substitutes_all", None)
+def substitutes_all(spark, sf_dir):
+    """Every product of every category and region; the self-join of ``substitutes`` is left out as SQL here."""
+    rows = landed(candidates(spark, sf_dir)).groupBy("category", "region", "product_id").agg(F.min("landed_minor").alias("floor_minor"))
+    return reports.substitutes(rows)
+
+
 @query("indian_money", "select p_partkey, '₹' || case when length(r) > 3 then r[:length(r) - 3] || ',' || r[length(r) - 2:] else r end || '.00' as text from (select p_partkey, (p_partkey % 99999)::varchar as r from part)")
 def indian_money(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", money.format_minor(F.col("p_partkey") % 99_999 * 100).alias("text"))
