@@ -10,14 +10,18 @@ is positive and at least ``least_z`` standard errors from the root; all other
 tokens share one slightly negative score, the log-odds of not being a hit.
 
 *Segments*: one linear scan over a document's token scores finds all maximal
-scoring segments (Ruzzo and Tompa). *Calibration*: under the clean token
+scoring segments (Ruzzo and Tompa; of stretches with equal scores the shortest).
+*Calibration*: under the clean token
 distribution lambda solves sum p * exp(lambda * s) = 1, so a segment of score S
 in a document of n tokens has an expected number of chance equals of
-``K * n * exp(-lambda * S)``. Segments below ``significant`` are toxic passages.
+``E = K * n * exp(-lambda * S)``. K is the value under which the best segments of the
+clean training documents are likeliest, a document without a hit being known only
+to have none. Segments of an E below ``significant`` are toxic passages.
 The document's score is a logistic function of the best segment's and all
-passages' normalised scores. Tokens are learnt from one half of the training rows,
-and lambda, the logistic weights and the bias (so that the threshold is where F1
-is best) from the other, which the tokens have not seen.
+passages' normalised scores, -log E. Lambda, K, the logistic weights and the bias
+(so that the threshold is where F1 is best) are fitted by cross-fitting: the training
+rows have two halves, and each is scored with the tokens learnt from the other.
+The tokens that documents are scored with are learnt from both.
 
 The training rows are labelled rows with ``crc32(doc_id as text) mod 4 <> 2``;
 at most about ``sample`` of them, chosen by a hash of doc_id, are used: the
@@ -33,6 +37,7 @@ scored each; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, saved, table
 
 PREFIXES = (4, 5, 6, 7, 9)
 THRESHOLD = 0.3
@@ -73,7 +78,7 @@ def chain(word: str) -> list[str]:
 
 
 def segments(hits: list[tuple[int, float]], n: int, gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of n tokens, as (first, last, score).
+    """All maximal scoring segments of n tokens, as (first, last, score), ties to the shortest.
 
     ``hits``: places and positive scores; every other token scores ``-gap``.
     """
@@ -171,7 +176,7 @@ def token_scores(counts: dict[str, tuple[int, int]], toxic: int, clean: int, alp
 
 
 def _background(model: Model, tallies: Counter, toxic_rate: float) -> None:
-    """Gap score, lambda and K from the clean documents' tokens (score -> number)."""
+    """Gap score and lambda from the clean documents' tokens (score -> number)."""
     n = sum(tallies.values())
     hits = [(s, c / n) for s, c in tallies.items() if s > 0]
     clean_rate = sum(p for _, p in hits)
@@ -201,11 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
         known = known.where(part < int(1_000_000 * sample / total))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.select((part % 2).cast("int").alias("fold"), "toxic", "text")
+    # the bounded sample with its texts; every later step reads it instead of the corpus
+    rows = saved(rows.select((part % 2).cast("int").alias("fold"), "toxic", "text"), "sample")
     sizes = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get((0, 1), 0) + sizes.get((1, 1), 0), sizes.get((0, 0), 0) + sizes.get((1, 0), 0)
     model = Model(prior=toxic / max(1, toxic + clean))
     if not toxic or not clean:
+        forget(rows)
         return model
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
         counts = {u: (sum(c[2 * f + 1] for f in folds), sum(c[2 * f] for f in folds)) for u, c in table_}
         return token_scores(counts, max(1, sum(sizes.get((f, 1), 0) for f in folds)), max(1, sum(sizes.get((f, 0), 0) for f in folds)))
 
-    model.scores = scores((0,))
-    other = rows.where("fold = 1")  # what the model that is used has not seen
+    model.scores = scores((0, 1))
     crossed = spark.sparkContext.broadcast((scores((1,)), scores((0,))))
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +259,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(s, pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["toxic", "s", "n"])
 
     seen = {0: Counter(), 1: Counter()}
-    for r in other.mapInArrow(tallies, "toxic int, s double, n bigint").groupBy("toxic", "s").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(tallies, "toxic int, s double, n bigint").groupBy("toxic", "s").agg(F.sum("n").alias("n")).collect():
         seen[r.toxic][r.s] += r.n
     all_toxic = max(1, sum(seen[1].values()))
     _background(model, seen[0], sum(c for s, c in seen[1].items() if s > 0) / all_toxic)
-    settings = {k: getattr(model, k) for k in ("gap", "rate", "k")}
+    settings = {k: getattr(model, k) for k in ("gap", "rate")}
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, hits, mass = [Model(scores=s, **settings) for s in crossed.value], 0, 0.0
+        for batch in batches:
+            for fold, y, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not y:
+                    n, found = models[fold].scan(text)
+                    best = max((s for _, _, s in found), default=0.0)
+                    hits, mass = hits + bool(found), mass + n * math.exp(-models[fold].rate * best)
+        yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([mass], pa.float64())], names=["hits", "mass"])
+
+    seen_best = rows.mapInArrow(extremes, "hits bigint, mass double").agg(F.sum("hits").alias("hits"), F.sum("mass").alias("mass")).first()
+    if seen_best.hits:  # three places: the sum depends on the order of arrival in its last ones
+        model.k = float(f"{min(1.0, seen_best.hits / seen_best.mass):.3g}")
+    settings["k"] = model.k
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [Model(scores=s, **settings) for s in crossed.value]
@@ -267,7 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
                 yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*x))], names=["y", *(f"x{i}" for i in range(FEATURES))])
 
     # a row for each row of the bounded sample
-    got = other.mapInArrow(features, "y int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toArrow()
+    got = rows.mapInArrow(features, "y int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toArrow()
+    forget(rows)
     y, x = np.asarray(got.column("y"), float), np.stack([np.asarray(got.column(f"x{i}")) for i in range(FEATURES)], 1)
     order = np.lexsort((*x.T, y))  # sums must not depend on the order of arrival
     if not 0 < y.sum() < len(y):

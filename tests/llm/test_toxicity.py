@@ -9,7 +9,7 @@ from tests.conftest import SF, SF01
 
 
 def maximal(scores):
-    """By definition: the best segment (leftmost, shortest), then the same left and right of it."""
+    """By definition: the best segment (of equal ones the shortest, then the leftmost), then the same left and right of it."""
     out = []
 
     def below(a, b):
@@ -18,7 +18,7 @@ def maximal(scores):
             total = 0
             for j in range(i, b):
                 total += scores[j]
-                if total > 0 and (best is None or total > best[2]):
+                if total > 0 and (best is None or (total, i - j) > (best[2], best[0] - best[1])):
                     best = (i, j, total)
         if best:
             below(a, best[0])
