@@ -13,11 +13,14 @@ around the hit. Most chance hits end one level up, at a few characters.
 The test items go to the tasks in blocks of at most ``block_chars`` characters;
 the documents are read once for each block, however many items there are.
 
-Defined cases: items that are null or shorter than ``least_chars`` after
-normalisation match nothing (they would match everywhere); documents that are
-null or empty are clean; whole texts are searched; a repeated item or document
-is treated each time; an empty benchmark or corpus gives no matches; further
-columns are ignored by ``contamination`` and kept by ``decontaminate``.
+Items shorter than ``least_chars`` after normalisation have no budget, and match
+where they stand as whole words: neither neighbour is a letter or digit.
+
+Defined cases: items that are null or empty after normalisation match nothing;
+documents that are null or empty are clean; whole texts are searched; a repeated
+item or document is treated each time; an empty benchmark or corpus gives no
+matches; further columns are ignored by ``contamination`` and kept by
+``decontaminate``.
 """
 
 from __future__ import annotations
@@ -102,13 +105,15 @@ def split_item(item: int, text: str, budget: int, nodes: list[Node]) -> None:
 class Matcher:
     """The items of one block, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
         import ahocorasick
 
         self.items = items
+        self.short = [len(text) < least_chars for _, text in items]
+        self.budgets = [0 if short else int(rate * len(text)) for short, (_, text) in zip(self.short, items)]
         self.nodes: list[Node] = []
         for i, (_, text) in enumerate(items):
-            split_item(i, text, int(rate * len(text)), self.nodes)
+            split_item(i, text, self.budgets[i], self.nodes)
         leaves: dict[str, list[int]] = {}
         for i, node in enumerate(self.nodes):
             if not node.edits:
@@ -139,6 +144,8 @@ class Matcher:
                 if found.get(node.item) == 0:
                     continue
                 origin = end - size + 1 - node.start
+                if self.short[node.item] and (text[max(0, origin - 1) : origin].isalnum() or text[end + 1 : end + 2].isalnum()):
+                    continue
                 at, ok = leaf, True
                 while ok and self.nodes[at].parent >= 0:
                     at = self.nodes[at].parent
@@ -155,13 +162,13 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items to match, normalised, in blocks of bounded size."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     for row in rows.toLocalIterator():
         text = normal(row.text)
-        if len(text) < least_chars:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -177,17 +184,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
     schema = "doc_id bigint, item_id bigint, distance int, budget int"
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for block in _blocks(benchmark, least_chars, block_chars):
+    for block in _blocks(benchmark, block_chars):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shipped.value, rate)
+            matcher = Matcher(shipped.value, rate, least_chars)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     for i, distance in matcher.search(normal(text.as_py())).items():
-                        item_id, item = matcher.items[i]
-                        rows.append((doc_id, item_id, distance, int(rate * len(item))))
+                        rows.append((doc_id, matcher.items[i][0], distance, matcher.budgets[i]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "distance", "budget"])
 
@@ -198,11 +204,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows that hold a test item within its budget; nothing is shuffled."""
-    for block in _blocks(benchmark, least_chars, block_chars):
+    for block in _blocks(benchmark, block_chars):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shipped.value, rate)
+            matcher = Matcher(shipped.value, rate, least_chars)
             for batch in batches:
                 clean = [not matcher.search(normal(text.as_py())) for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))

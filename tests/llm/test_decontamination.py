@@ -44,9 +44,9 @@ def test_matcher_is_exact(item, text, budget):
     item, text = normal(item), normal(text)
     if not item:
         return
-    rate = budget / len(item) + 1e-9
+    budget = min(budget, len(item) - 1)  # a whole item has no more edits than that
     d = distance(item, text)
-    assert Matcher([(1, item)], rate).search(text) == ({0: d} if d <= min(budget, len(item)) and (d < len(item) or not text) and text else {}) or d >= len(item) or budget >= len(item)
+    assert Matcher([(1, item)], budget / len(item) + 1e-9).search(text) == ({0: d} if d <= budget else {})
 
 
 def edited(rng, text, n):
@@ -67,14 +67,15 @@ def test_against_brute_force(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, text(rng.randrange(8, 30))) for i in range(15)] + [(90, "short"), (91, None), (92, "")]
-    docs = [(i, text(rng.randrange(0, 60))) for i in range(60)] + [(900, None), (901, ""), (902, "x " * 5000)]
+    items = [(i, text(rng.randrange(8, 30))) for i in range(15)] + [(90, " Short"), (91, None), (92, ""), (93, "c++ 11")]
+    docs = [(i, text(rng.randrange(0, 60))) for i in range(60)] + [(900, None), (901, ""), (902, "x " * 5000), (903, "A short, text"), (904, "shorter"), (905, "In C++  11."), (906, "c++ 112 short")]
     for i in range(15):
         for n in (0, 3, 8, 12, 16, 20):
             docs.append((1000 + 100 * i + n, text(20) + "\n" + edited(rng, items[i][1].upper(), n) + "  " + text(20)))
     want = {(d, i, distance(normal(x), normal(t))) for d, t in docs for i, x in items if len(normal(x)) >= 24 and normal(t)}
     budget = {i: int(0.1 * len(normal(x))) for i, x in items}
     want = {w for w in want if w[2] <= budget[w[1]]}
+    want |= {(903, 90, 0), (906, 90, 0), (905, 93, 0)}  # short ones: whole words
     frame = spark.createDataFrame([(d, t, "y") for d, t in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(i, x, 1) for i, x in items], "item_id long, text string, doc_id int")
     for block in (1_000_000, 200):
