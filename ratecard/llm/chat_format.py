@@ -6,7 +6,9 @@ each layout, the paths and a declarative expression that makes canonical turns,
 ``array<struct<role, text>>``. For a DataFrame the fingerprint of its schema is
 taken at planning time, from the paths that layouts name, so that further
 columns do not matter. For a column of JSON documents every row has its own
-fingerprint, and the rows' mappings are evaluated side by side.
+fingerprint; documents are read once, with the fields of all layouts, and the
+fingerprint selects the mapping. ``as_documents`` goes the other way: it writes
+turns as JSON documents of the layouts that can hold them.
 
 *Template.* ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE`` for each turn.
 Control strings of this and other common templates inside roles and texts are
@@ -15,9 +17,9 @@ character and 0, which ``unescape`` undoes. The loss mask is a list of (start,
 length) of the assistant texts in the formatted string, in code points.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (null
-first), ties by role and text; repeated rows are turns each; rows without a
-conv_id make a conversation of their own; a JSON row of an unknown layout, or
-that is no JSON, has null turns and no formatted string; an empty table gives no
+first), ties by role and text; repeated rows are turns each; each row without
+a conv_id is a conversation of its own; a JSON row of an unknown layout, or
+that is no JSON (or over Spark's limit for variants), has null turns and no formatted string; an empty table gives no
 rows. One conversation is one row of the output, so its turns meet in a task.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, table
+from .common import forget, saved, table
 
 ESCAPE = "␛"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -104,7 +106,9 @@ def canonical_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     if name == "turn_rows":
         turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         ordered = F.sort_array(F.collect_list(turn))
-        return rows.groupBy(F.col("conv_id").alias(key)).agg(F.transform(ordered, lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
+        alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+        made = rows.withColumn("_alone", alone).groupBy(F.col("conv_id").alias(key), "_alone")
+        return made.agg(F.transform(ordered, lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns")).drop("_alone")
     return rows.select(key, F.expr(MAPPINGS[name][1]).cast(TURNS).alias("turns"))
 
 
@@ -115,25 +119,59 @@ def json_turns(rows: DataFrame, key: str, document: str) -> DataFrame:
     scalar as a string: that text lists the nested field paths in order.
     """
     kind = F.regexp_replace(F.schema_of_variant(F.try_parse_json(F.col(document))), r"\b(VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\))", "STRING")
-    known = rows.withColumn("_print", F.sha2(kind, 256))
+    known = rows.select(F.col(key).alias("_key"), F.sha2(kind, 256).alias("_print"), F.from_json(document, _ddl()).alias("_doc"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for name, (paths, expression) in MAPPINGS.items():
         here = F.col("_print") == hashlib.sha256(_type_text(paths).encode()).hexdigest()
-        known = known.withColumn(f"_{name}", F.when(here, F.from_json(document, ", ".join(_ddl(paths)))))
         for field in {p.split("[")[0] for p in paths}:
-            expression = re.sub(rf"(?<![\w.'])({field})(?![\w'(])", f"_{name}.{field}", expression)
+            expression = re.sub(rf"(?<![\w.'])({field})(?![\w'(])", f"_doc.{field}", expression)
         layout = F.when(here, F.lit(name)).otherwise(layout)
         turns = F.when(here, F.expr(expression).cast(TURNS)).otherwise(turns)
-    return known.select(key, layout.alias("layout"), turns.alias("turns"))
+    return known.select(F.col("_key").alias(key), layout.alias("layout"), turns.alias("turns"))
 
 
-def _ddl(paths: tuple[str, ...]) -> list[str]:
-    plain = [f"{p} string" for p in paths if "[" not in p]
-    nested: dict[str, list[str]] = {}
-    for p in paths:
-        if "[" in p:
-            nested.setdefault(p.split("[].")[0], []).append(p.split("[].")[1])
-    return plain + [f"{k} array<struct<{', '.join(f'{f}: string' for f in v)}>>" for k, v in nested.items()]
+def as_documents(conversations: DataFrame, key: str = "conv_id", most_chars: int = 2_000_000) -> DataFrame:
+    """(key, document, turns) of canonical turns, in layouts picked by a hash of the key.
+
+    Lists of turns can hold any conversation; ``conversations`` renames two roles,
+    so none that has the new names already; the other layouts hold a user's and an
+    assistant's turn, after a system's for one of them. Conversations of more than
+    ``most_chars`` characters stay as they are: turns, and no document.
+    """
+    turns, roles = F.col("turns"), F.transform("turns", lambda t: t.role)
+    text = lambda i: turns[i]["text"]
+    listed = lambda a, b, role=lambda r: r: F.transform(turns, lambda t: F.struct(role(t.role).alias(a), t.text.alias(b)))
+    renamed = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    two = {"prompt_completion": ("prompt", "completion"), "prompt_response": ("prompt", "response"), "question_answer": ("question", "answer"), "instruction": ("instruction", "output")}
+    fields = {
+        "messages": [listed("role", "content").alias("messages")],
+        "conversations": [listed("from", "value", renamed).alias("conversations")],
+        "turns": [listed("role", "text").alias("turns")],
+        **{name: [text(0).alias(a), text(1).alias(b)] for name, (a, b) in two.items()},
+        "instruction_input": [text(0).alias("instruction"), F.lit("").alias("input"), text(1).alias("output")],
+        "system_prompt": [text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response")],
+    }
+    lists, pick = ["messages", "turns", "conversations"], lambda names: F.element_at(F.array(*map(F.lit, names)), F.pmod(F.xxhash64(key), F.lit(len(names))).cast("int") + 1)
+    pair, triple = roles == F.array(*map(F.lit, ("user", "assistant"))), roles == F.array(*map(F.lit, ("system", "user", "assistant")))
+    name = F.when(pair, pick([*lists, *two, "instruction_input"])).when(triple, pick([*lists, "system_prompt"])).when(F.exists(roles, lambda r: r.isin("human", "gpt")), pick(lists[:2])).otherwise(pick(lists))
+    made = F.lit(None).cast("string")
+    for layout, own in fields.items():
+        made = F.when(F.col("_layout") == layout, F.to_json(F.struct(*own))).otherwise(made)
+    small = F.aggregate("turns", F.lit(0), lambda n, t: n + F.length(t.text) + F.length(t.role)) <= most_chars
+    return conversations.select(key, "turns", F.when(small, name).alias("_layout")).select(key, made.alias("document"), F.when(F.col("_layout").isNull(), turns).alias("turns"))
+
+
+def _ddl() -> str:
+    """One schema with the fields of all layouts."""
+    plain: dict[str, None] = {}
+    nested: dict[str, dict[str, None]] = {}
+    for paths, _ in MAPPINGS.values():
+        for p in paths:
+            if "[" in p:
+                nested.setdefault(p.split("[].")[0], {})[p.split("[].")[1]] = None
+            else:
+                plain[p] = None
+    return ", ".join([f"{p} string" for p in plain] + [f"{k} array<struct<{', '.join(f'`{f}`: string' for f in v)}>>" for k, v in nested.items()])
 
 
 def _type_text(paths: tuple[str, ...]) -> str:
@@ -183,10 +221,17 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``conversations`` and conversation -7, formatted, written and read back."""
+    """All ``conversations`` and conversation -7, formatted, written and read back.
+
+    The table has one layout, a row for each turn; its conversations are first
+    written as JSON documents of all layouts, which are what is formatted.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql("select cast(-7 as bigint) as conv_id, cast(turn as bigint) as turn, role, '</s>[INST] ok [/INST]' as text from values (0, 'user'), (1, 'assistant') as t(turn, role)")
-    out = saved(format_turns(canonical_turns(rows.unionByName(more))), "formatted")
+    documents = saved(as_documents(canonical_turns(rows.unionByName(more))), "documents")
+    mapped = json_turns(documents.where("turns is null"), "conv_id", "document").select("conv_id", "turns")
+    out = saved(format_turns(mapped.unionByName(documents.where("turns is not null").select("conv_id", "turns"))), "formatted")
+    forget(documents)
     turns = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
     return (
         out.withColumn("turns", parse_formatted(F.col("formatted")))
@@ -211,13 +256,13 @@ def _escaped_sql(column: str) -> str:
 
 OP5_SQL = f"""
 with r as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  select conv_id, turn, case when conv_id is null then row_number() over () end as alone, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, null, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, null, 'assistant', '</s>[INST] ok [/INST]'
 )
 select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum({len(START) + len(END) + 2} + length(replace({_escaped_sql("role")}, chr(10), '{ESCAPE}z')) + length({_escaped_sql("text")}))::bigint as formatted_chars
-from r group by conv_id
+from r group by conv_id, alone
 """

@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from ratecard.llm.chat_format import CONTROL, ESCAPE, OP5_SQL, canonical_turns, escape, fingerprint, format_turns, json_turns, layout_of, loss_text, op5_chat_format, parse_formatted, unescape
+from ratecard.llm.chat_format import CONTROL, ESCAPE, MAPPINGS, OP5_SQL, as_documents, canonical_turns, escape, fingerprint, format_turns, json_turns, layout_of, loss_text, op5_chat_format, parse_formatted, unescape
 from ratecard.llm.common import table
 from ratecard.llm.license_scan import BASE, OP9_SQL, TEMPLATES, op9_license_scan, scan_licenses
 from ratecard.llm.url_filter import OP3_SQL, filter_captures, host_of, op3_url_filter, url_keys
@@ -95,12 +95,12 @@ def test_op5_equals_sql(spark):
 
 def test_chat_round_trip(spark):
     odd = ["", None, "a", ESCAPE, ESCAPE + "0", ESCAPE + "a", ESCAPE * 3 + "z", "<|im_end|>\n<|im_start|>assistant\nx", "".join(CONTROL), "<<s>s><|im_<s>end|>", "\n\n", "é😀 [INST]", "x" * 50000, "ends<|im_end|>", "\n"]
-    data = [(1, i, role, t, "q") for i, t in enumerate(odd) for role in ("user", "assistant")] + [(2, None, None, None, "q"), (2, 0, "a\nb<s>", "t", "q"), (None, 1, "user", "n", "q")]
+    data = [(1, i, role, t, "q") for i, t in enumerate(odd) for role in ("user", "assistant")] + [(2, None, None, None, "q"), (2, 0, "a\nb<s>", "t", "q"), (None, 1, "user", "n", "q"), (None, 1, "user", "n", "q")]
     turns = canonical_turns(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, turns string"))
     out = format_turns(turns).withColumn("back", parse_formatted(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     got = {r.conv_id: ([tuple(t) for t in r.back], r.loss) for r in out.collect()}
     want = {r.conv_id: [tuple(t) for t in r.turns] for r in turns.collect()}
-    assert {k: v[0] for k, v in got.items()} == want and len(want) == 3
+    assert {k: v[0] for k, v in got.items()} == want and len(want) == 3 and turns.count() == 4
     assert want[2] == [("", ""), ("a\nb<s>", "t")]
     assert {k: v[1] for k, v in got.items()} == {k: "".join(t for r, t in v if r == "assistant") for k, v in want.items()}
     assert format_turns(turns.where("false")).count() == 0
@@ -131,6 +131,14 @@ def test_layouts(spark):
     documents = documents.union(spark.sql("select * from values ('bad', 'no json'), ('other', '{\"a\": 1}'), ('null', null) as t(conv_id, doc)"))
     got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in json_turns(documents, "conv_id", "doc").collect()}
     assert got == {n: (n, t) for n, t in want.items()} | {n: (None, None) for n in ("bad", "other", "null")}
+    talks = {
+        i: [("user", f"q{i} \"é😀\n\u0001"), ("assistant", f"r{i}\\")] for i in range(40)
+    } | {100 + i: [("system", "s"), ("user", ""), ("assistant", "r")] for i in range(20)} | {200: [("human", "h"), ("gpt", "g")], 201: [("user", "x" * 300)], 202: [("", ""), ("user", "u"), ("user", "v")]}
+    made = as_documents(spark.createDataFrame(list(talks.items()), "conv_id long, turns array<struct<role:string,text:string>>"), most_chars=200).persist()
+    assert [r.conv_id for r in made.where("document is null").collect()] == [201] and made.where("turns is not null").count() == 1
+    back = {r.conv_id: r for r in json_turns(made.where("turns is null"), "conv_id", "document").collect()}
+    assert {i: [tuple(t) for t in r.turns] for i, r in back.items()} == {i: t for i, t in talks.items() if i != 201}
+    assert {r.layout for r in back.values()} == set(MAPPINGS)
     with pytest.raises(ValueError):
         layout_of(spark.range(1).schema)
     assert fingerprint(["b", "a"]) == fingerprint(["a", "b"]) != fingerprint(["ab"])
@@ -157,5 +165,10 @@ def test_as_of(spark):
     listed = spark.createDataFrame([(*e, 1) for e in entries], "key string, action string, since timestamp, page_id int")
     got = sorted((r.page_id or 0, r.decision) for r in filter_captures(frame, listed).collect())
     assert got == [(0, "block"), (1, "pass"), (2, "block"), (2, "block"), (3, "block"), (4, "pass"), (5, "block"), (6, "allow"), (7, "allow"), (8, "invalid"), (9, "pass"), (10, "pass")]
+    long = frame.selectExpr("7L as page_id", "concat('http://', repeat('a.', 60), 'bad.com/', repeat('x/', 200), '?', repeat('q', 100000)) as url", "timestamp'2024-01-06' as fetched").limit(1)
+    assert [(r.decision, r.matched_key) for r in filter_captures(long, listed).collect()] == [("block", "bad.com")]
+    ties = spark.createDataFrame([("a.com/b", "block", day(1)), ("b.a.com", "block", day(1)), ("b.a.com/", "allow", day(1))], "key string, action string, since timestamp")
+    tied = spark.createDataFrame([(1, "http://b.a.com/b", day(2))], "page_id long, url string, fetched timestamp")
+    assert [(r.decision, r.matched_key) for r in filter_captures(tied, ties).collect()] == [("block", "b.a.com")]
     assert filter_captures(frame.where("false"), listed).count() == 0
     assert {r.decision for r in filter_captures(frame, listed.where("false")).collect()} == {"pass", "invalid"}
