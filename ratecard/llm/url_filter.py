@@ -10,7 +10,10 @@ that contain its fetch time. The most specific active key decides: longer keys
 first, ``allow`` before ``block`` on equal keys; none: ``pass``.
 
 The join is on a key, with the time as a further condition: no side is broadcast
-unless Spark's own size check says so, and adaptive execution splits a hot host.
+unless Spark's own size check says so. Every capture sends its top-level domain, so
+a key can be in most of them: keys are dealt to ``SALTS`` parts by the capture, and
+the far fewer intervals go to each part; after that the join is a plain one of two
+shuffles, which adaptive execution can split further.
 Captures carry only their ids, keys and times into the shuffle.
 
 Defined cases: a URL that is null or has no host is ``invalid``; a capture
@@ -29,6 +32,7 @@ from .common import table
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
+SALTS = 16
 _RANK = "case action when 'remove' then 3 when 'allow' then 2 when 'block' then 1 end"
 
 
@@ -58,9 +62,11 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def filter_captures(captures: DataFrame, entries: DataFrame, id_column: str = "page_id") -> DataFrame:
     """(id, host, fetched, decision, matched_key, since) for each of ``captures`` (id, url, fetched)."""
     rows = captures.select(F.col(id_column).alias("id"), F.col("url").cast("string").alias("url"), F.col("fetched").cast("timestamp").alias("fetched"))
-    probes = rows.select("id", "url", "fetched", F.explode_outer(F.when(host_of(F.col("url")).isNotNull(), url_keys(F.col("url")))).alias("key"))
-    lists = validity_intervals(entries).withColumnRenamed("key", "list_key")
-    active = (F.col("key") == F.col("list_key")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
+    part = F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(SALTS)).cast("int").alias("part")
+    probes = rows.select("id", "url", "fetched", part, F.explode(F.when(host_of(F.col("url")).isNotNull(), url_keys(F.col("url")))).alias("key"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("list_part")
+    lists = validity_intervals(entries).withColumnRenamed("key", "list_key").select("*", every)
+    active = (F.col("key") == F.col("list_key")) & (F.col("part") == F.col("list_part")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     met = probes.join(lists, active, "inner").select("id", "url", "fetched", F.struct(F.length("list_key").alias("n"), F.when(F.col("action") == "allow", 1).otherwise(0).alias("a"), "list_key", "since").alias("hit"))
     best = met.groupBy("id", "url", "fetched").agg(F.max("hit").alias("hit")).toDF("id_", "url_", "fetched_", "hit")
     out = rows.join(best, rows.id.eqNullSafe(best.id_) & rows.url.eqNullSafe(best.url_) & rows.fetched.eqNullSafe(best.fetched_), "left")
