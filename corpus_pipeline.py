@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecard.llm.common import saved, table
+from ratecard.llm.common import forget, saved, table
 from ratecard.llm.decontamination import decontaminate
 from ratecard.llm.jaccard_join import jaccard_join
 from ratecard.llm.packing import pack_documents
@@ -47,5 +47,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "scratch"):
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
