@@ -35,13 +35,16 @@ def test_stages_in_turn(spark, library):  # noqa: F811
     assert {r.doc_id for r in pieces} == left
 
     whole = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r.doc_id, r.start, r.length) for r in whole if r.start == 0 and r.length == r.doc_tokens) or whole
+    check_pieces(whole, {r.doc_id: r.text for r in safe.collect()}, library)
     assert {r.doc_id for r in whole} == left
 
 
 def test_defined_cases(spark):
-    docs = spark.createDataFrame([(1, None, "a"), (None, "b " * 30, "b"), (None, "b " * 30, "c"), (2, "", "d"), (3, "b " * 30, "e")], "doc_id long, text string, component string")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns, name
+    docs = spark.createDataFrame([(1, None, "a"), (None, "b " * 30, "b"), (None, "b " * 30, "c"), (2, "", "d"), (3, "b " * 30, "e"), (4, "long words stand here " * 30_000, "f"), (5, "c", "g"), (5, "c", "g")], "doc_id long, text string, component string")
+    for name, stage in corpus_pipeline.STAGES:
+        assert name == "packing" or stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, docs.where("false"), SF).count() == 0, name
-    assert corpus_pipeline.ngram_jaccard_join(spark, docs, SF).count() == 5
+    pieces = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 4) == 4 * 30_000 + 1
+    assert sorted((r.doc_id, r.length) for r in pieces if r.doc_id in (1, 2, 5)) == [(1, 1), (2, 1), (5, 2), (5, 2)]
+    assert corpus_pipeline.ngram_jaccard_join(spark, docs, SF).count() == 8
