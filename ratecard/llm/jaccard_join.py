@@ -13,22 +13,27 @@ threshold, down to connected components. The steps:
 3. *Prefixes.* Tokens are ordered: rare ones by hash, then frequent ones by
    frequency. With t = ceil(threshold * n), two sets that link share k tokens at
    least of their first n - t + k, for every k up to t. The rare tokens of the
-   first n - t + 1 are indexed singly. If all of those are rare (k = 1), that is
-   all: a linked pair shares one of them. Otherwise the set is *heavy*, and its
-   prefix is extended to k = 2 + ceil(n / 8); a linked pair of heavy sets without
+   first n - t + k are indexed singly, for the largest k up to ``shared_needed``
+   that leaves only rare ones there, and a linked pair shares k of them (the
+   smaller k of the two sets). If no k does, the set is *heavy*: all its rare
+   tokens are indexed singly, and its prefix is extended to k = 2 + ceil(n / 8); a
+   linked pair of heavy sets without
    a common rare token shares k frequent tokens of it, so some two of those,
    neighbours among the shared, stand at most ``REACH`` apart in both lists (the
    gaps of either list add up to its length). All combinations of two frequent
    tokens within that reach are indexed.
 4. *Candidates.* Classes under one index key whose sizes allow the threshold are
-   paired, for keys of up to ``group`` classes. Keys with more are handled in two
+   paired, for keys of up to ``group`` classes, and pairs that share fewer single
+   tokens than needed are dropped. Keys with more classes are handled in two
    rounds: first every class against the key's most central one (the one with the
    fewest rare tokens). Then, after components are known, classes that keys of
    this kind connect form clusters, and clusters of several components are
    compared in blocks of two times ``CHUNK`` classes, by counting common tokens;
    no pair is written but those that join two components.
 5. *Verification* on the full shingle sets, of pairs whose sketches (parities of
-   hashed cells, a bound from below on what they differ in) allow it; components.
+   hashed cells, a bound from below on what they differ in) allow it: first each
+   class against its smallest partner, then the pairs that components do not join
+   already.
 
 Every pair at or above the threshold is either verified or lies inside a
 component already, so components are exact; 64-bit hashes stand for shingles.
@@ -50,14 +55,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, task_partitions
+from .common import forget, saved, table, task_partitions
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 #: Reach of token combinations; see ``reach_needed``.
 REACH = 8
-#: Keys that are dealt to tasks: as many at any size up to that of the input.
-LEAST_BUCKETS = 64
+#: Bytes of packed tokens or postings in a bucket, which is what a task holds at a time.
+BUCKET_BYTES = 16 << 20
+#: Cells that ids are hashed to, where a few documents are looked for among all.
+CELLS = 1 << 20
+#: How many single tokens a heavy set must share: with another heavy set one, else what that one must.
+_HEAVY = 65_535
 _CHUNK = 512
 #: Classes in a chunk of a cluster; every two chunks meet in a task.
 CHUNK = 256
@@ -72,6 +81,11 @@ def extension(n: int) -> int:
     return 2 + -(-n // 8)
 
 
+def shared_needed(n: int) -> int:
+    """Single tokens that a pair has to share, at most: a longer prefix for far fewer candidates."""
+    return min(2 + n // 64, _HEAVY - 1)
+
+
 def reach_needed(n: int, threshold: Fraction) -> float:
     """How far two neighbouring shared tokens of a heavy set of n can stand apart."""
     widest = int(n / threshold)
@@ -92,34 +106,67 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return first - ((first >> 63) << 64), second - ((second >> 63) << 64)
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the tokens in each cell, as words; from 1024 cells on, a larger
-    set has four times as many, or again as many, so that they do not saturate."""
-    bits = 10
-    while len(tokens) > 1 << bits and bits < 18:
-        bits += 2
+def _sketch(tokens: np.ndarray, bits: int = 10) -> np.ndarray:
+    """The parity of the tokens in each of 2 ** bits cells, as words."""
     return np.packbits((np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide_sketch(tokens: np.ndarray) -> np.ndarray | None:
+    """Of sets that would saturate the 1024 cells: as many cells as tokens at least."""
+    return _sketch(tokens, min(18, 2 * -(-(len(tokens) - 1).bit_length() // 2))) if len(tokens) > 1024 else None
+
+
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit signature and a sketch of the set."""
+    """doc_id, n_shingles, a 128-bit signature and sketches of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            n, a, b, sketches = zip(*((len(s), *_signature(s), _sketch(s)) for s in shingle_sets(texts, words)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig1", "sig2", "sketch"])
+            n, a, b, sketches, wide = zip(*((len(s), *_signature(s), _sketch(s), _wide_sketch(s)) for s in shingle_sets(texts, words)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig1", "sig2", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, sketch array<bigint>, wide array<bigint>")
 
 
 def _short(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(32)).astype(np.uint32)
 
 
-def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket together, bucket after bucket: a task holds one at a time."""
+    return packed.repartition(min(buckets, max(task_partitions(packed.sparkSession), buckets // 4)), "bucket").sortWithinPartitions("bucket")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list[bytes]]]:
+    """The columns of each bucket of a partition of ``_by_bucket``."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, *rest in zip(*(batch.column(i).to_pylist() for i in range(columns + 1))):
+            if bucket != now and held:
+                yield list(zip(*held))
+                held = []
+            now = bucket
+            held.append(rest)
+    if held:
+        yield list(zip(*held))
+
+
+def _packed(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted 32-bit words as the gaps between them: 16 bits each, and the wide gaps beside."""
+    gaps = np.diff(tokens, prepend=tokens[:1] * 0)
+    wide = gaps >= 0xFFFF
+    return np.where(wide, 0xFFFF, gaps).astype(np.uint16).tobytes(), gaps[wide].astype(np.uint32).tobytes()
+
+
+def _unpacked(gaps: bytes, wide: bytes) -> np.ndarray:
+    out = np.frombuffer(gaps, np.uint16).astype(np.uint32)
+    out[out == 0xFFFF] = np.frombuffer(wide, np.uint32)
+    return np.cumsum(out, dtype=np.uint32)
+
+
+def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5, total_tokens: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the frequent tokens, sorted, and their frequencies."""
     spark = docs.sparkSession
-    buckets = max(LEAST_BUCKETS, task_partitions(spark))
+    buckets = max(task_partitions(spark), -(-total_tokens * 5 // BUCKET_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -132,8 +179,8 @@ def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5) -> t
             for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
                 part, m = tokens[a:b], n[a:b]
                 many = m > 1
-                rows.append((i, part[~many].tobytes(), part[many].tobytes(), m[many].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "once", "many", "times"])
+                rows.append((i, *_packed(part[~many]), *_packed(part[many]), m[many].astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "once", "once_wide", "many", "many_wide", "times"])
 
         for _, texts in _chunks(batches):
             for s in shingle_sets(texts, words):
@@ -146,14 +193,10 @@ def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5) -> t
             yield from flush()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for bucket, once, many, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                one, more = np.frombuffer(once, np.uint32), np.frombuffer(many, np.uint32)
-                parts.setdefault(bucket, []).append((np.concatenate([one, more]), np.concatenate([np.ones(len(one), np.uint32), np.frombuffer(times, np.uint32)])))
-        for bucket in list(parts):
-            own = parts.pop(bucket)
-            tokens, times = (np.concatenate(c) for c in zip(*own))
+        for once, once_wide, many, many_wide, counts in _buckets(batches, 5):
+            once, many = (np.concatenate([_unpacked(a, b) for a, b in zip(*x)]) for x in ((once, once_wide), (many, many_wide)))
+            counts = np.frombuffer(b"".join(counts), np.uint32)
+            tokens, times = np.concatenate([once, many]), np.concatenate([np.ones(len(once), np.uint32), counts])
             order = np.argsort(tokens)
             tokens, times = tokens[order], times[order]
             first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
@@ -161,8 +204,8 @@ def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5) -> t
             keep = df > group
             yield pa.RecordBatch.from_arrays([pa.array(tokens[first][keep].astype(np.int64)), pa.array(df[keep])], names=["token", "df"])
 
-    packed = docs.mapInArrow(count, "bucket int, once binary, many binary, times binary")
-    counted = saved(packed.repartition(buckets, "bucket").mapInArrow(total, "token bigint, df bigint"), "frequent")
+    packed = docs.mapInArrow(count, "bucket int, once binary, once_wide binary, many binary, many_wide binary, times binary")
+    counted = saved(_by_bucket(packed, buckets).mapInArrow(total, "token bigint, df bigint"), "frequent")
     steps = counted.groupBy(F.floor(F.log2("df") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
     held, least = 0, None
     for row in steps:  # at most 8 for each doubling
@@ -170,112 +213,131 @@ def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5) -> t
             break
         held, least = held + row["count"], row.step
     if least is None:
+        forget(counted)
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     rows = counted.where(F.floor(F.log2("df") * 8) >= least).toArrow()
+    forget(counted)
     tokens, df = (np.asarray(rows.column(i).combine_chunks()) for i in (0, 1))
     order = np.argsort(tokens)
     return tokens[order].astype(np.uint32), df[order].astype(np.int64)
 
 
-def prefix_keys(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: Fraction, combined: bool) -> np.ndarray:
-    """Index keys of one set: its rare single tokens, or its combinations of frequent ones."""
-    n = len(tokens)
-    t = need(n, threshold)
+def _frequencies(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many documents hold each token, if it is a frequent one; else 0."""
     names, counts = frequent
     short = _short(tokens)  # tokens are sorted, so are these
     at = np.searchsorted(names, short)
-    df = np.zeros(n, np.int64)
+    df = np.zeros(len(tokens), np.int64)
     known = at < len(names)
     known[known] = names[at[known]] == short[known]
     df[known] = counts[at[known]]
-    rare = int(n - known.sum())
+    return df
+
+
+def single_keys(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: Fraction) -> tuple[np.ndarray, int]:
+    """The rare tokens that index a set singly, and how many of them a linked one shares."""
+    n = len(tokens)
+    t = need(n, threshold)
+    rare = tokens[_frequencies(tokens, frequent) == 0]
+    k = min(shared_needed(n), t, len(rare) - (n - t))
+    return (rare[: n - t + k], k) if k >= 1 else (rare, _HEAVY)
+
+
+def combined_keys(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: Fraction) -> tuple[np.ndarray, int]:
+    """The combinations of frequent tokens that index a heavy set (of others none), and its number of rare ones."""
+    n = len(tokens)
+    t = need(n, threshold)
+    df = _frequencies(tokens, frequent)
+    often = np.flatnonzero(df)
+    rare = n - len(often)
     if rare >= n - t + 1:
-        return np.zeros(0, np.uint64) if combined else tokens[~known][: n - t + 1]
-    if not combined:
-        return tokens[~known]
-    often = np.flatnonzero(known)
+        return np.zeros(0, np.uint64), rare
     often = often[np.lexsort((tokens[often], df[often]))][: n - t + min(extension(n), t) - rare]
     row = tokens[often]
-    return np.unique(np.concatenate([mix(row[:-d] * np.uint64(3) + row[d:] * np.uint64(7)) for d in range(1, min(REACH, len(row) - 1) + 1)] or [np.zeros(0, np.uint64)]))
+    keys = [mix(row[:-d] * np.uint64(3) + row[d:] * np.uint64(7)) for d in range(1, min(REACH, len(row) - 1) + 1)]
+    return np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)])), rare
 
 
-def _postings(docs: DataFrame, shipped, threshold: Fraction, words: int) -> DataFrame:
-    """(bucket, keys, classes, sizes): packed rows of the single-token index."""
-    buckets = max(LEAST_BUCKETS, task_partitions(docs.sparkSession))
+def _postings(docs: DataFrame, shipped, threshold: Fraction, words: int, buckets: int) -> DataFrame:
+    """(bucket, keys, classes, sizes, needed): packed rows of the single-token index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
         seen: set[int] = set()
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([k for k, _, _ in held])
-            lens = [len(k) for k, _, _ in held]
-            ids, n = np.repeat(np.array([i for _, i, _ in held], np.int64), lens), np.repeat(np.array([m for _, _, m in held], np.uint32), lens)
-            # a power of keys: prefixes hold small hashes, so that their high bits are uneven
+            keys = np.concatenate([x[0] for x in held])
+            lens = [len(x[0]) for x in held]
+            ids, n, k = (np.repeat(np.array([x[i] for x in held], t), lens) for i, t in ((1, np.int64), (2, np.uint32), (3, np.uint16)))
+            # mixed: prefixes hold small hashes, so that their high bits are uneven
             to = ((mix(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = [(i, keys[o].tobytes(), ids[o].tobytes(), n[o].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if len(o := order[a:b])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "classes", "sizes"])
+            rows = [(i, *(c[o].tobytes() for c in (keys, ids, n, k))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if len(o := order[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "keys", "classes", "sizes", "needed"])
 
         for _, texts in _chunks(batches):
             for s in shingle_sets(texts, words):
                 if len(s) and (sig := _signature(s)[0]) not in seen:  # a copy's keys go once
                     seen.add(sig)
-                    held.append((prefix_keys(s, shipped.value, threshold, False), sig, len(s)))
-                    size += len(held[-1][0])
+                    keys, k = single_keys(s, shipped.value, threshold)
+                    held.append((keys, sig, len(s), k))
+                    size += len(keys)
             if size > 2_000_000:
                 yield from flush()
                 held, seen, size = [], set(), 0
         if size:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, keys binary, classes binary, sizes binary")
+    return docs.mapInArrow(run, "bucket int, keys binary, classes binary, sizes binary, needed binary")
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.minimum(n, m) * np.int64(threshold.denominator) >= np.maximum(n, m) * np.int64(threshold.numerator)
 
 
-def _pairs_of_keys(packed: DataFrame, group: int, threshold: Fraction) -> DataFrame:
-    """(a, b, key): pairs of classes (a < b, key null), or memberships (a, key) of keys too large to pair."""
-    buckets = max(LEAST_BUCKETS, task_partitions(packed.sparkSession))
+def _pairs_of_keys(packed: DataFrame, group: int, threshold: Fraction, buckets: int) -> DataFrame:
+    """(a, b, key, shared, needed): pairs of classes (a < b, key null) with the tokens
+    that they share in a bucket, or memberships (a, size b, key) of keys too large to pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-        for batch in batches:
-            for bucket, *rest in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                blobs.setdefault(bucket, []).append(tuple(rest))
-        for bucket in list(blobs):
-            columns = list(zip(*blobs.pop(bucket)))
-            keys, ids, n = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.uint64, np.int64, np.uint32)))
+        for own in _buckets(batches, 4):
+            keys, ids, n, k = (np.frombuffer(b"".join(c), t) for c, t in zip(own, (np.uint64, np.int64, np.uint32, np.uint16)))
             order = np.lexsort((ids, keys))
-            keys, ids, n = keys[order], ids[order], n[order].astype(np.int64)
+            keys, ids, n, k = keys[order], ids[order], n[order].astype(np.int64), k[order].astype(np.int64)
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-            keys, ids, n = keys[new], ids[new], n[new]
+            keys, ids, n, k = keys[new], ids[new], n[new], k[new]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.concatenate([first, [len(keys)]]))
-            found = []
+            found = [np.zeros((2, 0), np.int64)]
             place = np.arange(len(keys)) - np.repeat(first, size)
             left = np.repeat(size, size) - 1 - place  # rows of the key after this one
-            left[np.repeat(size, size) > group] = 0
+            hot = np.repeat(size, size) > group
+            left[hot] = 0
             for d in range(1, int(left.max(initial=0)) + 1):
                 i = np.flatnonzero(left >= d)
                 i = i[_allowed(n[i], n[i + d], threshold)]
-                found.append(np.stack([ids[i], ids[i + d]], 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            hot = np.repeat(size, size) > group
+                found.append(np.stack([i, i + d]))
+            i, j = np.concatenate(found, axis=1)
+            order = np.lexsort((ids[j], ids[i]))
+            i, j = i[order], j[order]
+            new = np.flatnonzero(np.concatenate([[True], (ids[i][1:] != ids[i][:-1]) | (ids[j][1:] != ids[j][:-1])])) if len(i) else i
+            shared, i, j = np.diff(np.concatenate([new, [len(i)]])), i[new], j[new]
+            needed = np.where((k[i] == _HEAVY) & (k[j] == _HEAVY), 1, np.minimum(k[i], k[j]))
+            none = pa.nulls(int(hot.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([pairs[:, 0], ids[hot]])),
-                    pa.array(np.concatenate([pairs[:, 1], n[hot]])),
-                    pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(keys[hot].view(np.int64))]),
+                    pa.array(np.concatenate([ids[i], ids[hot]])),
+                    pa.array(np.concatenate([ids[j], n[hot]])),
+                    pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(keys[hot].view(np.int64))]),
+                    pa.concat_arrays([pa.array(shared.astype(np.int64)), none]),
+                    pa.concat_arrays([pa.array(needed), none]),
                 ],
-                names=["a", "b", "key"],
+                names=["a", "b", "key", "shared", "needed"],
             )
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "a bigint, b bigint, key bigint")
+    return _by_bucket(packed, buckets).mapInArrow(run, "a bigint, b bigint, key bigint, shared bigint, needed bigint")
 
 
 def _combinations(docs: DataFrame, shipped, threshold: Fraction, words: int) -> DataFrame:
@@ -285,9 +347,9 @@ def _combinations(docs: DataFrame, shipped, threshold: Fraction, words: int) ->
         for _, texts in _chunks(batches):
             rows: dict[int, tuple[np.ndarray, int, int]] = {}
             for s in shingle_sets(texts, words):
-                keys = prefix_keys(s, shipped.value, threshold, True)
+                keys, rare = combined_keys(s, shipped.value, threshold)
                 if len(keys):
-                    rows[_signature(s)[0]] = keys, len(s), int(len(s) - np.isin(_short(s), shipped.value[0]).sum())
+                    rows[_signature(s)[0]] = keys, len(s), rare
             if rows:
                 lens = [len(r[0]) for r in rows.values()]
                 yield pa.RecordBatch.from_arrays(
@@ -298,6 +360,18 @@ def _combinations(docs: DataFrame, shipped, threshold: Fraction, words: int) ->
     return docs.mapInArrow(run, "key bigint, a bigint, n bigint, rare bigint").distinct()
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with these ids, one of each.
+
+    Texts are not shuffled to find the few: a document's id is hashed to one of
+    ``CELLS`` cells, and the cells that hold a wanted id, no more than that many
+    numbers at any size, are broadcast to drop nearly all others where they are read.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int").alias("cell")
+    near = docs.toDF("id", "text").select("id", "text", cell("id")).join(F.broadcast(ids.select(cell("id")).distinct()), "cell", "left_semi")
+    return near.select("id", "text").join(ids, "id").dropDuplicates(["id"])
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: Fraction, words: int) -> DataFrame:
     """Of ``pairs`` (u, v: doc_ids) those whose sets reach the threshold."""
 
@@ -314,9 +388,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: Fraction, words: int
                 yield pa.RecordBatch.from_arrays([piece.column(0).filter(mask), piece.column(1).filter(mask)], names=["u", "v"])
 
     ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = saved(docs.toDF("id", "text").join(ends, "id").dropDuplicates(["id"]), "texts")
+    texts = saved(_texts_of(docs, ends), "texts")
     rows = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
-    return rows.select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint")
+    out = saved(rows.select("u", "v", "text_u", "text_v").mapInArrow(run, "u bigint, v bigint"), "links")
+    forget(texts)
+    return out
+
+
+def _links(docs: DataFrame, pairs: DataFrame, threshold: Fraction, words: int) -> DataFrame:
+    """Verified pairs, enough for the components of all that reach the threshold: each
+    class against its smallest partner, then what lies between different components."""
+    nearest = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    first = _verified(docs, nearest, threshold, words)
+    known = connected_components(first).toDF("id", "component")
+    rest = pairs.join(nearest, ["u", "v"], "left_anti")
+    rest = rest.join(known.toDF("u", "cu"), "u", "left").join(known.toDF("v", "cv"), "v", "left")
+    second = _verified(docs, saved(rest.where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"), "rest"), threshold, words)
+    return first.unionByName(second)
 
 
 def _joined_in_cluster(key, part):
@@ -364,7 +452,7 @@ def _cluster_links(docs: DataFrame, hot: DataFrame, ids: DataFrame, near: DataFr
     mixed = member.groupBy("cluster").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     member = member.join(mixed.select("cluster", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "cluster")
     member = saved(member.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")), "members")
-    texts = docs.toDF("id", "text").join(member.select("id"), "id").dropDuplicates(["id"])
+    texts = _texts_of(docs, member.select("id").distinct())
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("a"), F.greatest("chunk", c).alias("b")))
     dealt = member.join(texts, "id").select("cluster", F.explode(meets).alias("meet"), "chunk", "id", "component", "text")
     fixed = [F.lit(x).alias(c) for c, x in (("num", threshold.numerator), ("den", threshold.denominator), ("words", words))]
@@ -380,10 +468,13 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: i
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     prints = saved(fingerprints(docs, words), "prints")
-    classes = saved(prints.where("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")), "classes")
+    sets = F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("wide").alias("wide")
+    classes = saved(prints.where("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(*sets), "classes")
+    tokens = prints.agg(F.sum("n_shingles")).first()[0] or 0
 
-    shipped = spark.sparkContext.broadcast(frequent_tokens(docs, group, most_frequent, words))
-    singles = saved(_pairs_of_keys(_postings(docs, shipped, threshold, words), group, threshold), "pairs")
+    shipped = spark.sparkContext.broadcast(frequent_tokens(docs, group, most_frequent, words, tokens))
+    buckets = max(task_partitions(spark), -(-tokens * 6 // BUCKET_BYTES))
+    singles = saved(_pairs_of_keys(_postings(docs, shipped, threshold, words, buckets), group, threshold, buckets), "pairs")
     index = saved(_combinations(docs, shipped, threshold, words), "combinations")
     sizes = saved(index.groupBy("key").agg(F.count("*").alias("size"), F.min_by("a", F.struct("rare", "n", "a")).alias("first")).where("size > 1"), "keys")
     small = index.join(sizes.where(F.col("size") <= group).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias("own")).select("own").distinct()
@@ -393,17 +484,22 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: i
     large = singles.where("key is not null").select("key", "a", F.col("b").alias("n"))  # only if the limit of frequent tokens moved
     hot = hot.unionByName(large.join(large.groupBy("key").agg(F.min("a").alias("first")), "key").select("key", "a", "n", "first"))
     hot = saved(hot, "hot")
-    pairs = singles.where("key is null").select("a", "b").unionByName(paired).unionByName(hot.where("a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b"))).distinct()
+    alone = singles.where("key is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed").select("a", "b")
+    pairs = alone.unionByName(paired).unionByName(hot.where("a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b"))).distinct()
 
     ids = classes.select("sig1", "class_id")
     first = saved(_named(pairs, classes, threshold), "candidates")
-    edges = saved(_verified(docs, first, threshold, words), "links")
+    forget(singles, index, sizes)
+    edges = _links(docs, first, threshold, words)
     if not hot.isEmpty():
         edges = edges.unionByName(saved(_cluster_links(docs, hot, ids, connected_components(edges), threshold, words), "links"))
+    forget(hot, first)
     labels = connected_components(edges)
-    out = prints.drop("sketch").join(classes.drop("sketch"), ["n_shingles", "sig1", "sig2"], "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = prints.drop("sketch", "wide").join(classes.drop("sketch", "wide"), ["n_shingles", "sig1", "sig2"], "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), (component == F.col("doc_id")).alias("kept"))
+    result = saved(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), (component == F.col("doc_id")).alias("kept")), "components")
+    forget(prints, classes)
+    return result
 
 
 def _named(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -411,13 +507,23 @@ def _named(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFra
 
     Left out: pairs whose sketches show that they differ in too many tokens. A
     sketch has the parity of the tokens in each of its cells, so two sets differ
-    in as many tokens at least as their sketches in bits. Sketches of different
-    sizes are not compared.
+    in as many tokens at least as their sketches in bits. Only pairs that the small
+    sketches leave, of sets that are large both, meet the wide ones.
     """
-    side = lambda sig, i: classes.select(F.col("sig1").alias(sig), F.col("class_id").alias(f"id_{i}"), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"s_{i}"))
-    named = pairs.join(side("a", 1), "a").join(side("b", 2), "b").where("id_1 <> id_2")
-    bits = "aggregate(zip_with(s_1, s_2, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c)"
-    near = named.where(f"size(s_1) <> size(s_2) or {bits} * {threshold.numerator + threshold.denominator}L <= (n_1 + n_2) * {threshold.denominator - threshold.numerator}L")
+
+    def apart(one: str, two: str) -> str:
+        bits = f"aggregate(zip_with({one}, {two}, (x, y) -> bit_count(x ^ y)), 0, (n, c) -> n + c)"
+        return f"{bits} * {threshold.numerator + threshold.denominator}L > (n_1 + n_2) * {threshold.denominator - threshold.numerator}L"
+
+    def side(sig: str, i: int, sketch: str) -> DataFrame:
+        return classes.select(F.col("sig1").alias(sig), F.col("class_id").alias(f"id_{i}"), F.col("n_shingles").alias(f"n_{i}"), F.col(sketch).alias(f"s_{i}"))
+
+    named = pairs.join(side("a", 1, "sketch"), "a").join(side("b", 2, "sketch"), "b").where("id_1 <> id_2")
+    near = saved(named.where(f"not {apart('s_1', 's_2')}").select("a", "b", "id_1", "id_2", "n_1", "n_2"), "near")
+    large = near.where("n_1 > 1024 and n_2 > 1024").select("a", "b")
+    wide = large.join(side("a", 1, "wide"), "a").join(side("b", 2, "wide"), "b")
+    bad = wide.where(f"size(s_1) = size(s_2) and {apart('s_1', 's_2')}").select("id_1", "id_2")
+    near = near.join(bad, ["id_1", "id_2"], "left_anti")
     return near.select(F.least("id_1", "id_2").alias("u"), F.greatest("id_1", "id_2").alias("v")).distinct()
 
 
