@@ -116,3 +116,29 @@ def dimensions(text: Column) -> Column:
         F.when(stated.isNull() & known, metres[0] * metres[1]).alias("area_m2"),
         (stated.isNull() & numbers[0].isNotNull() & ~known).alias("ambiguous"),
     )
+
+
+#: For each duty of a wall, the blocks that suit it, the first one preferred.
+DUTY_GUIDE = {
+    "below_dpc": ("Red clay brick", "Concrete solid block"),
+    "load_bearing": ("Red clay brick", "Concrete solid block", "Fly ash brick"),
+    "framed_infill": ("AAC block", "CLC block", "Fly ash brick"),
+    "external_envelope": ("AAC block", "Red clay brick", "Concrete hollow block"),
+    "compound_wall": ("Concrete solid block", "Fly ash brick", "Red clay brick"),
+}
+
+
+def blocks_for(duty: Column) -> Column:
+    """The blocks that suit a wall's duty, in order; null for an unknown duty."""
+    out = F.lit(None).cast("array<string>")
+    for name, blocks in DUTY_GUIDE.items():
+        out = F.when(duty == name, F.array(*map(F.lit, blocks))).otherwise(out)
+    return out
+
+
+def run(kind: str, **given) -> dict[str, Column]:
+    """An estimate by the name of its kind: the registry that tools call."""
+    kinds = {"concrete": concrete, "masonry": masonry, "plaster": plaster, "steel": steel, "pipe": pipe}
+    if kind not in kinds:
+        raise ValueError(f"unknown estimate {kind!r}; known: {', '.join(kinds)}")
+    return kinds[kind](**given)

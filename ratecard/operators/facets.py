@@ -35,13 +35,22 @@ def constraints_match(constraints: dict[str, object], columns: dict[str, Column]
     return ok, matched, F.lit(len(wanted))
 
 
+def facet_value(raw: Column) -> Column:
+    """STRUCT<text, number, triple>: what labels are compared with, read from a value once."""
+    text = raw.cast("string")
+    return F.struct(text.alias("text"), number_in(text).alias("number"), text.rlike(r"\d\s*[×x]\s*\d").alias("triple"))
+
+
 def value_matches(raw: Column, label: str) -> Column:
     """Whether a value falls under a facet label, which is written for readers:
     dimension triples, intervals, Under and Over, a leading number, or text."""
-    text = F.coalesce(raw.cast("string"), F.lit(""))
-    number = number_in(text)
+    return matches(facet_value(raw), label)
+
+
+def matches(value: Column, label: str) -> Column:
+    """``value_matches`` of a value that ``facet_value`` has read."""
+    text, number = value.text, value.number
     clean = lambda s: float(s.replace(",", "").rstrip("."))
-    triple = text.rlike(r"\d\s*[×x]\s*\d")
     norm = lambda c: F.lower(F.regexp_replace(c, r"(?i)[\s×]*x[\s×]*|\s*×\s*|\s+", "×"))
     same = F.lower(text) == label.lower()
     numeric = None
@@ -54,37 +63,20 @@ def value_matches(raw: Column, label: str) -> Column:
     elif m := re.search(r"-?\d+(?:\.\d+)?", label.replace(",", "")):
         numeric = F.abs(number - float(m[0])) < 1e-9
     plain = same if numeric is None else F.when(number.isNotNull(), numeric).otherwise(same)
-    return F.coalesce(raw.isNotNull() & F.when(triple, norm(text) == norm(F.lit(label))).otherwise(plain), F.lit(False))
+    return F.coalesce(F.when(value.triple, norm(text) == norm(F.lit(label))).otherwise(plain), F.lit(False))
 
 
-def value_matches_row(raw: object, label: str) -> bool:
-    """The same for one value, in plain Python: the yardstick of the tests."""
-    if raw is None:
-        return False
-    text = str(raw)
-    if re.search(r"\d\s*[×x]\s*\d", text):
-        norm = lambda s: re.sub(r"[\s×]*x[\s×]*|\s*×\s*|\s+", "×", s, flags=re.I).lower()
-        return norm(text) == norm(label)
-    clean = lambda s: float(s.replace(",", "").rstrip("."))
-    if found := re.search(r"-?\d+(\.\d+)?", text.replace(",", "")):
-        n = float(found[0])
-        if m := re.search(rf"{_NUMBER}\s*[–-]\s*{_NUMBER}", label):
-            return clean(m[1]) <= n <= clean(m[2])
-        if m := re.match(r"Under\s+₹?([\d.,]+)", label, re.I):
-            return n < clean(m[1])
-        if m := re.match(r"Over\s+₹?([\d.,]+)", label, re.I):
-            return n > clean(m[1])
-        if m := re.search(r"-?\d+(?:\.\d+)?", label.replace(",", "")):
-            return abs(n - float(m[0])) < 1e-9
-    return text.lower() == label.lower()
-
-
-def failing_mask(facets: dict[str, tuple[Column, list[str]]], selected: dict[str, list[str]]) -> Column:
+def _read(rows: DataFrame, facets: dict[str, tuple[Column, list[str]]], *keep: str) -> DataFrame:
+    """``keep`` and one column of ``facet_value`` for each facet."""
+    return rows.select(*keep, *(facet_value(column).alias(f"_facet{i}") for i, (column, _) in enumerate(facets.values())))
+
+
+def failing_mask(facets: dict[str, tuple[Column, list[str]]], selected: dict[str, list[str]], value=lambda i, column: facet_value(column)) -> Column:
     """Bit i is set if the row fails the selection in the i-th facet (values of a facet are alternatives)."""
     mask = F.lit(0).cast("bigint")
     for i, (name, (column, _)) in enumerate(facets.items()):
         if chosen := selected.get(name):
-            hit = reduce(lambda a, b: a | b, (value_matches(column, v) for v in chosen))
+            hit = reduce(lambda a, b: a | b, (matches(value(i, column), v) for v in chosen))
             mask = mask + F.when(hit, F.lit(0)).otherwise(F.lit(1 << i)).cast("bigint")
     return mask
 
@@ -101,13 +93,14 @@ def facet_counts(rows: DataFrame, facets: dict[str, tuple[Column, list[str]]], s
     counts in f. Rows are first reduced to one bit set for each item, by a map-side
     OR, so neither the number of facets nor of values multiplies rows or scans.
     """
-    mask = failing_mask(facets, selected)
+    held = _read(rows, facets, item)
+    held = held.withColumn("_mask", failing_mask(facets, selected, lambda i, _: F.col(f"_facet{i}")))
     names, bits = [], []
-    for i, (name, (column, values)) in enumerate(facets.items()):
+    for i, (name, (_, values)) in enumerate(facets.items()):
         for value in values:
             names.append((name, value))
-            bits.append(F.bool_or(((mask == 0) | (mask == (1 << i))) & value_matches(column, value)))
-    reduced = rows.groupBy(item).agg(*(b.alias(f"v{i}") for i, b in enumerate(bits)))
+            bits.append(F.bool_or(F.col("_mask").isin(0, 1 << i) & matches(F.col(f"_facet{i}"), value)))
+    reduced = held.groupBy(item).agg(*(b.alias(f"v{i}") for i, b in enumerate(bits)))
     counted = reduced.agg(*(F.count_if(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(bits))))
     out = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.lit(v).alias("value"), F.col(f"v{i}").alias("n")) for i, (f, v) in enumerate(names))))
     return counted.select(out.alias("x")).select("x.*")

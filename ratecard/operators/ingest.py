@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import country
 from ..functions.money import half_up
 from ..functions.units import bar_kg_per_m, bore_mm, cement_bag_price, loosen, normalise_unit, number_in, short_id, squash
 from .plausibility import implausible_reason, off_topic_reason
 
-#: Parts of each category's identity, and kilograms of a canonical unit.
-IDENTITY = {"cement": ("brand", "cement_type", "grade", "pack_kg"), "tmt_steel": ("brand", "grade", "diameter_mm"), "water_pipes": ("brand", "pipe_system", "bore_mm"), "bricks_blocks": ("block_type", "size_mm")}
+#: Parts of each category's identity beside category and brand; in brackets those that may not apply.
+IDENTITY = {"cement": ("cement_type", "pack_kg", "[grade]"), "tmt_steel": ("diameter_mm", "grade"), "water_pipes": ("pipe_system", "bore_mm", "[pipe_class]", "length_m"), "bricks_blocks": ("block_type", "size_mm")}
+#: Kilograms of a canonical unit, typical sizes, lengths and densities, and mills that smelt their own steel.
 UNIT_KG = {"cement": 50.0, "tmt_steel": 1.0, "water_pipes": 0.42, "bricks_blocks": 3.1}
-ATTRIBUTES = ("brand", "cement_type", "grade", "pack_kg", "diameter_mm", "length_m", "pipe_system", "bore_mm", "block_type", "size_mm")
+TYPICAL_SIZE = {"Red clay brick": "230×110×75", "AAC block": "600×200×100"}
+TYPICAL_DENSITY = {"AAC block": 600.0, "Red clay brick": 1900.0}
+TYPICAL_LENGTH_M = {"tmt_steel": 12.0, "GI": 6.0, "": 3.0}
+PRIMARY_MILLS = "tata / jsw / sail / vizag / rinl / jindal panther / essar / arcelor"
+#: How types are written, the first that applies.
+CEMENT_TYPES = ((r"\bppc\b|pozzolana", "PPC"), (r"\bpsc\b|slag", "PSC"), (r"white", "White cement"), (r"\bsrc\b|sulphate", "Sulphate resisting"), (r"\bopc\b|ordinary portland", "OPC"))
+PIPE_SYSTEMS = (("cpvc", "CPVC"), (r"\bswr\b|soil.{0,8}waste|drainage", "SWR"), ("hdpe", "HDPE"), (r"\bgi\b|galvan", "GI"), ("upvc|pvc", "UPVC / PVC"))
+BLOCK_TYPES = (
+    (r"\baac\b|autoclaved|aerated", "AAC block"),
+    (r"\bclc\b|cellular", "CLC block"),
+    (r"fly\s?ash", "Fly ash brick"),
+    ("hollow", "Concrete hollow block"),
+    (r"solid.*(?:block|concrete)|concrete.*solid|cement block", "Concrete solid block"),
+    (r"red\s?(?:clay\s?)?brick|clay\s?brick|wire\s?cut|table\s?mould|\bbrick\b", "Red clay brick"),
+    ("block", "Concrete solid block"),
+)
+#: For each pipe system, where its class is written, and how it is named.
+PIPE_CLASSES = {"CPVC": (r"SDR\s*-?\s*(11|13\.5)", "SDR-"), "UPVC / PVC": (r"CLASS\s*-?\s*([1-5])", "Class "), "SWR": (r"TYPE\s*-?\s*([AB])", "Type "), "HDPE": (r"PE\s*-?\s*(63|80|100)", "PE ")}
+GI_CLASSES = (("heavy|red", "Heavy"), ("medium|blue", "Medium"), ("light|yellow", "Light"))
+#: What else sellers state, and under which names.
+COMMERCIAL = {"color": ("Color", "Colour"), "material": ("Material", "Material Type"), "form": ("Form",), "shape": ("Shape",), "shelf_life": ("Shelf Life",), "standard_compliance": ("Standard Compliance", "IS Code", "Standards")}
+NOT_APPLICABLE = "~na"
 
 
 def spec(specs: Column, *keys: str) -> Column:
@@ -30,86 +53,150 @@ def spec(specs: Column, *keys: str) -> Column:
     return F.trim(F.coalesce(*picks))
 
 
-def detect_brand(title: Column, stated: Column, specs: Column, roster: list[str]) -> Column:
-    """The longest brand of the roster in the title, else in the stated brand, else in the specs.
+def with_brand(rows: DataFrame, roster: DataFrame | list[str], most_words: int = 4) -> DataFrame:
+    """``rows`` (title, brand, specs) with ``brand`` replaced by the roster's: the longest one
+    in the title, else in the stated brand, else in the specs; null if there is none.
 
-    A brand is looked for as words; one of six letters or more also without gaps.
+    A brand is found as a run of whole words; one of six letters or more also where
+    the words of a run are written apart or together. Runs of words meet the roster
+    in an equi-join, each distinct wording once, so the roster may be a table of any size.
     """
-    ordered = sorted(roster, key=lambda b: (-len(b), b))
-
-    def found(text: Column) -> Column:
-        words, solid = F.concat(F.lit(" "), loosen(F.coalesce(text, F.lit(""))), F.lit(" ")), squash(F.coalesce(text, F.lit("")))
-        out = F.lit(None).cast("string")
-        for brand in reversed(ordered):
-            plain = " ".join("".join(c if c.isalnum() else " " for c in brand.lower()).split())
-            hit = words.contains(f" {plain} ")
-            if len(plain.replace(" ", "")) >= 6:
-                hit = hit | solid.contains(plain.replace(" ", ""))
-            out = F.when(hit, F.lit(brand)).otherwise(out)
-        return out
-
-    return F.coalesce(found(title), found(stated), found(spec(specs, "brand", "make")))
-
-
-def _first(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(b,) for b in roster], "name string") if isinstance(roster, list) else roster.toDF("name")
+    plain, solid = loosen(F.col("name")), squash(F.col("name"))
+    keys = F.array_compact(F.array(F.struct(F.lit("w").alias("kind"), plain.alias("key")), F.when(F.length(solid) >= 6, F.struct(F.lit("s").alias("kind"), solid.alias("key")))))
+    known = known.where(plain != "").select("name", F.explode(keys).alias("k")).select("name", "k.kind", "k.key").distinct()
+
+    def runs(text: str, tier: int) -> Column:
+        words = F.filter(F.split(loosen(F.coalesce(F.col(text), F.lit(""))), " "), lambda w: w != "")
+        places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+        some = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.slice(words, i, n))))
+        both = lambda r: F.array(F.struct(F.lit("w").alias("kind"), F.array_join(r, " ").alias("key")), F.struct(F.lit("s").alias("kind"), F.array_join(r, "").alias("key")))
+        return F.transform(F.flatten(F.transform(some, both)), lambda k: F.struct(F.lit(tier).alias("tier"), k.kind.alias("kind"), k.key.alias("key")))
+
+    rows = rows.withColumns({"_t": F.coalesce("title", F.lit("")), "_b": F.coalesce("brand", F.lit("")), "_m": F.coalesce(spec(F.col("specs"), "brand", "make"), F.lit(""))})
+    texts = rows.select("_t", "_b", "_m").distinct()
+    probes = texts.select("_t", "_b", "_m", F.explode(F.array_distinct(F.concat(runs("_t", 0), runs("_b", 1), runs("_m", 2)))).alias("p")).select("_t", "_b", "_m", "p.*")
+    best = probes.join(known, ["kind", "key"]).groupBy("_t", "_b", "_m").agg(F.min_by("name", F.struct("tier", -F.length("name"), "name")).alias("_found"))
+    return rows.join(best, ["_t", "_b", "_m"], "left").withColumn("declared_brand", F.col("brand")).withColumn("brand", F.col("_found")).drop("_t", "_b", "_m", "_found")
+
+
+def _first(text: Column, pairs) -> Column:
     out = F.lit(None).cast("string")
     for pattern, value in reversed(pairs):
         out = F.when(text.rlike("(?i)" + pattern), F.lit(value)).otherwise(out)
     return out
 
 
-def attributes(rows: DataFrame, roster: list[str]) -> DataFrame:
+def _matched(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, "(?i)" + pattern, 1), F.lit(""))
+
+
+def pipe_bore(size: Column) -> Column:
+    """Millimetres that are no wall: not marked as one, and not under ten beside a size in inches; else the inches by the table."""
+    bare = F.regexp_replace(size, r"(?i)(?:thick|thk|wall|micron|gauge)\w*\s*[:\-]?\s*\d+(?:\.\d+)?\s*mm|\d+(?:\.\d+)?\s*mm\s*(?:thick|thk|wall)", " ")
+    inch = _matched(size, r'(\d+(?:\s*/\s*\d+|\.\d+)?(?:\s*[½¾¼])?|[½¾¼])\s*(?:inch|in\b|"|″)')
+    stated = F.transform(F.regexp_extract_all(bare, F.lit(r"(?i)(\d+(?:\.\d+)?)\s*mm"), 1), lambda x: x.cast("double"))
+    return F.coalesce(F.get(F.filter(stated, lambda x: ~((x < 10) & inch.isNotNull())), F.lit(0)), bore_mm(inch).cast("double"))
+
+
+def length_in_metres(stated: Column, title: Column) -> Column:
+    """A length as stated, else as the title has it; feet are converted to two places."""
+    metres = lambda n, feet: F.when(feet, F.round(n * 0.3048, 2)).otherwise(n)
+    own = metres(number_in(stated), stated.rlike("(?i)f(ee)?t"))
+    unit = r"(\d+(?:\.\d+)?)\s*(m|mtrs?|met(?:er|re)s?|feet|ft)\b(?!\s*m\b)"
+    named = metres(_matched(title, unit).try_cast("double"), F.regexp_extract(title, "(?i)" + unit, 2).rlike("(?i)f(ee)?t"))
+    return F.coalesce(F.nullif(own, F.lit(0.0)), named)
+
+
+def attributes(rows: DataFrame, roster: DataFrame | list[str]) -> DataFrame:
     """Typed attributes of every category, null where they do not apply."""
+    rows = with_brand(rows, roster)
     title, specs = F.coalesce(F.col("title"), F.lit("")), F.col("specs")
     of = lambda category, value: F.when(F.col("category") == category, value)
     either = lambda *keys: F.concat_ws(" ", title, spec(specs, *keys))
-    cement = _first(either("type", "cement type"), [(r"\bppc\b|pozzolana", "PPC"), (r"\bpsc\b|slag", "PSC"), (r"white", "White cement"), (r"\bsrc\b|sulphate", "SRC"), (r"\bopc\b|ordinary portland", "OPC")])
-    grade_c = F.nullif(F.regexp_extract(either("grade"), r"\b(33|43|53)\b", 1), F.lit(""))
-    grade_s = F.nullif(F.upper(F.regexp_extract(F.regexp_replace(either("grade"), r"\s", ""), r"(?i)fe-?(415|500d|500|550d|550|600)", 1)), F.lit(""))
-    pack = F.coalesce(F.regexp_extract(either("packaging size", "pack size", "weight"), r"(?i)(\d+(?:\.\d+)?)\s*kg", 1).try_cast("double"), F.lit(None).cast("double"))
-    diameter = F.coalesce(number_in(spec(specs, "diameter", "size")), F.regexp_extract(title, r"(?i)(\d+(?:\.\d+)?)\s*mm", 1).try_cast("double"))
-    length = F.coalesce(F.regexp_extract(either("length"), r"(?i)(\d+(?:\.\d+)?)\s*(?:m|mtrs?|met(?:er|re)s?)\b", 1).try_cast("double"), F.regexp_extract(either("length"), r"(?i)(\d+(?:\.\d+)?)\s*(?:ft|feet|foot)\b", 1).try_cast("double") / 3.28084)
-    system = _first(either("type", "material"), [("cpvc", "CPVC"), ("upvc", "UPVC"), ("hdpe", "HDPE"), ("swr", "SWR"), (r"\bpvc\b", "PVC"), (r"\bgi\b|galvani", "GI")])
-    inch = F.nullif(F.regexp_extract(either("size", "diameter"), r'(\d+(?:\s*/\s*\d+|\.\d+)?|\d*\s*[½¾¼])\s*(?:inch|"|″)', 1), F.lit(""))
-    thickness = r"(?i)(\d+(?:\.\d+)?)\s*mm(?:\s*(?:thick|wall))"
-    bore = F.coalesce(bore_mm(inch).cast("double"), F.regexp_extract(F.regexp_replace(either("size", "diameter"), thickness, ""), r"(?i)(\d+(?:\.\d+)?)\s*mm", 1).try_cast("double"))
-    block = _first(either("type", "material"), [(r"\baac\b|autoclaved", "AAC block"), (r"fly\s?ash", "Fly ash brick"), (r"hollow", "Hollow block"), (r"solid|concrete", "Concrete block"), (r"red|clay", "Clay brick")])
-    triple = F.regexp_replace(F.regexp_extract(F.lower(either("size", "dimension")), r"(\d{2,4}\s*[x×*]\s*\d{2,4}\s*[x×*]\s*\d{2,4})", 1), r"\s*[x×*]\s*", "×")
-    return rows.withColumns(
+    every = F.concat_ws(" ", title, F.concat_ws(" ", F.map_values(F.coalesce(specs, F.create_map().cast("map<string,string>")))))
+    within = lambda x, low, high: F.when(x.between(low, high), x)
+    grade_c = _matched(either("grade"), r"\b(33|43|53)\b")
+    grade_s = F.upper(_matched(F.regexp_replace(F.concat_ws(" ", spec(specs, "grade", "steel grade", "material grade"), title), r"\s", ""), r"fe-?(415|500d|500|550d|550|600)"))
+    pack = _matched(either("packaging size", "pack size", "weight"), r"(\d+(?:\.\d+)?)\s*kg").try_cast("double")
+    diameter = F.coalesce(number_in(spec(specs, "size", "diameter", "thickness", "bar size", "dia")), _matched(title, r"(\d+(?:\.\d+)?)\s*mm").try_cast("double"))
+    bar_length = within(number_in(spec(specs, "length", "bar length")), 1, 18)
+    rows = rows.withColumns(
         {
-            "brand": detect_brand(F.col("title"), F.col("brand"), specs, roster),
-            "cement_type": of("cement", cement),
-            "grade": F.coalesce(of("cement", F.concat(grade_c, F.lit(" grade"))), of("tmt_steel", F.concat(F.lit("Fe "), grade_s))),
+            "cement_type": of("cement", _first(either("type", "cement type"), CEMENT_TYPES)),
             "pack_kg": of("cement", F.coalesce(pack, F.lit(50.0))),
             "diameter_mm": of("tmt_steel", diameter),
-            "length_m": F.coalesce(of("tmt_steel", F.coalesce(length, F.lit(12.0))), of("water_pipes", length)),
-            "pipe_system": of("water_pipes", system),
-            "bore_mm": of("water_pipes", bore),
-            "block_type": of("bricks_blocks", block),
-            "size_mm": of("bricks_blocks", F.nullif(triple, F.lit(""))),
+            "pipe_system": of("water_pipes", _first(every, PIPE_SYSTEMS)),
+            "bore_mm": of("water_pipes", pipe_bore(F.concat_ws(" ", spec(specs, "size", "nominal size", "diameter", "pipe size", "outer diameter"), title))),
+            "block_type": of("bricks_blocks", _first(every, BLOCK_TYPES)),
+            "density_kg_m3": of("bricks_blocks", number_in(spec(specs, "density", "dry density"))),
+            "fly_ash_pct": of("bricks_blocks", number_in(spec(specs, "fly ash", "fly ash content", "fly ash percentage"))),
+            "compressive_strength_nmm2": of("bricks_blocks", number_in(spec(specs, "compressive strength", "strength", "crushing strength"))),
+            "supply_type": spec(specs, "supply type", "business type", "seller type"),
+            "country_of_origin": country(spec(specs, "country of origin", "origin", "made in")),
+        }
+    )
+    trade = spec(specs, "trade type")
+    rows = rows.withColumn("trade_type", F.when(trade.rlike("(?i)non"), "Non-Trade").when(trade.isNotNull(), "Trade"))
+    rows = rows.withColumns({name: F.when(F.length(v).between(2, 60), v) for name, keys in COMMERCIAL.items() if (v := spec(specs, *keys)) is not None})
+    rows = rows.withColumn("declared_brand", F.when(F.length(F.trim("declared_brand")).between(1, 60), F.trim("declared_brand")))
+    size = F.regexp_replace(_matched(F.lower(F.concat_ws(" ", spec(specs, "size", "dimension", "block size", "brick size"), title)), r"(\d{2,4}\s*[x×*]\s*\d{2,4}\s*[x×*]\s*\d{2,4})"), r"\s*[x×*]\s*", "×")
+    typical = lambda table: F.coalesce(*(F.when(F.col("block_type") == k, F.lit(v)) for k, v in table.items()))
+    classes = F.upper(F.concat_ws(" ", spec(specs, "class", "pressure class", "pressure rating", "sdr", "schedule", "grade"), title))
+    kind = F.when(F.col("pipe_system") == "GI", _first(classes, GI_CLASSES))
+    for system, (pattern, name) in PIPE_CLASSES.items():
+        kind = F.when(F.col("pipe_system") == system, F.concat(F.lit(name), _matched(classes, pattern))).otherwise(kind)
+    pipe_length = F.coalesce(within(length_in_metres(spec(specs, "length", "pipe length", "single piece length"), title), 0.5, 200), F.when(F.col("pipe_system") == "GI", TYPICAL_LENGTH_M["GI"]).otherwise(TYPICAL_LENGTH_M[""]))
+    rows = rows.withColumns(
+        {
+            "grade": F.coalesce(of("cement", F.concat(grade_c, F.lit(" grade"))), of("tmt_steel", F.concat(F.lit("Fe "), grade_s))),
+            "length_m": F.coalesce(of("tmt_steel", F.coalesce(bar_length, F.lit(TYPICAL_LENGTH_M["tmt_steel"]))), of("water_pipes", pipe_length)),
+            "size_mm": of("bricks_blocks", F.coalesce(size, typical(TYPICAL_SIZE))),
+            "density_kg_m3": F.coalesce("density_kg_m3", typical(TYPICAL_DENSITY)),
+            "pipe_class": of("water_pipes", kind),
+            "producer_type": of("tmt_steel", F.when(F.lower("brand").rlike("|".join(m.strip() for m in PRIMARY_MILLS.split("/"))), "Primary producer").when(F.col("brand").isNotNull(), "Secondary producer")),
         }
     )
+    sides = F.transform(F.split("size_mm", "×"), lambda x: x.try_cast("double"))
+    volume = F.when(F.size(sides) == 3, F.round(sides[0] * sides[1] * sides[2] / 1e9, 6))
+    rod = of("tmt_steel", F.round(bar_kg_per_m(F.col("diameter_mm")) * F.col("length_m"), 3))
+    return rows.withColumns({"unit_volume_m3": of("bricks_blocks", volume), "rod_weight_kg": rod})
+
 
+def canonical_price(category: Column, amount: Column, unit: Column, factor: Column, pack_kg: Column, diameter_mm: Column, length_m: Column, volume_m3: Column | None = None, coil_m: Column | None = None) -> Column:
+    """The price of one canonical unit of the category; null where the basis is not known.
 
-def canonical_price(category: Column, amount: Column, unit: Column, factor: Column, pack_kg: Column, diameter_mm: Column, length_m: Column) -> Column:
-    """The price of one canonical unit of the category; null where the basis is not known."""
-    tmt = F.when(unit == "kg", amount).when(unit == "tonne", half_up(amount / 1000)).when(unit == "quintal", half_up(amount / 100)).when(unit == "piece", half_up(amount / (bar_kg_per_m(diameter_mm) * length_m)))
-    pipe = F.when(unit == "running_metre", half_up(amount * factor)).when(unit == "piece", half_up(amount / length_m)).when((unit == "coil") & (length_m >= 5), half_up(amount / length_m))
+    A coil needs a stated length of five metres or more, a cubic metre the volume of
+    a piece; square feet of wall would need a thickness that nobody states.
+    """
+    coil_m = length_m if coil_m is None else coil_m
+    kg_per_m = bar_kg_per_m(diameter_mm)
+    tmt = F.when(unit == "kg", amount).when(unit == "tonne", half_up(amount / 1000)).when(unit == "quintal", half_up(amount / 100)).when(unit == "piece", half_up(amount / F.round(kg_per_m * length_m, 3))).when(unit == "running_metre", half_up(amount * factor / kg_per_m))
+    pipe = F.when(unit == "running_metre", half_up(amount * factor)).when(unit == "piece", half_up(amount / length_m)).when((unit == "coil") & (coil_m >= 5), half_up(amount / coil_m))
     brick = F.when(unit == "piece", amount).when(unit == "per_1000", half_up(amount / 1000))
+    if volume_m3 is not None:
+        brick = brick.when(unit == "cum", half_up(amount * volume_m3))
     return F.when(category == "cement", cement_bag_price(amount, unit, pack_kg)).when(category == "tmt_steel", tmt).when(category == "water_pipes", pipe).when(category == "bricks_blocks", brick)
 
 
 def item_code(category: Column, source_ref: Column) -> Column:
-    """The identity of a product: its parts, or the listing itself if a part is missing."""
-    out = F.lit(None).cast("string")
+    """The identity of a product: category, brand and its parts. A part that does not
+    apply is ``~na``; if a needed one is missing, the listing is a product of its own."""
+    out = F.concat_ws("|", category, F.concat(F.lit("UNRESOLVED:"), source_ref))
     for name, parts in IDENTITY.items():
-        values = [F.lower(F.col(p).cast("string")) for p in parts]
-        whole = F.concat_ws("|", F.lit(name), *values)
-        missing = None
-        for v in values:
-            missing = v.isNull() if missing is None else missing | v.isNull()
-        out = F.when((category == name) & ~missing, whole).otherwise(out)
-    return F.coalesce(out, F.concat(F.lit("UNRESOLVED:"), source_ref))
+        values, missing = [], F.lit(False)
+        for p in parts:
+            value = F.lower(F.col(p.strip("[]")).cast("string"))
+            if p == "[grade]":  # only ordinary cement has one
+                value = F.when(F.col("cement_type") == "OPC", value).otherwise(F.lit(NOT_APPLICABLE))
+            elif p.startswith("["):
+                value = F.coalesce(value, F.lit(NOT_APPLICABLE))
+            missing = missing | value.isNull()
+            values.append(F.coalesce(value, F.lit(NOT_APPLICABLE)))
+        whole = F.concat_ws("|", F.lit(name), F.coalesce(F.lower("brand"), F.lit("unbranded")), *values)
+        out = F.when(category == name, F.when(missing, F.concat(whole, F.lit("|UNRESOLVED:"), source_ref)).otherwise(whole)).otherwise(out)
+    return out
 
 
 def build_title(*parts: Column) -> Column:
@@ -121,10 +208,12 @@ def certification_state(cert_text: Column, regulated: Column, brand: Column) ->
     return F.when(cert_text.rlike("(?i)expired"), "EXPIRED").when(licensed, "CERTIFIED").when(regulated & brand.isNotNull(), "BRAND_LICENSED").when(~regulated, "NOT_APPLICABLE").otherwise("NOT_DECLARED")
 
 
-def normalise(raw: DataFrame, roster: list[str]) -> DataFrame:
+def normalise(raw: DataFrame, roster: DataFrame | list[str]) -> DataFrame:
     """Every listing typed, with ``reject_reason``: the first stage that it fails, or null."""
     rows = attributes(raw, roster).withColumn("u", normalise_unit(F.col("price_unit")))
-    rows = rows.withColumns({"unit": F.col("u.unit"), "canonical_minor": canonical_price(F.col("category"), F.col("price_paise"), F.col("u.unit"), F.col("u.factor"), F.col("pack_kg"), F.col("diameter_mm"), F.col("length_m"))}).drop("u")
+    every = F.concat_ws(" ", "title", F.concat_ws(" ", F.map_values(F.coalesce("specs", F.create_map().cast("map<string,string>")))))
+    coil = _matched(every, r"(\d+(?:\.\d+)?)\s*(?:m|mtrs?|met(?:er|re)s?)\b").try_cast("double")
+    rows = rows.withColumns({"unit": F.col("u.unit"), "canonical_minor": canonical_price(F.col("category"), F.col("price_paise"), F.col("u.unit"), F.col("u.factor"), F.col("pack_kg"), F.col("diameter_mm"), F.col("length_m"), F.col("unit_volume_m3"), coil)}).drop("u")
     none = F.lit(None).cast("boolean")
     off = off_topic_reason(F.col("category"), F.col("title"))
     implausible = implausible_reason(F.when(F.col("cement_type") == "White cement", "cement_white").otherwise(F.col("category")), F.col("title"), F.col("unit"), F.col("pack_kg"), F.col("bore_mm"), none, F.col("canonical_minor"))
@@ -132,6 +221,7 @@ def normalise(raw: DataFrame, roster: list[str]) -> DataFrame:
         F.when(F.col("price_paise").isNull(), "no price"),
         off,
         F.when(F.col("unit").isNull(), "unknown unit"),
+        F.when((F.col("category") == "bricks_blocks") & (F.col("unit") == "sqft"), "quoted by area of wall"),
         F.when(F.col("canonical_minor").isNull(), "no canonical basis"),
         implausible,
     )
@@ -139,6 +229,7 @@ def normalise(raw: DataFrame, roster: list[str]) -> DataFrame:
     kg = F.lit(None).cast("double")
     for name, weight in UNIT_KG.items():
         kg = F.when(F.col("category") == name, F.lit(weight)).otherwise(kg)
+    kg = F.when(F.col("category") == "bricks_blocks", F.coalesce(F.round(F.col("unit_volume_m3") * F.col("density_kg_m3"), 2), kg)).otherwise(kg)
     return rows.withColumns(
         {
             "product_id": short_id("p_", F.col("item_code")),
@@ -197,3 +288,35 @@ def drift(stored: DataFrame, derived: DataFrame) -> DataFrame:
 
 def first_rank(rows: DataFrame, group: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def changed_amounts(stored: DataFrame, derived: DataFrame, key: str = "offer_id", amount: str = "canonical_minor") -> DataFrame:
+    """Offers whose amount a new derivation changes, the greatest change first, as |ln ratio| in millionths."""
+    both = stored.select(key, F.col(amount).alias("was")).join(derived.select(key, F.col(amount).alias("now")), key).where("was > 0 and now > 0 and was <> now")
+    return both.withColumn("change_e6", F.floor(F.abs(F.log(F.col("now") / F.col("was"))) * 1e6 + 0.5).cast("bigint")).orderBy(F.desc("change_e6"), key)
+
+
+def refusals(rows: DataFrame) -> DataFrame:
+    """What was refused and why, and which units were converted, in one table of counts."""
+    why = rows.where("reject_reason is not null").groupBy(F.lit("refused").alias("kind"), F.col("reject_reason").alias("what"))
+    units = rows.where("reject_reason is null").groupBy(F.lit("converted").alias("kind"), F.concat_ws(" -> ", "price_unit", "unit").alias("what"))
+    return why.agg(F.count("*").alias("n")).unionByName(units.agg(F.count("*").alias("n")))
+
+
+def load(raw: DataFrame, roster: DataFrame | list[str], places: DataFrame, rates: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A load of raw listings: ``offers`` (accepted, with place and tax rate; the columns that
+    ``known`` offers had stay where the new ones are null), ``rejects``, ``accounts``, ``specs``, and
+    ``rows``, all listings as normalised: kept, since all others read them, until the caller unpersists them."""
+    from .reports import as_of_join, keyed_upsert
+
+    rows = normalise(raw, roster).persist()
+    good = rows.where("reject_reason is null").withColumn("locality", F.col("vendor_locality"))
+    placed = geocode(good, places)
+    taxed = as_of_join(placed.withColumn("_day", F.to_date("fetched_at")), rates, ["category"], "_day").drop("_day", "effective_from", "effective_to")
+    columns = ["product_id", "vendor_id", "item_code", "category", "brand", "canonical_minor", "unit", "rate", "lat", "lon", "cert_state", "fetched_at", "region_id"]
+    offers = taxed.select("offer_id", *columns)
+    if known is not None:
+        offers = keyed_upsert(known, offers, ["offer_id"], {c: "new" if c in ("canonical_minor", "fetched_at") else "prefer_new" for c in columns})
+    none = F.lit(None).cast("string")
+    specs = spec_values(good, {c: ladder(F.col(c), none, none) for c in ("cement_type", "grade", "pipe_system", "block_type", "size_mm", "brand")})
+    return {"offers": offers, "rejects": rows.where("reject_reason is not null"), "accounts": run_accounting(rows), "specs": specs, "rows": rows}

@@ -31,6 +31,33 @@ def hard_filtered(regulated: Column, state: Column) -> Column:
     return F.coalesce(regulated & (state == "EXPIRED"), F.lit(False))
 
 
+def banded(rows: DataFrame, group: list[str], band: Column, order: list[Column], number: str, places: str = "rank") -> DataFrame:
+    """``rows`` with their rank (``places`` "row_number": place) in their group, and ``_total``, its size.
+
+    ``band`` is an integer that never falls along the order. Places are counted
+    within (group, band) and the sizes of earlier bands are added, so that a group
+    of any size is sorted by as many tasks as it has bands.
+    """
+    rows = rows.withColumn("_band", band.cast("bigint"))
+    sizes = rows.groupBy(*group, "_band").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "_band", before.alias("_before"), F.sum("_n").over(w).alias("_total"))
+    within = {"rank": F.rank, "row_number": F.row_number}[places]().over(Window.partitionBy(*group, "_band").orderBy(*order))
+    return rows.withColumn("_within", within).join(sizes, [*group, "_band"]).withColumn(number, F.col("_before") + F.col("_within")).drop("_band", "_within", "_before")
+
+
+def amount_band(amount: Column) -> Column:
+    """A band for amounts in minor units: some ninety to each doubling."""
+    return F.floor(F.log2(F.greatest(amount, F.lit(1)).cast("double")) * 90)
+
+
+def percent_rank(rows: DataFrame, group: list[str], band: Column, order: list[Column], name: str) -> DataFrame:
+    """SQL's percent_rank in groups of any size."""
+    rows = banded(rows, group, band, order, "_rank")
+    return rows.withColumn(name, F.when(F.col("_total") == 1, 0.0).otherwise((F.col("_rank") - 1) / (F.col("_total") - 1))).drop("_rank", "_total")
+
+
 def score(rows: DataFrame, *group: str, requested: int = 1, default_relevance: float = 0.5, default_match: float = 0.5) -> DataFrame:
     """``rows`` with the nine features, ``score_e9`` (the score in billionths) and ``why``.
 
@@ -40,12 +67,12 @@ def score(rows: DataFrame, *group: str, requested: int = 1, default_relevance: f
     """
     has = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in rows.columns else F.lit(other)
     lead = F.coalesce(F.col("lead_days"), F.lit(3)).cast("double")
-    spec = Window.partitionBy(*group).orderBy("landed_minor")
+    rows = percent_rank(rows, list(group), amount_band(F.col("landed_minor")), [F.asc("landed_minor")], "_cheaper")
     none = F.lit(None).cast("double")
     features = {
         "f1": F.greatest(F.lit(0.0), F.least(F.lit(1.0), has("relevance", default_relevance))),
         "f2": F.greatest(F.lit(0.0), F.least(F.lit(1.0), has("attr_match", default_match))),
-        "f3": 1 - F.percent_rank().over(spec),
+        "f3": 1 - F.col("_cheaper"),
         "f4": F.when(F.col("stock_state") == "out_of_stock", 0.0).when(lead > 7, 0.5).otherwise(1.0),
         "f5": shrunk_rating(F.col("rating") if "rating" in rows.columns else none, F.col("reviews") if "reviews" in rows.columns else none),
         "f6": certification(F.col("cert_state"), 0) if "cert_state" in rows.columns else F.lit(CERTIFICATION["NOT_DECLARED"][0]),
@@ -53,7 +80,7 @@ def score(rows: DataFrame, *group: str, requested: int = 1, default_relevance: f
         "f8": F.lit(0.0),
         "f9": 1 - F.least(F.lit(1.0), F.col("age_hours") / F.col("sla_hours")),
     }
-    rows = rows.withColumns(features)
+    rows = rows.withColumns(features).drop("_cheaper")
     total = sum((F.col(k) * w for k, w in WEIGHTS.items() if w), F.lit(0.0))
     lost = F.when(F.col("freshness").isin("STALE", "EXPIRED"), PENALTIES["stale"]).otherwise(0.0) + F.when(F.col("stock_state") == "out_of_stock", PENALTIES["out_of_stock"]).otherwise(0.0) + F.when(F.coalesce(F.col("moq") > requested, F.lit(False)), PENALTIES["moq"]).otherwise(0.0)
     # stable on ties: the order of the weights
@@ -87,11 +114,11 @@ def column_order(column: str, descending: bool, *ties: str) -> list[Column]:
     return [c.desc_nulls_last() if descending else c.asc_nulls_last(), *(F.asc(t) for t in ties)]
 
 
-def best_value(rows: DataFrame, *group: str) -> DataFrame:
+def best_value(rows: DataFrame, *group: str, score_band: int = 1_000_000) -> DataFrame:
     """value_e9: half the price percentile, half the score's, in billionths."""
-    price = F.percent_rank().over(Window.partitionBy(*group).orderBy(F.desc("landed_minor")))
-    merit = F.percent_rank().over(Window.partitionBy(*group).orderBy("score_e9"))
-    return rows.withColumn("value_e9", F.floor((price * 0.5 + merit * 0.5) * 1e9 + 0.5).cast("bigint"))
+    price = percent_rank(rows, list(group), -amount_band(F.col("landed_minor")), [F.desc("landed_minor")], "_price")
+    merit = percent_rank(price, list(group), F.floor(F.col("score_e9") / score_band), [F.asc("score_e9")], "_merit")
+    return merit.withColumn("value_e9", F.floor((F.col("_price") * 0.5 + F.col("_merit") * 0.5) * 1e9 + 0.5).cast("bigint")).drop("_price", "_merit")
 
 
 def by_product(ranked: DataFrame, *group: str) -> DataFrame:

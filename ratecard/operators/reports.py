@@ -10,18 +10,33 @@ from ..functions.units import loosen
 SHOCK = 0.03
 
 
+def elementary_spans(rates: DataFrame, on: list[str], start: str, end: str) -> DataFrame:
+    """``rates`` as disjoint spans ``[_from, _until)`` of each key, with the columns of the
+    rate in force there: of all that hold, the one that started last; of those, the
+    one that ends first, then the greatest values. Open ends never end.
+
+    Rates may nest: every start and every end cuts, and a long rate comes back
+    when a short one inside it is over.
+    """
+    never = F.lit("9999-12-31").cast("date")
+    rest = [c for c in rates.columns if c not in on]
+    own = rates.withColumns({"_s": F.col(start).cast("date"), "_e": F.coalesce(F.date_add(F.col(end).cast("date"), 1), never)}).where("_s < _e")
+    cuts = own.select(*on, F.explode(F.array("_s", "_e")).alias("_from")).distinct()
+    spans = cuts.withColumn("_until", F.lead("_from").over(Window.partitionBy(*on).orderBy("_from"))).where("_until is not null")
+    held = spans.alias("x").join(own.alias("y"), on).where("_s <= _from and _from < _e")
+    latest = F.max_by(F.struct(*rest), F.struct(F.col("_s"), F.date_diff(never, F.col("_e")), *rest))
+    return held.groupBy(*on, "_from", "_until").agg(latest.alias("_rate")).select(*on, "_from", "_until", "_rate.*")
+
+
 def as_of_join(facts: DataFrame, rates: DataFrame, on: list[str], day: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
     """Each fact with the latest rate in force on its day; null if there is none.
 
-    Rates become disjoint intervals first (an entry ends where its successor
-    starts), so each fact meets at most one of them: an equi-join with a range
-    condition and no ranking of the facts.
+    Rates become disjoint spans first, so each fact meets at most one of them: an
+    equi-join with a range condition and no ranking of the facts.
     """
-    following = F.lead(start).over(Window.partitionBy(*on).orderBy(start))
-    until = F.least(F.coalesce(F.date_add(F.col(end), 1), F.lit("9999-12-31").cast("date")), F.coalesce(following, F.lit("9999-12-31").cast("date")))
-    spans = rates.withColumn("_until", until).withColumnsRenamed({c: f"r_{c}" for c in on})
-    condition = [facts[c] == spans[f"r_{c}"] for c in on] + [(F.col(day) >= F.col(start)) & (F.col(day) < F.col("_until"))]
-    return facts.join(spans, condition, "left").drop("_until", *(f"r_{c}" for c in on))
+    spans = elementary_spans(rates, on, start, end).withColumnsRenamed({c: f"r_{c}" for c in on})
+    condition = [facts[c] == spans[f"r_{c}"] for c in on] + [(F.col(day) >= F.col("_from")) & (F.col(day) < F.col("_until"))]
+    return facts.join(spans, condition, "left").drop("_from", "_until", *(f"r_{c}" for c in on))
 
 
 def convert_price(rows: DataFrame, conversions: DataFrame) -> DataFrame:
@@ -102,7 +117,8 @@ def over_merged(rows: DataFrame, product: str, title: str, worst: int = 8) -> Da
 
 def brand_tokens(rows: DataFrame, title: str, known: list[str], top: int = 40) -> DataFrame:
     """Frequent capitalised words that are no known brand, with an example each."""
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(title), F.lit(r"\b([A-Z][a-z]{3,})\b"), 1))).alias("token"), F.substring(title, 1, 60).alias("t"))
+    capitalised = F.filter(F.split(title, r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[A-Z][a-z]{3,}$"))
+    words = rows.select(F.explode(F.array_distinct(capitalised)).alias("token"), F.substring(title, 1, 60).alias("t"))
     fresh = words.where(~F.lower("token").isin([k.lower() for k in known]))
     return fresh.groupBy("token").agg(F.count("*").alias("n"), F.min("t").alias("example")).orderBy(F.desc("n"), "token").limit(top)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,18 @@ LEXICAL_SHARE, SUBSTRING_SHARE = 0.75, 0.25
 LEXICAL_TOP, SUBSTRING_TOP = 600, 400
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Small Latin letters with a diacritic, and the same without."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xE0, 0x180), *range(0x1CD, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", c)) > 1 and c.islower()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_PLAIN = _plain_letters()
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, marks and digits; Latin diacritics removed."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower-cased runs of letters, marks and digits; Latin diacritics removed (``_PLAIN``)."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_PLAIN)
     return F.filter(F.split(plain, r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
@@ -56,6 +66,30 @@ def bm25(index: DataFrame, key: str, terms: list[str], prefix: bool = True, top:
     return scored if top is None else scored.orderBy(F.desc("score"), key).limit(top)
 
 
+def bm25_scan(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str], prefix: bool = True, top: int | None = LEXICAL_TOP) -> DataFrame:
+    """What ``bm25`` gives over ``postings``, straight from the texts: without an index
+    only the query's terms need counting, so every text becomes one narrow row where it
+    is read, and nothing is shuffled but sums."""
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+
+    def count(words: str, term: str) -> Column:
+        return F.size(F.filter(words, lambda x: x.startswith(term) if prefix else x == term))
+
+    words = docs.select(key, *(tokens(F.col(c)).alias(f"_w{i}") for i, c in enumerate(columns)))
+    length = sum((F.size(f"_w{i}") for i in range(len(columns))), F.lit(0))
+    found = [sum((count(f"_w{i}", t) * w for i, w in enumerate(columns.values())), F.lit(0.0)) for t in terms]
+    rows = words.select(key, length.alias("length"), *(f.alias(f"f{j}") for j, f in enumerate(found))).where("length > 0")
+    totals = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), *(F.count_if(F.col(f"f{j}") > 0).alias(f"df{j}") for j in range(len(terms))))
+    score = F.lit(0.0)
+    for j in range(len(terms)):
+        weight = F.log(1 + (F.col("n_docs") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5))
+        score = score + weight * F.col(f"f{j}") * (K1 + 1) / (F.col(f"f{j}") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    any_hit = sum((F.col(f"f{j}") for j in range(len(terms))), F.lit(0.0)) > 0
+    scored = rows.where(any_hit).join(F.broadcast(totals)).select(key, F.round(score, 6).alias("score"))  # one row
+    return scored if top is None else scored.orderBy(F.desc("score"), key).limit(top)
+
+
 def substring_scores(docs: DataFrame, key: str, text: str, terms: list[str], top: int | None = SUBSTRING_TOP) -> DataFrame:
     """(key, score): places where any term of three characters or more stands in the text."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))

@@ -15,6 +15,37 @@ from . import facets, ranking
 from .query_parse import RELAXATION, Query, parse
 
 
+#: Relevance and match of results that stand in for none: with constraints relaxed, and of the category alone.
+RELAXED, CATEGORY_ONLY = 0.3, 0.2
+
+
+def fallback(rows: DataFrame, constraints: dict[str, object], attributes: dict[str, Column], order: tuple[str, ...] = RELAXATION, n: int = 24) -> DataFrame:
+    """What is shown where nothing matches all of ``constraints``: the rows of the first
+    rung of the relaxation ladder that has any, else the ``n`` cheapest of ``rows``.
+
+    ``rung`` says how many constraints were given up (null: all, and what they name
+    too). All rungs are tested in one pass: every row carries a flag for each rung,
+    and the first rung with a flag is one small aggregate.
+    """
+    rungs, left = [], dict(constraints)
+    for name in order:
+        if name in left:
+            left = {k: v for k, v in left.items() if k != name}
+            rungs.append(dict(left))
+    flags = F.array(*(facets.constraints_match(c, attributes)[0] for c in rungs)) if rungs else F.array().cast("array<boolean>")
+    flagged = rows.withColumn("_flags", flags)
+    first = flagged.agg(*(F.bool_or(F.get("_flags", F.lit(i))).alias(f"r{i}") for i in range(len(rungs))), F.count("*").alias("_rows"))
+    rung = F.lit(None).cast("int")
+    for i in reversed(range(len(rungs))):
+        rung = F.when(F.col(f"r{i}"), F.lit(i)).otherwise(rung)
+    first = first.select(rung.alias("_rung"))
+    found = flagged.join(F.broadcast(first)).where(F.get("_flags", F.col("_rung"))).drop("_flags")  # one row
+    cheapest = rows.join(F.broadcast(first)).where("_rung is null").orderBy("landed_minor", "offer_key").limit(n)
+    both = found.unionByName(cheapest)
+    given = F.when(F.col("_rung").isNotNull(), F.lit(RELAXED)).otherwise(F.lit(CATEGORY_ONLY))
+    return both.withColumns({"relevance": given, "attr_match": given, "rung": (F.col("_rung") + 1).cast("int")}).drop("_rung")
+
+
 @dataclass
 class Search:
     query: Query

@@ -67,26 +67,20 @@ def coverage_pivot(rows: DataFrame, regions: list[str]) -> DataFrame:
 def price_bands(rows: DataFrame, group: str = "category", amount: str = "landed_minor") -> DataFrame:
     """Bands between nearest-rank quartiles, half-open, with their counts; under four values one band.
 
-    The three cuts are found by one ranked pass and are a small table; the counts
-    are one join against it and an aggregate.
+    One pass: rows are counted by distinct amount, and ranks, cuts and bands follow
+    from the counts, of which there are no more than amounts in minor units.
     """
-    spec = Window.partitionBy(group).orderBy(amount)
-    ranked = rows.select(group, F.col(amount).alias("v")).where("v is not null")
-    counts = ranked.groupBy(group, "v").agg(F.count("*").alias("n"))
-    # ranks from counts of distinct amounts: a window over far fewer rows
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy("v"))
-    total = F.sum("n").over(Window.partitionBy(group))
-    placed = counts.select(group, "v", "n", upto.alias("upto"), total.alias("total"))
+    counts = rows.select(group, F.col(amount).alias("v")).where("v is not null").groupBy(group, "v").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(group)
+    placed = counts.withColumns({"upto": F.sum("n").over(own.orderBy("v")), "total": F.sum("n").over(own)})
     at = lambda p: F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
-    holds = lambda p: (F.col("upto") > at(p)) & (F.col("upto") - F.col("n") <= at(p))
-    raw = lambda p: F.max(F.when(holds(p), F.col("v")))
-    cuts = placed.groupBy(group).agg(raw(0.25).alias("q1"), raw(0.5).alias("q2"), raw(0.75).alias("q3"), F.max("total").alias("total"))
+    cut = lambda p: F.max(F.when((F.col("upto") > at(p)) & (F.col("upto") - F.col("n") <= at(p)), F.col("v"))).over(own)
+    placed = placed.withColumns({"q1": cut(0.25), "q2": cut(0.5), "q3": cut(0.75)})
     rounded = lambda c: (F.when(F.col(c) >= 100_000, F.floor(F.col(c) / 10_000 + 0.5) * 10_000).when(F.col(c) >= 10_000, F.floor(F.col(c) / 1_000 + 0.5) * 1_000).otherwise(F.floor(F.col(c) / 100 + 0.5) * 100)).cast("bigint")
     edges = F.when(F.col("total") < 4, F.array().cast("array<bigint>")).otherwise(F.filter(F.array_distinct(F.array(rounded("q1"), rounded("q2"), rounded("q3"))), lambda c: c > 0))
-    cuts = cuts.select(group, edges.alias("cuts"))
-    band = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    banded = placed.withColumn("cuts", edges).withColumn("band", F.size(F.filter("cuts", lambda c: c <= F.col("v"))))
     low, high = F.get("cuts", F.col("band") - 1), F.get("cuts", F.col("band"))
-    return counts.join(cuts, group).withColumn("band", band).withColumns({"low_minor": low, "high_minor": high}).groupBy(group, "band", "low_minor", "high_minor").agg(F.sum("n").cast("bigint").alias("n"))
+    return banded.withColumns({"low_minor": low, "high_minor": high}).groupBy(group, "band", "low_minor", "high_minor").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def lead_time_join(rows: DataFrame, serviceability: DataFrame) -> DataFrame:

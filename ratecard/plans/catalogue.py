@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import freight, money, units
-from ..functions.freshness import SLA_HOURS
+from ..functions import freight, money
 from ..operators import estimate, facets, grounding, plausibility, pricing, quality, ranking, reports, retrieval, surface
 from ..sources import listings
 from ..streaming import events as streams
@@ -19,11 +18,12 @@ ORACLES: dict[str, str] = {}
 #: Service levels of the stand-in categories, in hours; line items are years old.
 SLA = {"cement": 24 * 365, "tmt_steel": 24 * 400, "water_pipes": 24 * 730}
 SLA_DEFAULT = 24 * 500
+
+
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-
 def query(name: str, sql: str | None):
     def register(f):
         QUERIES[name] = f
@@ -117,11 +117,37 @@ def plausibility_band(spark, sf_dir):
     return candidates(spark, sf_dir).select("offer_key", plausibility.band_reason(F.col("category"), F.col("base_minor")).alias("reason"))
 
 
-@query("quarantine_report", _with("""select reason as family, count(*)::bigint as n, list_sort(list(distinct title))[1:3] as examples from (
-  select title, case """ + " ".join(f"when category = '{c}' and base_minor < {lo} then 'below the plausible band' when category = '{c}' and base_minor > {hi} then 'above the plausible band'" for c, (lo, hi) in plausibility.BANDS.items()) + " end as reason from o) where reason is not null group by reason"))
+def _reason_sql() -> str:
+    def off(name: str) -> str:
+        plain = f"nullif(regexp_extract(title, {_QUOTED(plausibility.words_pattern(plausibility.OFF_TOPIC[name]))}), '')"
+        if name not in plausibility.OFF_TOPIC_UNLESS:
+            return plain
+        own, others = plausibility.OFF_TOPIC_UNLESS[name]
+        return f"coalesce({plain}, case when not regexp_matches(title, {_QUOTED(plausibility.words_pattern(own))}) then nullif(regexp_extract(title, {_QUOTED(plausibility.words_pattern(others))}), '') end)"
+
+    words = "case category " + " ".join(f"when '{c}' then {off(c)}" for c in plausibility.OFF_TOPIC) + " end"
+    basis = "case when category = 'cement' and size < 20 then 'retail pack of kg ' || size || '.0' when category = 'water_pipes' and (size < 15 or size > 315) then 'bore outside plumbing range: mm ' || size || '.0' end"
+    band = "case " + " ".join(f"when category = '{c}' and base_minor < {lo} then 'below the plausible band' when category = '{c}' and base_minor > {hi} then 'above the plausible band'" for c, (lo, hi) in plausibility.BANDS.items()) + " end"
+    return f"coalesce('title names another product class: ' || lower(trim({words})), {basis}, {band})"
+
+
+_QUOTED = lambda p: "'" + p.replace("'", "''") + "'"
+
+
+def _implausible():
+    size = F.col("size").cast("double")  # stands in for the pack and for the bore
+    return plausibility.implausible_reason(F.col("category"), F.col("title"), F.lit("piece"), size, size, F.lit(True), F.col("base_minor"))
+
+
+@query("plausibility_reason", _with(f"select offer_key, {_reason_sql()} as reason from o"))
+def plausibility_reason(spark, sf_dir):
+    return candidates(spark, sf_dir).select("offer_key", _implausible().alias("reason"))
+
+
+@query("quarantine_report", _with(f"""select regexp_replace(regexp_replace(reason, ':.*$', ''), '\\d+(\\.\\d+)?', '#', 'g') as family, count(*)::bigint as n, list_sort(list(distinct title))[1:3] as examples from (
+  select title, {_reason_sql()} as reason from o) where reason is not null group by family"""))
 def quarantine_report(spark, sf_dir):
-    rows = candidates(spark, sf_dir)
-    return plausibility.quarantine_report(plausibility.quarantine(rows, plausibility.band_reason(F.col("category"), F.col("base_minor"))))
+    return plausibility.quarantine_report(plausibility.quarantine(candidates(spark, sf_dir), _implausible()))
 
 
 @query("price_bands", None)
@@ -137,11 +163,11 @@ c1 as (select category, v[1 + least(len(v) - 1, floor(0.25 * len(v))::bigint)] a
 cc as (select category, list_filter(list_distinct([{_R("q1")}, {_R("q2")}, {_R("q3")}]), lambda x: x > 0) as cuts from c1)""").replace("null::bigint as low_minor, null::bigint as high_minor", "list_sort(cuts)[len(list_filter(cuts, lambda x: x <= landed_minor))] as low_minor, list_sort(cuts)[len(list_filter(cuts, lambda x: x <= landed_minor)) + 1] as high_minor")
 
 #: Tax in basis points by category, with the days it holds.
-_RATES = "('cement', date '1990-01-01', date '1997-12-31', 2800), ('cement', date '1998-01-01', null, 1800), ('tmt_steel', date '1996-06-01', null, 1800), ('water_pipes', date '1990-01-01', null, 1800), ('bricks_blocks', date '1995-01-01', date '1999-06-30', 1200), ('bricks_blocks', date '1999-01-01', null, 600)"
+_RATES = "('cement', date '1990-01-01', date '1997-12-31', 2800), ('cement', date '1998-01-01', null, 1800), ('tmt_steel', date '1996-06-01', null, 1800), ('water_pipes', date '1990-01-01', null, 1800), ('bricks_blocks', date '1995-01-01', date '1999-06-30', 1200), ('bricks_blocks', date '1999-01-01', null, 600), ('tmt_steel', date '1997-03-01', date '1997-08-31', 1200), ('tmt_steel', date '1997-03-01', date '1997-05-31', 500), ('water_pipes', date '1995-01-01', date '1996-12-31', 2800)"
 
 
 @query("gst_asof", _with(f"""select offer_key, category, rate from (
-  select o.offer_key, o.category, r.rate_bp as rate, row_number() over (partition by o.offer_key, o.vendor_id, o.base_minor order by r.effective_from desc nulls last) as n
+  select o.offer_key, o.category, r.rate_bp as rate, row_number() over (partition by o.offer_key, o.vendor_id, o.base_minor order by r.effective_from desc nulls last, coalesce(r.effective_to, date '9999-12-30'), r.rate_bp desc) as n
   from o left join (select * from (values {_RATES}) as r(category, effective_from, effective_to, rate_bp)) r
   on o.category = r.category and o.fetched_at::date >= r.effective_from and o.fetched_at::date <= coalesce(r.effective_to, date '9999-01-01')) where n = 1"""))
 def gst_asof(spark, sf_dir):
@@ -190,9 +216,9 @@ def page_semi_join(spark, sf_dir):
     return candidates(spark, sf_dir).join(page, "offer_key", "left_semi").select("offer_key", "title", "vendor_name")
 
 
-@query("anti_unread", "select page_id, url from pages where not exists (select 1 from documents where doc_id = page_id and lang = 'en')")
+@query("anti_unread", "select page_id, url from pages where not exists (select 1 from documents where doc_id = page_id)")
 def anti_unread(spark, sf_dir):
-    read = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"))
+    read = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
     return reports.not_in(table(spark, sf_dir, "pages").select("page_id", "url"), read, ["page_id"])
 
 
@@ -236,15 +262,20 @@ _RANKED = """,
 p as (select *, row_number() over (partition by category, region order by round(score_e6 / 1000.0)::bigint desc, landed_minor, fetched_at desc, offer_key, moq) as rank_pos from r)"""
 
 
+def _order():
+    return [F.desc("score_e3"), F.asc("landed_minor"), F.desc("fetched_at"), F.asc("offer_key"), F.asc("moq")]
+
+
 def _ranked(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("score_e3", F.round(F.col("score_e6") / 1000).cast("bigint"))
-    order = Window.partitionBy("category", "region").orderBy(F.desc("score_e3"), "landed_minor", F.desc("fetched_at"), "offer_key", "moq")
-    return rows.withColumn("rank_pos", F.row_number().over(order))
+    return ranking.banded(rows, ["category", "region"], -F.col("score_e3"), _order(), "rank_pos", "row_number").drop("_total")
 
 
 @query("rank_order", _with("select category, region, rank_pos, offer_key from p where rank_pos <= 24", _FRESH + _SCORE + _RANKED))
 def rank_order(spark, sf_dir):
-    return _ranked(spark, sf_dir).where("rank_pos <= 24").select("category", "region", "rank_pos", "offer_key")
+    rows = _scored(spark, sf_dir).withColumn("score_e3", F.round(F.col("score_e6") / 1000).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("category", "region").orderBy(*_order()))  # a top-k: cut before the shuffle
+    return rows.withColumn("rank_pos", place).where("rank_pos <= 24").select("category", "region", "rank_pos", "offer_key")
 
 
 @query("group_by_product", _with("""select category, region, product_id, min(rank_pos)::int as position, arg_min(offer_key, (not quotable, landed_minor, rank_pos)) as offer_key,
@@ -262,7 +293,7 @@ def vendor_rollup(spark, sf_dir):
 @query("best_value", _with("""select offer_key, floor(value_e9 / 1000.0 + 0.5)::bigint as value_e6 from (select offer_key, floor((percent_rank() over (partition by category, region order by landed_minor desc) * 0.5 + percent_rank() over (partition by category, region order by round(score_e6 / 1000.0)::bigint) * 0.5) * 1e9 + 0.5)::bigint as value_e9 from r)""", _FRESH + _SCORE))
 def best_value(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("score_e9", F.round(F.col("score_e6") / 1000).cast("bigint"))
-    return ranking.best_value(rows, "category", "region").select("offer_key", F.floor(F.col("value_e9") / 1000 + 0.5).cast("bigint").alias("value_e6"))
+    return ranking.best_value(rows, "category", "region", score_band=1).select("offer_key", F.floor(F.col("value_e9") / 1000 + 0.5).cast("bigint").alias("value_e6"))
 
 
 _WANTED = {"brand": "Brand#1", "category": "Cement", "size": 10, "_note": "x"}
@@ -322,22 +353,10 @@ def zero_result_rung(spark, sf_dir):
     return facets.zero_result_rung(candidates(spark, sf_dir), _LADDER, _constraint_columns(), ["brand", "category", "size"])
 
 
-@query("sort_nulls_last_asc", _with("select offer_key, row_number() over (order by lead_days asc nulls last, offer_key, base_minor) as place from o where category = 'cement' and region = 'ASIA'"))
-def sort_nulls_last_asc(spark, sf_dir):
-    rows = candidates(spark, sf_dir).where("category = 'cement' and region = 'ASIA'")
-    return rows.select("offer_key", F.row_number().over(Window.orderBy(*ranking.column_order("lead_days", False, "offer_key", "base_minor"))).cast("bigint").alias("place"))
-
-
-@query("sort_nulls_last_desc", _with("select offer_key, row_number() over (order by lead_days desc nulls last, offer_key, base_minor) as place from o where category = 'cement' and region = 'ASIA'"))
-def sort_nulls_last_desc(spark, sf_dir):
-    rows = candidates(spark, sf_dir).where("category = 'cement' and region = 'ASIA'")
-    return rows.select("offer_key", F.row_number().over(Window.orderBy(*ranking.column_order("lead_days", True, "offer_key", "base_minor"))).cast("bigint").alias("place"))
-
-
 def _sorted_nulls_last(descending: bool):
     by = "desc" if descending else "asc"
 
-    @query(f"sort_nulls_last_{by}_all", _with(f"select category, region, offer_key, row_number() over (partition by category, region order by lead_days {by} nulls last, offer_key, base_minor) as place from o"))
+    @query(f"sort_nulls_last_{by}", _with(f"select category, region, offer_key, row_number() over (partition by category, region order by lead_days {by} nulls last, offer_key, base_minor) as place from o"))
     def run(spark, sf_dir):
         """All offers, within their category and region."""
         own = Window.partitionBy("category", "region").orderBy(*ranking.column_order("lead_days", descending, "offer_key", "base_minor"))
@@ -367,14 +386,13 @@ df as (select q, count(*)::double as df from qf group by q),
 bm as (select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / al))), 6) as score from qf join df using (q) join len using (doc_id) cross join tot group by doc_id)"""
 
 
-def _index(spark, sf_dir):
-    return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0})
+def _lexical(spark, sf_dir):
+    return retrieval.bm25_scan(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, _TERMS, top=None)
 
 
 @query("bm25_topk", f"with {_BM25} select doc_id, round(score, 3) as score from bm order by round(score, 3) desc, doc_id limit 50")
 def bm25_topk(spark, sf_dir):
-    scores = retrieval.bm25(_index(spark, sf_dir), "doc_id", _TERMS, top=None)
-    return scores.select("doc_id", F.round("score", 3).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    return _lexical(spark, sf_dir).select("doc_id", F.round("score", 3).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 _SUB = "sub as (select doc_id, " + " + ".join(f"((length(low) - length(replace(low, '{t}', ''))) / {len(t)})::int" for t in _TERMS) + " as score from (select doc_id, lower(coalesce(text, '')) as low from documents))"
@@ -389,8 +407,7 @@ def substring_match(spark, sf_dir):
 select coalesce(bm.doc_id, s.doc_id) as doc_id, round(0.75 * coalesce((bm.score - a.lo) / case when a.hi = a.lo then 1 else a.hi - a.lo end, 0) + 0.25 * coalesce((s.score - b.lo) / case when b.hi = b.lo then 1 else b.hi - b.lo end, 0), 4) as relevance
 from bm full join (select * from sub where score > 0) s on bm.doc_id = s.doc_id cross join a cross join b""")
 def score_fusion(spark, sf_dir):
-    lexical = retrieval.bm25(_index(spark, sf_dir), "doc_id", _TERMS, top=None)
-    return retrieval.fuse(lexical, retrieval.substring_scores(table(spark, sf_dir, "documents"), "doc_id", "text", _TERMS, top=None), "doc_id").select("doc_id", F.round("relevance", 4).alias("relevance"))
+    return retrieval.fuse(_lexical(spark, sf_dir), retrieval.substring_scores(table(spark, sf_dir, "documents"), "doc_id", "text", _TERMS, top=None), "doc_id").select("doc_id", F.round("relevance", 4).alias("relevance"))
 
 
 @query("trending", "select event_type as q, count(*)::bigint as n, max(ts) as latest from events where value > 5 group by event_type order by n desc, latest desc, q limit 6")
@@ -423,7 +440,8 @@ def levenshtein_correct(spark, sf_dir):
     return retrieval.correct_words(words, forms)
 
 
-@query("fnv_fallback_km", None)
+@query("fnv_fallback_km", """select s_suppkey, 6 + (list_reduce([2166136261] || list_transform(string_split('v_' || sha1(s_name), ''), lambda c: ascii(c)::bigint),
+  lambda h, c: (xor(h::bigint, c::bigint) * 16777619) & 4294967295) % 3601) / 100.0::double as km from supplier""")
 def fnv_fallback_km(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", freight.fallback_km(F.concat(F.lit("v_"), F.sha1("s_name"))).alias("km"))
 
@@ -452,9 +470,9 @@ def title_over_merge(spark, sf_dir):
 
 
 @query("brand_tokens", r"""select token, count(*)::bigint as n, min(t) as example from (
-  select unnest(list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]{3,})\b', 1))) as token, text[1:60] as t from documents where lang = 'en') where lower(token) not in ('the', 'that') group by token order by n desc, token limit 40""")
+  select unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')))) as token, text[1:60] as t from documents) where lower(token) not in ('the', 'that') group by token order by n desc, token limit 40""")
 def brand_tokens(spark, sf_dir):
-    return reports.brand_tokens(table(spark, sf_dir, "documents").where("lang = 'en'"), "text", ["the", "that"])
+    return reports.brand_tokens(table(spark, sf_dir, "documents"), "text", ["the", "that"])
 
 
 @query("freshness_histogram", f"""select count(*) filter (a < 24)::bigint as under_24h, count(*) filter (a >= 24 and a < 72)::bigint as under_72h, count(*) filter (a >= 72 and a < 168)::bigint as under_168h,
@@ -548,16 +566,25 @@ def compare_set(spark, sf_dir):
     return pricing.compare_set(landed(candidates(spark, sf_dir)).withColumn("unit", F.lit("piece")), "category")
 
 
-@query("scope_gate", None)
+_SCOPE = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+_SQL_TEXT = lambda p: "'" + p.replace("'", "''").replace("\\/", "/") + "'"
+
+
+@query("scope_gate", f"""select conv_id, turn, case when t = '' then 'EMPTY' when regexp_matches(t, {_SQL_TEXT(grounding.phrases(grounding.UNSAFE))}) then 'UNSAFE'
+  when regexp_matches(t, {_SQL_TEXT(grounding.injection_pattern())}) then 'INJECTION' when regexp_matches(t, {_SQL_TEXT(grounding.NON_LATIN)}) then 'ALLOW'
+  when not regexp_matches(t, {_SQL_TEXT(grounding.domain_pattern())}) and len(string_split(t, ' ')) >= 4 then 'OFF_TOPIC' else 'ALLOW' end as verdict from (select conv_id, turn, {_SCOPE} as t from conversations)""")
 def scope_gate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", grounding.scope(F.col("text")).alias("verdict"))
 
 
-@query("ground_numbers", r"""select conv_id, turn, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '(?m)^\s{0,6}\d{1,2}[.)]\s', '', 'g'), '\d+', 0), lambda x: x::double))) as number from conversations""")
+@query("ground_numbers", None)
 def ground_numbers(spark, sf_dir):
-    """Distinct whole numbers in each turn."""
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^\s{0,6}\d{1,2}[.)]\s", "")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"\d+"), 0), lambda x: x.cast("double")))).alias("number"))
+    """Numbers of every text that no number of the first document of its source comes near: the gate
+    that a draft's numbers pass, over all documents. Brute force stands in for SQL, which lacks look-around."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    known = docs.join(first, ["source", "doc_id"], "left_semi").select("source", F.explode(grounding.numbers(F.col("text"))).alias("value"))
+    return grounding.ungrounded_numbers(docs, grounding.ledger(known, "source", "value"), "source", "text").distinct()
 
 
 @query("event_tumbling", "select time_bucket(interval '1 day', ts) as start, event_type, count(*)::bigint as n, sum(floor(value * 100 + 0.5)::bigint)::bigint as value_minor from events group by all")
@@ -577,7 +604,13 @@ def event_session(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"))
 
 
-@query("token_bucket", None)
+@query("token_bucket", """with recursive e as (select user_id, event_id, ts, epoch_us(ts) / 1000000.0::double as s, row_number() over (partition by user_id order by ts, event_id) as n from events),
+b(user_id, event_id, ts, n, s, allowed, tokens) as (
+  select user_id, event_id, ts, n, s, true, 7.0::double from e where n = 1
+  union all
+  select e.user_id, e.event_id, e.ts, e.n, e.s, had >= 1, case when had >= 1 then had - 1 else had end from (
+    select e.*, least(8.0::double, b.tokens + greatest(0.0::double, e.s - b.s) * 0.5::double) as had from b join e on e.user_id = b.user_id and e.n = b.n + 1) e)
+select user_id, event_id, ts, allowed, floor(tokens * 1000 + 0.5)::bigint as tokens_milli from b""")
 def token_bucket(spark, sf_dir):
     return streams.token_bucket(table(spark, sf_dir, "events"))
 
@@ -590,15 +623,9 @@ def latest_run(spark, sf_dir):
 @query("substitutes", _with("""select category, region, product_id, place, other, gap from (
   select a.category, a.region, a.product_id, b.product_id as other, abs(a.m - b.m)::bigint as gap, row_number() over (partition by a.category, a.region, a.product_id order by abs(a.m - b.m), b.product_id) as place
   from s a join s b on a.category = b.category and a.region = b.region and a.product_id <> b.product_id) where place <= 6""", """,
-s as (select category, region, product_id, min(landed_minor)::bigint as m from l where category = 'cement' and region = 'ASIA' group by all)"""))
+s as (select category, region, product_id, min(landed_minor)::bigint as m from l group by all)"""))
 def substitutes(spark, sf_dir):
-    rows = landed(candidates(spark, sf_dir).where("category = 'cement' and region = 'ASIA'")).groupBy("category", "region", "product_id").agg(F.min("landed_minor").alias("floor_minor"))
-    return reports.substitutes(rows)
-
-
-@query("substitutes_all", None)
-def substitutes_all(spark, sf_dir):
-    """Every product of every category and region; the self-join of ``substitutes`` is left out as SQL here."""
+    """Every product of every category and region."""
     rows = landed(candidates(spark, sf_dir)).groupBy("category", "region", "product_id").agg(F.min("landed_minor").alias("floor_minor"))
     return reports.substitutes(rows)
 
@@ -625,5 +652,3 @@ def quality_rank(spark, sf_dir):
     score = quality.quality(F.col("size") / 50, F.when(F.col("c") > 0, 1.0).otherwise(0.3), F.col("brand") != "Brand#1", F.col("n") / most)
     return own.select("product_id", "category", score.alias("quality_bp")).withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("quality_bp"), "product_id")).cast("bigint"))
 
-
-_ = (units, SLA_HOURS)

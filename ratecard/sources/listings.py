@@ -54,14 +54,38 @@ def frontier(pages: DataFrame, visited: DataFrame, include: str, exclude: str |
 
 
 def crawl_waves(start: DataFrame, read: "callable", include: str, waves: int = 5) -> DataFrame:
-    """Breadth-first waves until nothing is new or the cap is met; ``read`` turns urls into pages."""
-    visited, wave = start.select("url"), start.select("url")
+    """Breadth-first waves until nothing is new or the cap is met; ``read`` turns urls into pages.
+
+    Each wave is checkpointed (``spark.checkpoint.dir``), so that a wave reads no page of an earlier one again.
+    """
+    visited = wave = start.select("url").distinct()
     for _ in range(waves):
-        wave = frontier(read(wave), visited, include)
+        wave = frontier(read(wave), visited, include).checkpoint()
         if wave.isEmpty():
             break
-        visited = visited.union(wave).distinct()
-    return visited
+        visited = visited.unionByName(wave)
+    return visited.distinct()
+
+
+def new_listings(pages: DataFrame, seen: DataFrame, keys: tuple[str, ...] = ("source_id", "source_ref")) -> DataFrame:
+    """Of the cards of a pass those that no earlier page or pass had, one of each, the first page's.
+
+    A crawl is over when this is empty: ``passes_done`` says so of a pass.
+    """
+    order = F.struct("page", *(c for c in ("place",) if c in pages.columns))
+    others = [c for c in pages.columns if c not in keys]
+    one = pages.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_c")).select(*keys, "_c.*")
+    return one.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def passes_done(fresh: list[int], dry: int = 2) -> bool:
+    """Whether the last ``dry`` passes found nothing new."""
+    return len(fresh) >= dry and not any(fresh[-dry:])
+
+
+def missed_listings(declared: Column, per_page: Column, pages_read: Column, captured: Column) -> Column:
+    """How many listings a source has that were not captured: what it declares, or what its unread pages hold."""
+    return F.greatest(F.lit(0), F.coalesce(declared, per_page * pages_read) - captured)
 
 
 def assets(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -111,6 +135,52 @@ def parse_cards(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
     return best.select("page_url", "source_ref", "c.*").where("title <> ''")
 
 
+def spec_pairs(html: Column) -> Column:
+    """MAP of a card's stated specifications: pairs of a term and its description."""
+    tag = r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>"
+    text = lambda c: F.trim(F.regexp_replace(entities_decoded(entities_decoded(F.regexp_replace(c, "<[^>]*>", " "))), r"\s+", " "))
+    keys, values = (F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(i)), text) for i in (1, 2))
+    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: (p.k != "") & (p.v != ""))
+    firsts = F.filter(F.transform(pairs, lambda p, i: F.struct(p.k.alias("k"), p.v.alias("v"), i.alias("i"))), lambda p: ~F.array_contains(F.transform(F.slice(pairs, F.lit(1), p.i), lambda q: q.k), p.k))
+    return F.map_from_entries(F.transform(firsts, lambda p: F.struct(p.k.alias("key"), p.v.alias("value"))))
+
+
+#: How other sites write a card: where it is, its title, price, seller; a shop's plugin, and any element that calls itself one.
+LAYOUTS = {
+    "shop": {"card": r'(?is)<li[^>]*class="[^"]*\bproduct\b[^"]*"[^>]*>(.*?)</li>', "title": r"(?is)<h[23][^>]*>(.*?)</h[23]>", "price": r'(?is)class="[^"]*amount[^"]*"[^>]*>(?:<[^>]*>|[^\d<])*([\d,]+(?:\.\d+)?)(?!.*class="[^"]*amount)', "unit": r"$^", "seller": None},
+    "generic": {"card": r'(?is)<(?:div|li|article)[^>]*class="[^"]*(?:product|listing|card)[^"]*"[^>]*>(.*?)</(?:div|li|article)>', "title": r"(?is)<h[234][^>]*>(.*?)</h[234]>", "price": r"₹\s*([\d,]+(?:\.\d+)?)", "unit": r"₹\s*[\d,]+(?:\.\d+)?\s*/\s*([A-Za-z ]{2,18})", "seller": r'(?is)class="[^"]*(?:company|seller|supplier)[^"]*"[^>]*>(.*?)<'},
+}
+
+
+def parse_layout(pages: DataFrame, layout: str, platform: str, html: str = "html", url: str = "url") -> DataFrame:
+    """Priced cards of a site of another layout: title, price, unit, seller (the platform itself in a shop), reference.
+
+    Elements of over 3,000 characters of text hold cards and are none; titles of under four characters are none.
+    """
+    rule = LAYOUTS[layout]
+    text = lambda c: F.trim(F.regexp_replace(entities_decoded(F.regexp_replace(c, "<[^>]*>", " ")), r"\s+", " "))
+    cards = pages.select(F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(rule["card"]), 1)).alias("place", "card"))
+    got = lambda pattern: F.regexp_extract("card", pattern, 1)
+    rows = cards.where(F.length(text(F.col("card"))) <= 3_000).select(
+        "page_url",
+        "place",
+        text(got(rule["title"])).alias("title"),
+        F.regexp_replace(got(rule["price"]), ",", "").try_cast("decimal(18,2)").alias("price"),
+        F.nullif(F.trim(got(rule["unit"])), F.lit("")).alias("unit_text"),
+        (F.lit(platform) if rule["seller"] is None else text(got(rule["seller"]))).alias("vendor_name"),
+        F.coalesce(F.nullif(got(r'href="([^"]+)"'), F.lit("")), F.col("page_url")).alias("source_url"),
+    )
+    rows = rows.where("length(title) >= 4 and price > 0 and vendor_name <> ''")
+    last = F.element_at(F.filter(F.split("source_url", "/"), lambda x: x != ""), -1)
+    name = last if rule["seller"] is None else F.concat_ws(":", F.substring("title", 1, 40), F.substring("vendor_name", 1, 30))
+    return rows.withColumns({"source_ref": F.concat_ws(":", F.lit(platform), name), "price_paise": (F.col("price") * 100).cast("bigint")}).drop("price", "place").dropDuplicates(["source_ref"])
+
+
+def challenged(html: Column) -> Column:
+    """Whether a page is a check for robots instead of what was asked for."""
+    return F.lower(html).rlike("cf-challenge|checking your browser|captcha|attention required|just a moment")
+
+
 def page_counts(html: Column) -> Column:
     """STRUCT<records, pages> that a page declares of itself."""
     return F.struct(F.regexp_extract(html, r"(?i)(\d[\d,]*)\s+(?:records|products|results)", 1).try_cast("int").alias("records"), F.regexp_extract(html, r"(?i)page\s+\d+\s+of\s+(\d+)", 1).try_cast("int").alias("pages"))
@@ -123,6 +193,17 @@ def data_island(pages: DataFrame, path: str, html: str = "html") -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != html], F.explode(listed).alias("item"))
 
 
+def in_city(text: Column, cities: list[str]) -> Column:
+    """Whether an address names one of the cities."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(sorted(c.lower() for c in cities)))
+
+
+def on_topic(title: Column, terms: list[str]) -> Column:
+    """Whether a title holds any of a category's terms."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return F.exists(F.array(*(F.lit(t.lower()) for t in terms)), lambda t: low.contains(t))
+
+
 def funnel(rows: DataFrame, in_region: Column, on_topic: Column, priced: Column) -> DataFrame:
     """seen, in_region, on_topic, priced: each within the one before, and why it is empty."""
     a, b, c = in_region, in_region & on_topic, in_region & on_topic & priced

@@ -11,20 +11,47 @@ from ..functions.money import format_minor
 SNAPSHOT = ("category", "region", "product_id", "title", "brand", "vendor_id", "vendor_name", "offer_key", "stock_state", "moq", "lead_days", "base", "gst", "freight", "handling", "loading", "landed", "fetched_at")
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _markers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(place, version) of everything that was published, in order."""
+    fs, path = _files(spark, f"{root}/_published")
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names)
+
+
 def publish(df: DataFrame, root: str, version: str, *partition_by: str) -> str:
-    """Write a version of a table, then move the pointer to it: readers see all or nothing."""
+    """Write a version of a table, then publish it by creating one empty file, the
+    last of which names the version that is read: readers see all of it or nothing."""
     spark = df.sparkSession
     path = f"{root}/version={version}"
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+    place = max((n for n, _ in _markers(spark, root)), default=0) + 1
+    fs, marker = _files(spark, f"{root}/_published/{place:08d}-{version}")
+    fs.create(marker, False).close()
     return path
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/_current").first().version
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Published versions, oldest first."""
+    return list(dict.fromkeys(v for _, v in _markers(spark, root)))
+
+
+def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The version that was published last."""
+    markers = _markers(spark, root)
+    if not markers:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return read_version(spark, root, markers[-1][1])
+
+
 def append_history(df: DataFrame, path: str, run_id: str, trigger: str) -> None:
     """Append-only observations, one directory for each run."""
     df.withColumns({"run_id": F.lit(run_id), "trigger": F.lit(trigger)}).write.mode("append").partitionBy("run_id").parquet(path)
@@ -50,6 +77,50 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
     counts.write.mode("overwrite").json(f"{path}/json")
 
 
+def keep_history_on_rebuild(history: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History under the product that each offer belongs to now, and what no offer claims any more."""
+    now = offers.select("offer_id", "product_id")
+    return history.drop("product_id").join(now, "offer_id"), history.join(now, "offer_id", "left_anti")
+
+
+def upsert_pictures(known: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("product_id", "asset")) -> DataFrame:
+    """Pictures by product and asset; the widest address wins, a local copy is kept, kinds rank photos first."""
+    rank = F.when(F.col("kind") == "photo", 0).when(F.col("kind") == "chart", 1).when(F.col("kind") == "certificate", 2).otherwise(3)
+    both = known.unionByName(found, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(F.max_by("url", F.struct("width", "url")).alias("url"), F.max("width").alias("width"), F.max("local_path").alias("local_path"), F.min_by("kind", F.struct(rank.alias("rank"), "url")).alias("kind"), F.min(rank).alias("rank"))
+
+
+def seed(spark: SparkSession, root: str, tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> None:
+    """Write reference tables; a second time changes nothing but what differs: keys keep one row, the new one."""
+    for name, rows in tables.items():
+        published = versions(spark, f"{root}/{name}")
+        if published:
+            old = current(spark, f"{root}/{name}").join(rows.select(*keys[name]), keys[name], "left_anti")
+            rows = old.unionByName(rows)
+        publish(rows.dropDuplicates(keys[name]), f"{root}/{name}", f"{len(published) + 1:08d}")
+
+
+def facet_config(spark: SparkSession, trees: list[dict]) -> DataFrame:
+    """Authored facets as a table; a facet is visible unless it says otherwise or is backed by no data."""
+    schema = "category string, facet_id string, label string, facet_key string, position int, visible boolean, values array<struct<label:string,sublabel:string,unit:string,reveals:array<string>>>"
+    rows = [
+        (t["category"], f["id"], f["label"], f["key"], i, bool(f.get("visible", f.get("data_backed", True))), [(v["label"], v.get("sublabel"), v.get("unit"), v.get("reveals", [])) for v in f["values"]])
+        for t in trees
+        for i, f in enumerate(t["facets"])
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+def log_attempts(rows: DataFrame, path: str, run_id: str) -> None:
+    """Append a run's attempts and what they came to."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+
+
+def write_captures(rows: DataFrame, path: str) -> None:
+    """Captures taken by hand, as the JSON lines that readers of assisted sources expect."""
+    rows.withColumn("fetch_mode", F.lit("assisted")).write.mode("append").json(path)
+
+
 def compact(df: DataFrame, path: str, files: int) -> int:
     """A compact read-only copy; an empty one is refused."""
     n = df.count()
@@ -88,4 +159,4 @@ def reattach_pictures(pictures: DataFrame, offers: DataFrame) -> DataFrame:
     return pictures.drop("product_id").join(offers.select("offer_id", "product_id"), "offer_id").groupBy("product_id", "asset").agg(F.max_by(F.struct("offer_id", "url", "width"), F.struct("width", "url")).alias("p")).select("product_id", "asset", "p.*")
 
 
-__all__ = ["append_history", "archive_raw", "compact", "current", "format_minor", "markdown", "publish", "query_log", "reattach_pictures", "replace_partition", "snapshot_rows", "write_snapshot"]
+__all__ = ["append_history", "archive_raw", "compact", "current", "format_minor", "markdown", "publish", "query_log", "read_version", "reattach_pictures", "replace_partition", "snapshot_rows", "versions", "write_snapshot"]

@@ -65,24 +65,42 @@ def token_bucket(events: DataFrame, late: str = "1 hour") -> DataFrame:
         tokens, at = state.get if state.exists else (CAPACITY, None)
         out, tokens, at = _spend(pd.concat(list(parts)), tokens, at)
         state.update((tokens, float(at)))
-        state.setTimeoutTimestamp(int((at + CAPACITY / REFILL) * 1000) + max(1, state.getCurrentWatermarkMs()))
+        full_again = int((at + CAPACITY / REFILL) * 1000) + 1
+        state.setTimeoutTimestamp(max(full_again, state.getCurrentWatermarkMs() + 1))  # a deadline must lie ahead
         yield out
 
     return rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, BUCKET, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], at: str, checkpoint: str):
-    """Keep the newest row of each key in a versioned table; exact repeats change nothing."""
+def upsert_batch(batch: DataFrame, n: int, path: str, keys: list[str], at: str, *ties: str) -> None:
+    """Version n of a table: the newest row of each key of the version before n and the batch.
+
+    A batch that is run again starts from the same earlier version, so it gives the same table.
+    """
     from ..operators.reports import latest_per_key
-    from ..sources.sinks import current, publish
-
-    def merge(batch: DataFrame, n: int) -> None:
-        try:
-            rows = current(batch.sparkSession, path).unionByName(batch)
-        except Exception as first:  # noqa: BLE001  (no version yet)
-            if "PATH_NOT_FOUND" not in str(first) and n:
-                raise
-            rows = batch
-        publish(latest_per_key(rows, keys, at), path, f"{n:08d}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    from ..sources.sinks import publish, read_version, versions
+
+    earlier = [v for v in versions(batch.sparkSession, path) if v < f"{n:08d}"]
+    rows = read_version(batch.sparkSession, path, max(earlier)).unionByName(batch) if earlier else batch
+    publish(latest_per_key(rows, keys, at, *ties), path, f"{n:08d}")
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], at: str, checkpoint: str, *ties: str):
+    """Keep the newest row of each key in a versioned table; exact repeats change nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, n: upsert_batch(batch, n, path, keys, at, *ties)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def trending_stream(log: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
+    """(start, q, n, latest) of every window: how often each query that found something was asked."""
+    rows = log.where("hits > 0").select(F.lower(F.trim("q")).alias("q"), "at")
+    rows = rows.withWatermark("at", late) if log.isStreaming else rows
+    return rows.groupBy(F.window("at", width).alias("w"), "q").agg(F.count("*").alias("n"), F.max("at").alias("latest")).select(F.col("w.start").alias("start"), "q", "n", "latest")
+
+
+def observe_stream(stream: DataFrame, path: str, checkpoint: str, trigger: str = "stream"):
+    """Append every batch to the observation ledger as a run of its own; a batch that is run again replaces its run."""
+
+    def append(batch: DataFrame, n: int) -> None:
+        batch.withColumns({"trigger": F.lit(trigger)}).write.mode("overwrite").parquet(f"{path}/run_id={n:08d}")
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

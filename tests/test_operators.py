@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,13 +17,36 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+def value_matches_row(raw, label):
+    """What a label means for one value, in plain Python."""
+    if raw is None:
+        return False
+    text = str(raw)
+    if re.search(r"\d\s*[×x]\s*\d", text):
+        norm = lambda s: re.sub(r"[\s×]*x[\s×]*|\s*×\s*|\s+", "×", s, flags=re.I).lower()
+        return norm(text) == norm(label)
+    clean = lambda s: float(s.replace(",", "").rstrip("."))
+    number = r"(-?[\d.,]+)"
+    if found := re.search(r"-?\d+(\.\d+)?", text.replace(",", "")):
+        n = float(found[0])
+        if m := re.search(rf"{number}\s*[–-]\s*{number}", label):
+            return clean(m[1]) <= n <= clean(m[2])
+        if m := re.match(r"Under\s+₹?([\d.,]+)", label, re.I):
+            return n < clean(m[1])
+        if m := re.match(r"Over\s+₹?([\d.,]+)", label, re.I):
+            return n > clean(m[1])
+        if m := re.search(r"-?\d+(?:\.\d+)?", label.replace(",", "")):
+            return abs(n - float(m[0])) < 1e-9
+    return text.lower() == label.lower()
+
+
 def test_facet_labels_equal_plain_python(spark):
     raws = ["8", "8 mm", "600x200x100", "600 × 200 × 100", "12.5", "-3", "1,200", "Brand#1", "brand#1", "", None, "30", "700"]
     labels = ["8 mm", "600×200×100", "3 – 12", "Under 700 kg/m³", "Over 10 N/mm²", "Brand#1", "1,200", "12.5", "Under ₹1,000"]
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
     for label in labels:
         got = {r.i: r.m for r in rows.select("i", facets.value_matches(F.col("raw"), label).alias("m")).collect()}
-        assert got == {i: facets.value_matches_row(r, label) for i, r in enumerate(raws)}, label
+        assert got == {i: value_matches_row(r, label) for i, r in enumerate(raws)}, label
 
 
 def test_facet_count_is_what_a_click_shows(spark):
@@ -118,7 +142,10 @@ def test_normalise(spark):
     assert (out["f"].canonical_minor, out["f"].bore_mm, out["f"].pipe_system) == (int(900 * 3.28084 + 0.5), 25.0, "CPVC")
     assert out["g"].reject_reason == "no canonical basis" and out["h"].size_mm == "600×200×150" and out["h"].block_type == "AAC block"
     assert out["i"].reject_reason.startswith("retail pack") and out["j"].reject_reason == "unknown unit"
-    assert out["a"].item_code == "cement|ultratech|opc|53 grade|50.0" and out["e"].item_code == "UNRESOLVED:e"
+    assert out["a"].item_code == "cement|ultratech|opc|50.0|53 grade" and out["c"].item_code == "cement|ultratech|ppc|50.0|~na"
+    assert out["e"].item_code == "tmt_steel|unbranded|8.0|fe 500" and out["j"].item_code == "water_pipes|astral|~na|~na|~na|3.0|UNRESOLVED:j"
+    assert out["h"].unit_volume_m3 == 0.018 and out["h"].unit_kg == 10.8 and out["d"].producer_type == "Primary producer"
+    assert out["g"].pipe_system == "UPVC / PVC" and out["g"].bore_mm == 63.0
     accounts = {r.outcome: r.n for r in ingest.run_accounting(ingest.normalise(rows, ["UltraTech"])).collect()}
     assert sum(accounts.values()) == 10
 
@@ -155,7 +182,9 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     sinks.publish(df, str(tmp_path / "t"), "1")
     sinks.publish(df.limit(1), str(tmp_path / "t"), "2")
-    assert sinks.current(spark, str(tmp_path / "t")).count() == 1
+    assert sinks.current(spark, str(tmp_path / "t")).count() == 1 and sinks.versions(spark, str(tmp_path / "t")) == ["1", "2"]
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, str(tmp_path / "nothing"))
     with pytest.raises(ValueError):
         sinks.compact(df.where("false"), str(tmp_path / "c"), 1)
     assert "| 1 | a |" in sinks.markdown(df, "T")
@@ -198,11 +227,124 @@ def test_token_bucket_on_stream_equals_replay(spark, tmp_path):
     stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/p=*"))
     q = streams.token_bucket(stream).writeStream.format("memory").queryName("bucket").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    want = {r.event_id: r.allowed for r in streams.token_bucket(data).collect()}
-    assert {r.event_id for r in spark.table("bucket").collect()} == set(want)
+    want = {r.event_id: (r.allowed, r.tokens_milli) for r in streams.token_bucket(data).collect()}
+    assert {r.event_id: (r.allowed, r.tokens_milli) for r in spark.table("bucket").collect()} == want
+    want = {i: a for i, (a, _) in want.items()}
     assert 0 < sum(want.values()) < 120
 
 
+def test_upsert_of_a_batch_again(spark, tmp_path):
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k int, v string, at int")
+    path = str(tmp_path / "t")
+    run = lambda n, b: streams.upsert_batch(b, n, path, ["k"], "at", "v")
+    rows = lambda: sorted(map(tuple, sinks.current(spark, path).collect()))
+    run(0, batch((1, "a", 1), (2, "b", 1)))
+    run(1, batch((1, "c", 2), (1, "c", 2), (3, "d", 2)))
+    once = rows()
+    run(1, batch((1, "c", 2), (1, "c", 2), (3, "d", 2)))
+    assert rows() == once == [(1, "c", 2), (2, "b", 1), (3, "d", 2)]
+    run(2, batch((1, "old", 0)))
+    assert rows() == once
+
+
+def test_streams_to_tables(spark, tmp_path):
+    data = spark.createDataFrame([("Cement ", 3, "2024-01-01 10:00:00"), ("cement", 1, "2024-01-01 11:00:00"), ("pipe", 0, "2024-01-01 11:00:00"), ("rod", 2, "2024-01-05 00:00:00")], "q string, hits int, at string").select("q", "hits", F.col("at").cast("timestamp").alias("at"))
+    data.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    assert sorted((r.q, r.n) for r in streams.trending_stream(data).collect()) == [("cement", 2), ("rod", 1)]
+    streams.observe_stream(stream, str(tmp_path / "h"), str(tmp_path / "c")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 4
+    streams.upsert_stream(stream, str(tmp_path / "u"), ["q"], "at", str(tmp_path / "d")).awaitTermination(120)
+    assert sinks.current(spark, str(tmp_path / "u")).count() == 4
+
+
+def test_more_readers(spark, tmp_path):
+    shop = '<li class="product x"><a href="https://s/p/opc-53/"><h2>OPC 53 bag</h2></a><span class="price"><del class="amount">₹500</del><ins><span class="amount">₹<b></b>410.50</span></ins></span></li><li class="product"><h2>No price</h2></li>'
+    wide = '<div class="listing"><h3>Red bricks</h3> ₹ 7.50 / Piece <p class="seller-name">Sri Traders</p></div><div class="card"><h3>No seller</h3> ₹ 5</div>'
+    pages = spark.createDataFrame([("u", shop, wide)], "url string, a string, b string")
+    got = listings.parse_layout(pages, "shop", "mart", html="a").collect()
+    assert [(r.title, r.price_paise, r.vendor_name, r.source_ref) for r in got] == [("OPC 53 bag", 41050, "mart", "mart:opc-53")]
+    got = listings.parse_layout(pages, "generic", "dir", html="b").collect()
+    assert [(r.title, r.price_paise, r.unit_text, r.vendor_name, r.source_ref) for r in got] == [("Red bricks", 750, "Piece", "Sri Traders", "dir:Red bricks:Sri Traders")]
+    pairs = one(spark, listings.spec_pairs(L("<dl><dt>Grade</dt><dd>53 &amp; up</dd><dt>Pack</dt> <dd>50 kg</dd><dt>Grade</dt><dd>43</dd><dt></dt><dd>x</dd></dl>")))
+    assert pairs == {"Grade": "53 & up", "Pack": "50 kg"}
+    assert [one(spark, listings.challenged(L(t))) for t in ("Just a moment...", "fine")] == [True, False]
+    assert one(spark, listings.in_city(L("Kukatpally, HYDERABAD"), ["Hyderabad"])) and one(spark, listings.on_topic(L("OPC Cement"), ["cement"])) and not one(spark, listings.on_topic(L(None).cast("string"), ["cement"]))
+    cards = spark.createDataFrame([("s", "1", 1, "a"), ("s", "1", 2, "b"), ("s", "2", 2, "c")], "source_id string, source_ref string, page int, title string")
+    fresh = listings.new_listings(cards, cards.where("source_ref = '2'"))
+    assert [(r.source_ref, r.title) for r in fresh.collect()] == [("1", "a")]
+    assert listings.passes_done([3, 0, 0]) and not listings.passes_done([0]) and not listings.passes_done([0, 1, 0])
+    assert one(spark, listings.missed_listings(L(None).cast("int"), L(18), L(3), L(40))) == 14 and one(spark, listings.missed_listings(L(30), L(18), L(3), L(40))) == 0
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    web = {"/a": "/b /c", "/b": "/c /d", "/c": "", "/d": "/a"}
+    site = spark.createDataFrame([(u, "".join(f'<a href="{x}">' for x in to.split())) for u, to in web.items()], "url string, html string")
+    found = listings.crawl_waves(spark.createDataFrame([("/a",)], "url string"), lambda wave: site.join(wave, "url", "left_semi"), "^/")
+    assert {r.url for r in found.collect()} == set(web)
+    (tmp_path / "d.csv").write_text("pin,lat\n500001,17.4\n500002,x\n")
+    assert [tuple(r) for r in listings.read_dimension(spark, str(tmp_path / "d.csv"), "lat double, pin int").collect()] == [(17.4, 500001), (None, 500002)]
+    seen = spark.createDataFrame([("m", "cement", "h", "2024-01-01"), ("m", "cement", "h", "2024-01-05"), ("n", "pipes", "h", "2024-01-05")], "platform string, category string, region_id string, t string").withColumn("fetched_at", F.col("t").cast("timestamp"))
+    assert [(r.platform, r.n, r.stale) for r in listings.captured(seen, "cement", "h", L("2024-01-08").cast("timestamp")).collect()] == [("m", 2, True)]
+    counts = listings.funnel(spark.createDataFrame([(True, True, False), (True, False, True), (False, True, True)], "a boolean, b boolean, c boolean"), F.col("a"), F.col("b"), F.col("c")).first()
+    assert tuple(counts) == (3, 2, 1, 0, "none priced")
+
+
+def test_more_sinks(spark, tmp_path):
+    path = lambda n: str(tmp_path / n)
+    df = spark.createDataFrame([(1, "a", "http"), (2, "b", "assisted"), (3, "c", None)], "k int, v string, fetch_mode string")
+    sinks.append_history(df, path("h"), "r1", "manual")
+    sinks.append_history(df, path("h"), "r2", "manual")
+    assert spark.read.parquet(path("h")).groupBy("run_id").count().count() == 2
+    sinks.archive_raw(df, path("raw"))
+    assert {r.k for r in spark.read.json(path("raw")).collect()} == {1, 3}
+    sinks.replace_partition(df, path("p"), "k")
+    sinks.replace_partition(df.where("k = 1").withColumn("v", L("z")), path("p"), "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path("p")).collect()) == [(1, "z"), (2, "b"), (3, "c")]
+    import datetime
+
+    assert sinks.query_log(spark, path("q"), " Cement ", "h", 3, datetime.datetime(2024, 1, 1)) and spark.read.json(path("q")).first().q == "cement"
+    assert not sinks.query_log(spark, path("q"), "x", "h", "many", None)
+    sinks.write_captures(df.select("k", "v"), path("c"))
+    sinks.log_attempts(df, path("l"), "r1")
+    assert spark.read.json(path("c")).where("fetch_mode = 'assisted'").count() == 3 and spark.read.json(path("l")).count() == 3
+    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d"), (3, "d")]):
+        sinks.seed(spark, path("seed"), {"region": spark.createDataFrame(rows, "id int, name string")}, {"region": ["id"]})
+    assert sorted(map(tuple, sinks.current(spark, path("seed/region")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    config = sinks.facet_config(spark, [{"category": "cement", "facets": [{"id": "g", "label": "Grade", "key": "attrs.grade", "values": [{"label": "53"}]}, {"id": "s", "label": "Slabs", "key": "offer.slabs", "data_backed": False, "values": []}]}])
+    assert [(r.facet_id, r.visible) for r in config.orderBy("position").collect()] == [("g", True), ("s", False)]
+    pictures = spark.createDataFrame([("p", "a", "u1", 100, "photo", "x.jpg"), ("p", "b", "u2", 50, "logo", None)], "product_id string, asset string, url string, width int, kind string, local_path string")
+    more = spark.createDataFrame([("p", "a", "u3", 300, "logo")], "product_id string, asset string, url string, width int, kind string")
+    assert sorted((r.asset, r.url, r.width, r.kind, r.local_path) for r in sinks.upsert_pictures(pictures, more).collect()) == [("a", "u3", 300, "photo", "x.jpg"), ("b", "u2", 50, "logo", None)]
+    history = spark.createDataFrame([("o1", "old", 1), ("o2", "old", 2)], "offer_id string, product_id string, v int")
+    kept, orphans = sinks.keep_history_on_rebuild(history, spark.createDataFrame([("o1", "new")], "offer_id string, product_id string"))
+    assert kept.first().product_id == "new" and orphans.first().offer_id == "o2"
+    pics = spark.createDataFrame([("o1", "x", "a", "u", 5), ("o1", "x", "a", "v", 9)], "offer_id string, product_id string, asset string, url string, width int")
+    assert [(r.product_id, r.url) for r in sinks.reattach_pictures(pics, spark.createDataFrame([("o1", "new")], "offer_id string, product_id string")).collect()] == [("new", "v")]
+
+
+def test_load_and_reports(spark):
+    import datetime
+
+    rows = raw(spark, source_ref=["a", "b", "c"], price_paise=[38000, None, 39000], vendor_locality=["Kukatpally", "X", "Benz Circle"]).withColumns({"region_id": L("h"), "fetched_at": L("2024-01-02").cast("timestamp")})
+    places = spark.createDataFrame([("h", "Kukatpally", 1, 1.0, 2.0)], "region_id string, name string, position int, lat double, lon double")
+    rates = spark.createDataFrame([("cement", datetime.date(2017, 7, 1), None, 2800)], "category string, effective_from date, effective_to date, rate int")
+    out = ingest.load(rows, ["UltraTech"], places, rates)
+    assert sorted((r.canonical_minor, r.rate, r.lat) for r in out["offers"].collect()) == [(38000, 2800, 1.0), (39000, 2800, None)]
+    assert out["rejects"].count() == 1 and {r.outcome: r.n for r in out["accounts"].collect()} == {"accepted": 2, "no price": 1}
+    stored = out["rows"].withColumns({"canonical_minor": F.col("canonical_minor") + 5, "item_code": L("other")})
+    assert ingest.changed_amounts(stored, out["rows"]).count() == 2 and tuple(ingest.drift(stored, out["rows"]).first()) == (3, 2, 0, 3)
+    assert {(r.kind, r.what): r.n for r in ingest.refusals(out["rows"]).collect()} == {("refused", "no price"): 1, ("converted", "Bag -> bag"): 2}
+    assert out["specs"].where("field = 'brand' and value = 'UltraTech' and confidence = 'quoted'").count() == 2
+    out["rows"].unpersist()
+    best = ingest.best_spec(spark.createDataFrame([("o", "f", "t", "typical"), ("o", "f", "q", "quoted")], "offer_id string, field string, value string, confidence string")).first()
+    assert (best.value, best.confidence) == ("q", "quoted")
+    assert one(spark, ingest.build_title(L("A"), L(None).cast("string"), L(" 50  kg"))) == "A 50 kg"
+    states = [one(spark, ingest.certification_state(L(t).cast("string"), L(q), L(b).cast("string"))) for t, q, b in (("CM/L-1234567", True, None), (None, True, "X"), (None, False, None), (None, True, None), ("licence expired", True, "X"))]
+    assert states == ["CERTIFIED", "BRAND_LICENSED", "NOT_APPLICABLE", "NOT_DECLARED", "EXPIRED"]
+    table_ = spark.createDataFrame([(x,) for x in (1, 2, 3, 4, 100)], "v int")
+    assert sorted((r.p, r.value) for r in reports.nearest_rank(table_, "v", (50, 95)).collect()) == [(50, 3), (95, 100)]
+    assert facets.dominant_category(spark.createDataFrame([("a",)] * 3 + [("b",)], "category string")).first().category == "a"
+
+
 def test_search(spark):
     from ratecard.operators.search import search
     from ratecard.operators.surface import with_freshness
