@@ -116,3 +116,24 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
             want = log_probabilities(w, contexts(ids, np.array([0, len(ids)])), ids).sum()
             want += sum(math.log(n[word] / totals[i]) for word, i in zip(text.split(), ids) if i >= 2)
             assert abs(got[d] - want) < 1e-6 * abs(want)
+
+
+def test_average_of_weights(spark):
+    """A tree of averages is the mean by tokens seen."""
+    from ratecard.llm.lm_scoring import SHAPES, _averaged, _pack
+
+    rng = np.random.default_rng(2)
+    sets = [{k: rng.standard_normal(s).astype(np.float32) for k, s in SHAPES.items()} for _ in range(20)]
+    seen = [int(x) for x in rng.integers(1, 1000, len(sets))]
+    parts = spark.createDataFrame([(i, n, _pack(w)) for i, (n, w) in enumerate(zip(seen, sets))], "leaf long, seen long, weights binary")
+    got = _averaged(parts, len(sets))
+    for k in SHAPES:
+        want = sum(w[k].astype(np.float64) * n for n, w in zip(seen, sets)) / sum(seen)
+        assert np.allclose(got[k], want, atol=1e-5), k
+    assert _averaged(parts.where("false"), 20) is None
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c a", "x", 5, 0.1)], "doc_id long, text string, n_tokens string, row int, total double")
+    out = lm_scoring.score_corpus(docs, words=8, rounds=1)
+    assert out.columns == ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood", "pseudo_perplexity"] and out.first().n_tokens == 4

@@ -1,10 +1,15 @@
+import math
+import struct
 import zlib
+from collections import Counter
 
+import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ratecard.llm.common import table
-from ratecard.llm.toxicity import Model, chain, fit, letters, op7_toxicity, score_documents, segments, token_scores, without_toxic
+from ratecard.llm.toxicity import MOST_TOKENS, Model, _background, at_best_f1, chain, fit, letters, logistic, op7_toxicity, score_documents, segments, token_scores, without_toxic
 from tests.conftest import SF, SF01
 
 
@@ -63,6 +68,59 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert sorted(a) == sorted(b)
 
 
+def brute_force(docs, labels):
+    """The model from plain loops over all training rows."""
+    known = {}
+    for d, y in labels:
+        if d is not None and y in (0, 1) and zlib.crc32(str(d).encode()) % 4 != 2:
+            known[d] = max(y, known.get(d, 0))
+
+    def fold(d):
+        h = xxhash.xxh64(struct.pack("<q", d), seed=42).intdigest()
+        h -= (h >> 63) << 64
+        return abs(int(math.fmod(h, 1_000_000))) % 2 if abs(h) < 2**52 else (abs(h) % 1_000_000) % 2
+
+    rows = [(fold(d), known[d], t or "") for d, t in docs if d in known]
+    counts, sizes = {}, Counter((f, y) for f, y, _ in rows)
+    for f, y, t in rows:
+        for u in {u for w in t.lower().split() for u in chain(letters(w)) if u}:
+            counts.setdefault(u, [0, 0, 0, 0])[2 * f + y] += 1
+    toxic, clean = sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0]
+    gain = {u: math.log((c[1] + c[3] + 0.5) / (c[0] + c[2] + 0.5)) - math.log(toxic / clean) for u, c in counts.items()}
+    kept = sorted((u for u, c in counts.items() if c[1] + c[3] >= 2 and gain[u] > 0), key=lambda u: (-gain[u] * math.sqrt(counts[u][1] + counts[u][3]), u))[:MOST_TOKENS]
+
+    def scores(*folds):
+        own = {u: (sum(counts[u][2 * f + 1] for f in folds), sum(counts[u][2 * f] for f in folds)) for u in kept}
+        return token_scores(own, max(1, sum(sizes[f, 1] for f in folds)), max(1, sum(sizes[f, 0] for f in folds)))
+
+    model, others = Model(scores=scores(0, 1), prior=toxic / (toxic + clean)), [Model(scores=scores(1)), Model(scores=scores(0))]
+    seen = {0: Counter(), 1: Counter()}
+    for f, y, t in rows:
+        seen[y].update(round(others[f].token(w), 1) for w in t.lower().split())
+    _background(model, seen[0], sum(c for s, c in seen[1].items() if s > 0) / max(1, sum(seen[1].values())))
+    for m in others:
+        m.gap, m.rate = model.gap, model.rate
+    best = [(len(t.split()), max((s for _, _, s in found), default=None)) for f, y, t in rows if not y for found in [others[f].scan(t)[1]]]
+    hits, mass = sum(b is not None for _, b in best), sum(n * math.exp(-model.rate * (b or 0)) for n, b in best)
+    if hits:
+        model.k = float(f"{min(1.0, hits / mass):.3g}")
+    for m in others:
+        m.k = model.k
+    x, y = np.array([others[f].features(*others[f].scan(t)) for f, _, t in rows]), np.array([float(y) for _, y, _ in rows])
+    order = np.lexsort((*x.T, y))
+    model.weights = tuple(at_best_f1(logistic(x[order], y[order]), x[order], y[order]))
+    return model
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = score_documents(docs, fit(docs, labels)).collect()
+    assert len(got) == len(texts)
+    assert max(abs(r.score - model.probability(*model.scan(texts[r.doc_id]))) for r in got) < 1e-6
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (2, "", "b"), (None, "x " * 9000, "c")], "doc_id long, text string, toxic string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
