@@ -212,7 +212,7 @@ _PAGE = "category = 'cement' and (lower(brand) = 'brand#1' or starts_with(lower(
 def search_page(spark, sf_dir):
     """The first page of a search that names a category and a brand."""
     found = search(_region(spark, sf_dir), "cement brand#1 price", _attributes(), brands=_BRANDS)
-    return found.results.select(*(c.strip() for c in _COLUMNS.split(",")))
+    return found.results.select(*(c.strip() for c in _COLUMNS.split(","))).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("search_chips", _with("select category, count(distinct product_id)::bigint as n from o where region = 'ASIA' group by category"))
@@ -240,8 +240,8 @@ def search_fallback(spark, sf_dir):
     ranked = ranking.score(found, "category", requested=1)
     order = [F.desc("score_e9"), F.asc("landed_minor"), F.desc("fetched_at"), F.asc("offer_key"), F.asc("moq")]
     ranked = ranking.banded(ranked, ["category"], -F.floor(F.col("score_e9") / 1_000_000), order, "rank_pos", "row_number").drop("_total")
-    page = ranking.by_product(ranked, "category").orderBy("position", "category", "product_id").limit(24)
-    return page.select(*(c.strip() for c in _COLUMNS.split(",")), F.lit(2).alias("rung")) if "rung" not in page.columns else page
+    page = ranking.by_product(ranked, "category", "rung").orderBy("position", "category", "product_id").limit(24)
+    return page.select(*(c.strip() for c in _COLUMNS.split(",")), "rung")
 
 
 @query("parsed_queries", None)

@@ -281,7 +281,7 @@ def rank_order(spark, sf_dir):
 @query("group_by_product", _with("""select category, region, product_id, min(rank_pos)::int as position, arg_min(offer_key, (not quotable, landed_minor, rank_pos)) as offer_key,
   arg_min(landed_minor, (not quotable, landed_minor, rank_pos))::bigint as landed_minor, count(distinct vendor_id)::bigint as n_sellers, count(*)::bigint as n_offers from p group by category, region, product_id""", _FRESH + _SCORE + _RANKED))
 def group_by_product(spark, sf_dir):
-    return ranking.by_product(_ranked(spark, sf_dir), "category", "region").drop("shown_score_e9", "best_score_e9")
+    return ranking.by_product(_ranked(spark, sf_dir), "category", "region").drop("shown_score_e9", "best_score_e9").withColumn("position", F.col("position").cast("int"))
 
 
 @query("vendor_rollup", _with("""select product_id, vendor_id, arg_min(offer_key, (stock_state = 'out_of_stock', landed_minor, offer_key)) as offer_key,
