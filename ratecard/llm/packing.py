@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import ID, default_vocabulary, shared_encoder
+from .tokens import ID, TOGETHER, default_vocabulary, shared_encoder
 
 TIERS = (256, 512, 1024, 2048)
 PIECES = (
@@ -145,8 +145,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
         waiting = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, TOGETHER):
+                piece = batch.slice(at, TOGETHER)
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode_many(piece.column("text").to_pylist())):
                     held.append((doc_id, ids + end, 0, len(ids) // 4 + 1))
                     waiting += len(ids) // 4 + 1

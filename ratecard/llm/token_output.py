@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
-from .tokens import ID, default_vocabulary, shared_encoder
+from .tokens import ID, TOGETHER, default_vocabulary, shared_encoder
 
 ENCODED = "doc_id bigint, part int, part_start bigint, n_tokens int, ids array<int>"
 DIGEST = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -45,8 +45,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         encoder, part, start = shared_encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], ID).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, TOGETHER):
+                piece = batch.slice(at, TOGETHER)
                 ids = [x + end for x in encoder.encode_many(piece.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 before = start + np.cumsum(n) - n
@@ -76,6 +76,7 @@ def write_tokens(
     writer = encode_documents(docs, vocabulary or default_vocabulary(), end_id).write
     options = {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,

@@ -24,7 +24,15 @@ _SEPARATOR = "\x01"
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00a1\u00ab\u00bb\u00bf-\u00ff\u0100-\u012f\u0131-\u0148\u014a-\u017e]")
 #: A comma or full stop that belongs to a longer run of signs.
 _RUN = re.compile(r"(?:[^\w\s]|_)[,.]")
+#: The same two for texts of one byte a character: usual ones, and signs as ``!`` but for commas and full stops.
+_USUAL_BYTES = bytes(i for i in range(256) if not _ODD.match(chr(i)) and not _UNUSUAL.match(chr(i)))
+_SIGNS = bytes(0x2E if chr(i) in ",." else 0x21 if re.match(r"[^\w\s]|_", chr(i)) else 0x20 for i in range(256))
+#: How byte-level vocabularies write bytes: printable ones as they are, others as characters from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {0x20: 0x20}
 ID = np.dtype("<u4")
+#: Texts that are encoded at a time: their new stretches are asked for together.
+TOGETHER = 512
 
 
 def default_vocabulary() -> str:
@@ -33,6 +41,26 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def usual(text: str) -> tuple[bool, bool]:
+    """Whether all characters are usual ones, and whether a comma or full stop belongs to a run of signs."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _UNUSUAL.search(text) and not _ODD.search(text), bool(_RUN.search(text))
+    signs = data.translate(_SIGNS)
+    return not data.translate(None, _USUAL_BYTES), b".." in signs or b"!." in signs
+
+
+class _Memory(dict):
+    """Stretch -> its ids; one that is not there is noted in ``asked`` and stands for itself."""
+
+    asked: set[str]
+
+    def __missing__(self, stretch: str) -> str:
+        self.asked.add(stretch)
+        return stretch
+
+
 class WordEncoder:
     """Stretch of non-space -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -42,18 +70,23 @@ class WordEncoder:
 
     def __init__(self, path: str, most: int = 250_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        #: The library's model alone, for words that its normal form and its cuts leave as they are.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.most, self.longest = most, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Memory(), _Memory()
         self.gap = self._ids(_SEPARATOR)
         if len(self.gap) != 1:
             raise ValueError(f"{path}: the separator is not one token")
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        probe = "It's a\tProbe, naïve\u0301 of 12 (words)...\nÄ ok_ #x"
+        if self.encode(probe) != self._ids(probe).tobytes() or self.encode("größe") != self._ids("größe").tobytes():
+            raise ValueError(f"{path}: its ids of a text are not those of its stretches of non-space")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
@@ -71,7 +104,11 @@ class WordEncoder:
         where an end-of-word id does, and once for other stretches."""
         out: dict[str, bytes] = {}
         if words:
-            ids = self._ids(" ".join(words))
+            plain = [w for w in words if w.isascii()]
+            words = plain + [w for w in words if not w.isascii()]
+            other = " ".join(words[len(plain) :])
+            text = " ".join(plain) + (" " + other.encode().decode("latin-1").translate(_BYTE_LEVEL) if other else "")
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(words):
                 out = self._cut(words, ids, ends, 0)
@@ -84,37 +121,38 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null is empty."""
-        jobs: list[bytes | tuple[list[str], list[bytes | None]]] = []
-        words: dict[str, None] = {}
-        others: dict[str, None] = {}
-        known = self.young.get
+        jobs: list[bytes | list[bytes | str]] = []
+        young, old = self.young, self.old
+        plain: set[str] = set()  # new stretches of usual texts
+        odd: set[str] = set()
         for text in texts:
             if not text:
                 jobs.append(b"")
+                continue
+            common, run = usual(text)
+            if common:
+                text = text.lower()
+                if not run:
+                    text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
             elif _ODD.search(text):
                 jobs.append(self._ids(text).tobytes())
-            else:
-                if usual := not _UNUSUAL.search(text):
-                    text = text.lower()
-                    if not _RUN.search(text):
-                        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-                stretches = text.split()
-                out = list(map(known, stretches))
-                jobs.append((stretches, out))
-                if None in out:
-                    for w, x in zip(stretches, out):
-                        if x is None:
-                            (words if usual and w.isalpha() else others)[w] = None
+                continue
+            young.asked = plain if common else odd
+            jobs.append(list(map(young.__getitem__, text.split())))
         fresh: dict[str, bytes] = {}
+        words, others = [], []
+        for part, kept in ((plain, words), (odd - plain, others)):
+            for w in part:
+                if w in old:
+                    fresh[w] = old[w]
+                else:
+                    (kept if w.isalpha() else others).append(w)
         if words or others:
-            old = self.old
-            fresh = {w: old[w] for part in (words, others) for w in part if w in old}
-            fresh |= self._learn([w for w in words if w not in fresh], [w for w in others if w not in fresh and w not in words])
-        out = [job if isinstance(job, bytes) else b"".join([fresh[w] if x is None else x for w, x in zip(*job)] if None in job[1] else job[1]) for job in jobs]
-        if fresh:
-            self.young.update((w, x) for w, x in fresh.items() if len(w) <= self.longest)
-            if len(self.young) > self.most:
-                self.old, self.young = self.young, {}
+            fresh |= self._learn(words, others)
+        out = [job if job.__class__ is bytes else b"".join([fresh[x] if x.__class__ is str else x for x in job]) for job in jobs]
+        young.update((w, x) for w, x in fresh.items() if len(w) <= self.longest)
+        if len(young) > self.most:
+            self.old, self.young = young, _Memory()
         return out
 
     def encode(self, text: str | None) -> bytes:

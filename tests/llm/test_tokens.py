@@ -1,33 +1,48 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ratecard.llm.common import scratch_path, table
 from ratecard.llm.packing import pack_documents, pack_lengths, step_groups
 from ratecard.llm.token_output import op6_token_output, read_tokens, token_digest, write_tokens
-from ratecard.llm.tokens import WordEncoder, default_vocabulary
+from ratecard.llm.tokens import WordEncoder, default_vocabulary, shared_encoder
 from tests.conftest import SF, SF01
 
 ODD = ["", None, "A,. B__, c", "İstanbul ŉ ſ ΑΣ, ﬁ x", "<|endoftext|>hi, a\x1cb\x01", "it's, we'LL. Don't_. ok.\n", "a b ½,5. ²", "éa, É. ß ẞ", "é , ,", "x" * 20000, "a " * 30000]
 
 
-@pytest.fixture(scope="module")
-def library():
+@lru_cache
+def library_of():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_vocabulary())
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def library():
+    return library_of()
+
+
 def test_encoder_equals_library(spark, library):
     texts = [r.text for r in table(spark, SF01, "documents").select("text").collect()] + ODD
     for encoder in (WordEncoder(default_vocabulary()), WordEncoder(default_vocabulary(), most=50, longest=5)):
-        for text in texts[-400:]:
+        for text in texts if encoder.most > 50 else texts[-400:]:
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text), text
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aAbßÄéñ.,'_!? \n\t-1½İ\u0301\x1c\x01"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=6))
+def test_random_texts(texts):
+    encoder, whole = shared_encoder(default_vocabulary()), library_of()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == [whole(t) for t in texts]
+
+
 def odd_documents(spark):
     rows = [(i, t, "x", None) for i, t in enumerate(ODD)] + [(3, "again", "x", 1), (None, "none", None, 2)]
     return spark.createDataFrame(rows, "doc_id long, text string, part string, ids int")
@@ -95,6 +110,15 @@ def test_packing(spark, library):
         assert padding <= 2048 * 8 and n > 20
 
 
+def test_packing_repeated_rows_and_no_doc_id(spark, library):
+    """Repeated rows are packed each, rows without a doc_id too: every one has all its ids."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "d"), (None, None), (2, "")], "doc_id long, text string")
+    rows = pack_documents(docs).collect()
+    want = sorted((d or -1, len(library(t)) + 1) for d, t in ((r.doc_id, r.text) for r in docs.collect()))
+    assert sorted((r.doc_id or -1, r.length) for r in rows) == want
+    assert all(r.start == 0 and r.length == r.doc_tokens for r in rows)
+
+
 def test_packing_empty_and_steps(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pack_lengths([]) == ([], [])
