@@ -360,6 +360,23 @@ def _combinations(docs: DataFrame, shipped, threshold: Fraction, words: int) ->
     return docs.mapInArrow(run, "key bigint, a bigint, n bigint, rare bigint").distinct()
 
 
+def _cell(c: str):
+    return F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(CELLS)).cast("int")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``ids`` (doc_id, distinct).
+
+    As in ``_texts_of``, only documents in a cell that holds such an id are shuffled;
+    all others, and rows without a doc_id, are passed on where they are read.
+    """
+    cell = "_" + max(docs.columns, key=len)  # no column's name
+    marked = docs.withColumn(cell, _cell("doc_id"))
+    cells = F.broadcast(ids.select(_cell("doc_id").alias(cell)).distinct())
+    near = marked.join(cells, cell, "left_semi").join(ids, "doc_id", "left_anti")
+    return marked.join(cells, cell, "left_anti").select(docs.columns).unionByName(near.select(docs.columns))
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents with these ids, one of each.
 
@@ -367,8 +384,8 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ``CELLS`` cells, and the cells that hold a wanted id, no more than that many
     numbers at any size, are broadcast to drop nearly all others where they are read.
     """
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int").alias("cell")
-    near = docs.toDF("id", "text").select("id", "text", cell("id")).join(F.broadcast(ids.select(cell("id")).distinct()), "cell", "left_semi")
+    cell = _cell("id").alias("cell")
+    near = docs.toDF("id", "text").select("id", "text", cell).join(F.broadcast(ids.select(cell).distinct()), "cell", "left_semi")
     return near.select("id", "text").join(ids, "id").dropDuplicates(["id"])
 
 
