@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ratecard.llm.common import forget, saved, table
 from ratecard.llm.decontamination import decontaminate
-from ratecard.llm.jaccard_join import jaccard_join
+from ratecard.llm.jaccard_join import jaccard_join, without_ids
 from ratecard.llm.packing import pack_documents
 from ratecard.llm.toxicity import fit, without_toxic
 
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component; rows without a doc_id are kept."""
     gone = jaccard_join(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
