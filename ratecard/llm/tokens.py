@@ -32,7 +32,7 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {0x20: 0x20}
 ID = np.dtype("<u4")
 #: Texts that are encoded at a time: their new stretches are asked for together.
-TOGETHER = 512
+TOGETHER = 384
 
 
 def default_vocabulary() -> str:
@@ -68,14 +68,14 @@ class WordEncoder:
     longer than ``longest``; forgetting changes no result.
     """
 
-    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 180_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         #: The library's model alone, for words that its normal form and its cuts leave as they are.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.bare = Tokenizer(self.library.model)  # shared, not loaded again
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.most, self.longest = most, longest
         self.young, self.old = _Memory(), _Memory()
         self.gap = self._ids(_SEPARATOR)
