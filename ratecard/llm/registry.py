@@ -7,6 +7,7 @@ from .collocations import OP13_SQL, op13_phrase_collocations
 from .decontamination import op10_decontamination
 from .embedding_dedup import op2_embedding_dedup
 from .fill_in_middle import OP11_SQL, op11_fill_in_middle
+from .html_extraction import op12_html_extraction
 from .jaccard_join import op4_ngram_jaccard_join
 from .license_scan import OP9_SQL, op9_license_scan
 from .lm_scoring import op1_lm_scoring
@@ -17,7 +18,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 
 
 def queries() -> dict:
-    own = (op1_lm_scoring, op2_embedding_dedup, op3_url_filter, op4_ngram_jaccard_join, op5_chat_format, op6_token_output, op7_toxicity, op8_packing, op9_license_scan, op10_decontamination, op11_fill_in_middle, op13_phrase_collocations)
+    own = (op1_lm_scoring, op2_embedding_dedup, op3_url_filter, op4_ngram_jaccard_join, op5_chat_format, op6_token_output, op7_toxicity, op8_packing, op9_license_scan, op10_decontamination, op11_fill_in_middle, op12_html_extraction, op13_phrase_collocations)
     return {f.__name__: f for f in own}
 
 
