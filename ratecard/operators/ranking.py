@@ -38,8 +38,11 @@ def banded(rows: DataFrame, group: list[str], band: Column, order: list[Column],
     within (group, band) and the sizes of earlier bands are added, so that a group
     of any size is sorted by as many tasks as it has bands.
     """
-    rows = rows.withColumn("_band", band.cast("bigint"))
-    sizes = rows.groupBy(*group, "_band").agg(F.count("*").alias("_n"))
+    # never null: a test for that, put below the exchange for the join's sake, would compute the band again.
+    # The sizes read all columns, so that they come from the same exchange as the rows: what lies below it runs once
+    rows = rows.withColumn("_band", F.coalesce(band.cast("bigint"), F.lit(-(1 << 62)))).repartition(*group, "_band")
+    whole = F.max(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))).alias("_whole")
+    sizes = rows.groupBy(*group, "_band").agg(F.count("*").alias("_n"), whole).where("_whole is not null").drop("_whole")
     w = Window.partitionBy(*group)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(*group, "_band", before.alias("_before"), F.sum("_n").over(w).alias("_total"))
@@ -95,17 +98,17 @@ def published_order() -> list[Column]:
 
 
 #: The orders that a search can ask for, each ending in the published rank.
-def sort_order(name: str) -> list[Column]:
+def sort_order(name: str, tie: str = "rank_pos") -> list[Column]:
     orders = {
         "recommended": [],
         "price_low": [F.expr("freshness = 'EXPIRED'").asc(), F.asc("landed_minor")],
         "fastest": [F.coalesce("lead_days", F.lit(9)).asc()],
         "freshest": [F.desc("fetched_at")],
-        "best_value": [F.desc("value_e9")],
+        "best_value": [F.asc("value_e9")],
     }
     if name not in orders:
         raise ValueError(f"unknown sort {name!r}; known: {', '.join(orders)}")
-    return orders[name] + [F.asc("rank_pos")]
+    return orders[name] + [F.asc(tie)]
 
 
 def column_order(column: str, descending: bool, *ties: str) -> list[Column]:
@@ -114,23 +117,30 @@ def column_order(column: str, descending: bool, *ties: str) -> list[Column]:
     return [c.desc_nulls_last() if descending else c.asc_nulls_last(), *(F.asc(t) for t in ties)]
 
 
-def best_value(rows: DataFrame, *group: str, score_band: int = 1_000_000) -> DataFrame:
-    """value_e9: half the price percentile, half the score's, in billionths."""
-    price = percent_rank(rows, list(group), -amount_band(F.col("landed_minor")), [F.desc("landed_minor")], "_price")
-    merit = percent_rank(price, list(group), F.floor(F.col("score_e9") / score_band), [F.asc("score_e9")], "_merit")
-    return merit.withColumn("value_e9", F.floor((F.col("_price") * 0.5 + F.col("_merit") * 0.5) * 1e9 + 0.5).cast("bigint")).drop("_price", "_merit")
+#: What price, rating and a certificate weigh in best value, and the rating of the unrated.
+VALUE_WEIGHTS, UNRATED = (0.5, 0.3, 0.2), 3.5
 
 
-def by_product(ranked: DataFrame, *group: str) -> DataFrame:
+def best_value(rows: DataFrame, *group: str) -> DataFrame:
+    """value_e9, least first, in billionths: the price's place from 0 to 1, less for a rating of five and for a certificate."""
+    ranked = banded(rows, list(group), amount_band(F.col("landed_minor")), [F.asc("landed_minor")], "_rank")
+    price = (F.col("_rank") - 1) / F.greatest(F.col("_total") - 1, F.lit(1))
+    rating = F.coalesce(F.col("rating"), F.lit(UNRATED)) if "rating" in rows.columns else F.lit(UNRATED)
+    certified = F.coalesce(F.col("cert_state") == "CERTIFIED", F.lit(False)) if "cert_state" in rows.columns else F.lit(False)
+    value = VALUE_WEIGHTS[0] * price - VALUE_WEIGHTS[1] * rating / 5 - VALUE_WEIGHTS[2] * certified.cast("double")
+    return ranked.withColumn("value_e9", F.floor(value * 1e9 + 0.5).cast("bigint")).drop("_rank", "_total")
+
+
+def by_product(ranked: DataFrame, *group: str, shown: tuple[str, ...] = ()) -> DataFrame:
     """One row for each product: its cheapest live offer, at the place of its first-ranked one.
 
     ``ranked`` has rank_pos. Quotable beats dead, then the cheaper, then the
     earlier. Both are aggregates, so that a product of very many offers is
-    reduced before it is shuffled.
+    reduced before it is shuffled. ``shown``: further columns of the offer that is shown.
     """
     order = F.struct((~F.col("quotable")).alias("dead"), "landed_minor", "rank_pos")
     return ranked.groupBy(*group, "product_id").agg(
-        F.min("rank_pos").alias("position"), F.min_by("offer_key", order).alias("offer_key"), F.min_by("landed_minor", order).alias("landed_minor"), F.min_by("score_e9", order).alias("shown_score_e9"), F.max("score_e9").alias("best_score_e9"), F.countDistinct("vendor_id").alias("n_sellers"), F.count("*").alias("n_offers")
+        F.min("rank_pos").alias("position"), F.min_by("offer_key", order).alias("offer_key"), F.min_by("landed_minor", order).alias("landed_minor"), F.min_by("score_e9", order).alias("shown_score_e9"), F.max("score_e9").alias("best_score_e9"), F.countDistinct("vendor_id").alias("n_sellers"), F.count("*").alias("n_offers"), *(F.min_by(c, order).alias(c) for c in shown)
     )
 
 

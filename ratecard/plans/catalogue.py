@@ -290,10 +290,13 @@ def vendor_rollup(spark, sf_dir):
     return ranking.vendor_rollup(landed(candidates(spark, sf_dir)), "product_id")
 
 
-@query("best_value", _with("""select offer_key, floor(value_e9 / 1000.0 + 0.5)::bigint as value_e6 from (select offer_key, floor((percent_rank() over (partition by category, region order by landed_minor desc) * 0.5 + percent_rank() over (partition by category, region order by round(score_e6 / 1000.0)::bigint) * 0.5) * 1e9 + 0.5)::bigint as value_e9 from r)""", _FRESH + _SCORE))
+@query("best_value", _with("""select offer_key, floor(floor((0.5::double * (rank() over g - 1) / greatest(count(*) over (partition by category, region) - 1, 1)
+  - 0.3::double * coalesce(case when size % 4 > 0 then (size % 5 + 1)::double end, 3.5) / 5 - case when line_status = 'F' then 0.2::double else 0 end) * 1e9 + 0.5) / 1000 + 0.5)::bigint as value_e6
+  from l window g as (partition by category, region order by landed_minor)"""))
 def best_value(spark, sf_dir):
-    rows = _scored(spark, sf_dir).withColumn("score_e9", F.round(F.col("score_e6") / 1000).cast("bigint"))
-    return ranking.best_value(rows, "category", "region", score_band=1).select("offer_key", F.floor(F.col("value_e9") / 1000 + 0.5).cast("bigint").alias("value_e6"))
+    """The price's place, rating and certificate of every offer; sizes and statuses stand in for ratings and certificates."""
+    rows = landed(candidates(spark, sf_dir)).withColumns({"rating": F.when(F.col("size") % 4 > 0, (F.col("size") % 5 + 1).cast("double")), "cert_state": F.when(F.col("line_status") == "F", "CERTIFIED")})
+    return ranking.best_value(rows.select("category", "region", "offer_key", "landed_minor", "rating", "cert_state"), "category", "region").select("offer_key", F.floor(F.col("value_e9") / 1000 + 0.5).cast("bigint").alias("value_e6"))
 
 
 _WANTED = {"brand": "Brand#1", "category": "Cement", "size": 10, "_note": "x"}
