@@ -137,16 +137,76 @@ def match_strength(rows: DataFrame, text: str, query: str, stop: frozenset[str]
     return rows.agg(F.round(share, 6).alias("share")).withColumn("verdict", F.when(F.col("share") == 0, "NO_MATCH").when(F.col("share") < 0.5, "weak").otherwise("ok"))
 
 
-def correct_words(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
-    """(word, form, distance): the nearest form within ``most`` edits of words of
-    four letters or more; ties by priority, then form.
+#: Longer forms are met by pieces, shorter ones by what deletions leave of them.
+LONG_FORM = 16
 
-    Blocked by the word's length and a deletion signature's first letters would
-    lose matches, so candidates meet on every length within reach, and the
-    vocabulary, a fixed config table, is the broadcast side.
+
+def _without_one(word: Column) -> Column:
+    """The strings that a word is without one of its characters."""
+    left = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) > 0, left).otherwise(F.array().cast("array<string>"))
+
+
+def deletion_keys(word: Column) -> Column:
+    """A word and all that is left of it without one or two characters. Two words within
+    two edits share one: an edit deletes a character of either or of both."""
+    once = _without_one(word)
+    twice = F.flatten(F.transform(once, _without_one))
+    return F.transform(F.array_distinct(F.concat(F.array(word), once, twice)), lambda k: F.concat(F.lit("d:"), k))
+
+
+def _piece_key(length: Column, piece: Column, text: Column) -> Column:
+    return F.concat_ws(":", F.lit("p"), length.cast("string"), piece.cast("string"), text)
+
+
+def piece_keys(form: Column) -> Column:
+    """The thirds of a form, each with its place and the form's length: two edits leave one of them whole."""
+    n = F.length(form)
+    start = lambda i: F.floor(n * i / 3).cast("int")
+    return F.transform(F.array(*map(F.lit, range(3))), lambda i: _piece_key(n, i, F.substring(form, start(i) + 1, start(i + 1) - start(i))))
+
+
+def probe_keys(word: Column, most: int = 2) -> Column:
+    """The keys of thirds that forms within ``most`` edits of a word can have: every length and shift in reach."""
+    n = F.length(word)
+
+    def of_length(length: Column) -> Column:
+        start = lambda i: F.floor(length * i / 3).cast("int")
+
+        def of_piece(i: Column) -> Column:
+            size = start(i + 1) - start(i)
+            at = F.transform(F.array(*map(F.lit, range(-most, most + 1))), lambda s: start(i) + s)
+            at = F.filter(at, lambda p: (p >= 0) & (p + size <= n))
+            return F.transform(at, lambda p: _piece_key(length, i, F.substring(word, p + 1, size)))
+
+        return F.flatten(F.transform(F.array(*map(F.lit, range(3))), of_piece))
+
+    lengths = F.filter(F.transform(F.array(*map(F.lit, range(-most, most + 1))), lambda d: n + d), lambda length: length > LONG_FORM)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
+def near_pairs(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, form, distance, and what else ``vocabulary`` has) of all words within two edits of each other, maybe more than once.
+
+    An equi-join on keys: what deletions leave of short forms, thirds of long ones.
+    Words near the limit have both, so no pair is lost, and a pair that shares a key
+    is verified where it meets.
     """
+    none = F.array().cast("array<string>")
+    n = F.length("word")
+    own = F.concat(F.when(n <= LONG_FORM + 2, deletion_keys(F.col("word"))).otherwise(none), F.when(n >= LONG_FORM - 1, probe_keys(F.col("word"))).otherwise(none))
+    theirs = F.when(F.length("form") <= LONG_FORM, deletion_keys(F.col("form"))).otherwise(piece_keys(F.col("form")))
+    left = words.select("word", F.explode(own).alias("_key"))
+    right = vocabulary.withColumn("_key", F.explode(theirs))
+    near = left.join(right, "_key").drop("_key")
+    return near.withColumn("distance", F.levenshtein("word", "form", 2)).where("distance >= 0")
+
+
+def correct_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, form, distance): the nearest other form within two edits of words of
+    four letters or more; ties by priority, then form."""
     w = words.where(F.length("word") >= 4).select("word").distinct()
-    near = w.join(vocabulary, F.abs(F.length("word") - F.length("form")) <= most).withColumn("distance", F.levenshtein("word", "form", most)).where("distance > 0")
+    near = near_pairs(w, vocabulary.select("form", "priority")).where("distance > 0")
     return near.groupBy("word").agg(F.min(F.struct("distance", "priority", "form")).alias("best")).select("word", "best.form", "best.distance")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index
+from ..operators import index, retrieval
 from ..sources.scratch import shared_path
 from .catalogue import _TERMS, ORACLES, query
 from .offers import table
@@ -61,3 +61,17 @@ def trigram_match(spark, sf_dir):
     """The rows of ``substring_match`` from a written trigram index of all ``documents``."""
     path = index.write_trigrams(table(spark, sf_dir, "documents"), "doc_id", "text", shared_path(spark, "trigrams"))
     return index.substring_lookup(spark, path, _TERMS, top=None).select(F.col("key").alias("doc_id"), "score")
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: length(t) >= 4)"
+
+
+@query("fuzzy_nearest", f"""with v as (select form, -count(*)::bigint as priority from (select unnest({_WORDS}) as form from documents) group by form),
+w as (select distinct unnest({_WORDS}) as word from benchmark),
+m as (select word, form, priority, levenshtein(word, form)::int as distance from w join v on abs(length(word) - length(form)) <= 2 where word <> form and levenshtein(word, form) <= 2)
+select word, form, distance from m qualify row_number() over (partition by word order by distance, priority, form) = 1""")
+def fuzzy_nearest(spark, sf_dir):
+    """For every word of the benchmark, the nearest other word of all documents, the more frequent first."""
+    split = lambda name: table(spark, sf_dir, name).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= 4)
+    vocabulary = split("documents").groupBy("w").agg((-F.count("*")).alias("priority")).withColumnRenamed("w", "form")
+    return retrieval.correct_words(split("benchmark").withColumnRenamed("w", "word"), vocabulary)

@@ -90,3 +90,42 @@ def test_odd_texts(spark):
 
 def test_bounds_of_prefixes():
     assert index.after_prefix("ab") == "ac" and index.after_prefix("a\U0010ffff") == "b" and index.after_prefix("퟿") == "" and index.after_prefix("\U0010ffff") is None
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next(row, i, x, b)
+    return row[-1]
+
+
+def _next(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[j - 1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def test_fuzzy_join_loses_nothing(spark):
+    """All words of few letters, and changed ones around the length where keys change."""
+    import itertools
+    import random
+
+    from ratecard.operators.retrieval import LONG_FORM, near_pairs
+
+    rng = random.Random(5)
+    words = {"".join(w) for n in range(5) for w in itertools.product("ab", repeat=n)} | {"\U0001f600ab", "é" * 4}
+    for n in (*range(LONG_FORM - 3, LONG_FORM + 5), 40):
+        for _ in range(6):
+            w = "".join(rng.choice("abc") for _ in range(n))
+            words.add(w)
+            for _ in range(6):
+                v = list(w)
+                for _ in range(rng.choice((1, 2, 3))):
+                    at = rng.randrange(len(v))
+                    v[at : at + rng.choice((0, 1))] = rng.choice(([], ["x"], ["a", "b"]))
+                words.add("".join(v))
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.word, r.form): r.distance for r in near_pairs(df, df.withColumnRenamed("word", "form")).collect()}
+    want = {(a, b): d for a in words for b in words if abs(len(a) - len(b)) <= 2 and (d := edits(a, b)) <= 2}
+    assert got == want
