@@ -570,12 +570,13 @@ def compare_set(spark, sf_dir):
 
 
 _SCOPE = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
-_SQL_TEXT = lambda p: "'" + p.replace("'", "''").replace("\\/", "/") + "'"
+_FOLDED = r"' ' || trim(regexp_replace(replace(replace(lower(t), '’', ''''), '''re', ' are'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) || ' '"
+_ANY = lambda rules: "regexp_matches(w, '" + "|".join(rules) + "')"
 
 
-@query("scope_gate", f"""select conv_id, turn, case when t = '' then 'EMPTY' when regexp_matches(t, {_SQL_TEXT(grounding.phrases(grounding.UNSAFE))}) then 'UNSAFE'
-  when regexp_matches(t, {_SQL_TEXT(grounding.injection_pattern())}) then 'INJECTION' when regexp_matches(t, {_SQL_TEXT(grounding.NON_LATIN)}) then 'ALLOW'
-  when not regexp_matches(t, {_SQL_TEXT(grounding.domain_pattern())}) and len(string_split(t, ' ')) >= 4 then 'OFF_TOPIC' else 'ALLOW' end as verdict from (select conv_id, turn, {_SCOPE} as t from conversations)""")
+@query("scope_gate", f"""select conv_id, turn, case when t = '' then 'EMPTY' when {_ANY(grounding.UNSAFE_RULES)} then 'UNSAFE'
+  when {_ANY((*grounding.ATTACK_RULES, grounding.whole(grounding.PARTS)))} or regexp_matches(t, '{grounding.control_mark()}') then 'INJECTION' when regexp_matches(t, '{grounding.NON_LATIN}') then 'ALLOW'
+  when not {_ANY(grounding.DOMAIN_RULES)} and not contains(t, '₹') and len(string_split(t, ' ')) >= 4 then 'OFF_TOPIC' else 'ALLOW' end as verdict from (select *, {_FOLDED} as w from (select conv_id, turn, {_SCOPE} as t from conversations))""")
 def scope_gate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", grounding.scope(F.col("text")).alias("verdict"))
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ratecard.operators import bundles, grounding, ranking, retrieval
+from ratecard.operators import bundles, ranking, retrieval
 from ratecard.operators.search import fallback
 from ratecard.plans import bundles as plans
 from ratecard.plans import catalogue
@@ -106,5 +106,11 @@ def test_parsed_queries(spark):
         assert (r.terms, r.category, r.intent) == (" ".join(q.terms), q.category, q.intent)
 
 
-def test_output_helpers(spark):
-    assert grounding.phrases((("a b", "c ?", "d"),)).startswith("(?i)")
+def test_rules_of_words():
+    import re
+
+    from ratecard.functions.wording import chain, followed, whole
+
+    assert whole("a b, c") == " (?:a\\ b|c) "
+    assert re.search(followed("a, b", 1, "cd"), " x b y cde ") and not re.search(followed("a, b", 1, "cd"), " b x y cde ")
+    assert re.search(chain(("a", 0), ("b", 1)) + " c", " a b x c ") and not re.search(followed("a", 3, "c", go_on=False), " a cd ")
