@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import merged
+from ..sources.scratch import shared_path
 from ..streaming.staleness import staleness_changes
 from .catalogue import query
 from .offers import table
@@ -19,3 +21,16 @@ def staleness_changes_(spark, sf_dir):
     """When what each user was last seen with goes stale: users stand for offers, with service levels of 12 and 24 hours."""
     seen = table(spark, sf_dir, "events").withColumn("sla", F.when(F.col("user_id") % 2 == 0, 12).otherwise(24))
     return staleness_changes(seen, "user_id", "ts", "sla", until=_UNTIL)
+
+
+@query("merged_upserts", """select user_id, event_id, ts, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
+def merged_upserts(spark, sf_dir):
+    """The latest event of each user, after batches in no order of time, one of them twice, and a compaction in between."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    root = shared_path(spark, "merged")
+    merged.create(spark, root, 16)
+    for n in (0, 1, 2, 1, 3):
+        merged.write_changes(rows.where(F.col("event_id") % 4 == n), n, root, ["user_id"])
+        if n == 2:
+            merged.compact(spark, root, rows.schema, ["user_id"], "ts", "event_id")
+    return merged.read_merged(spark, root, rows.schema, ["user_id"], "ts", "event_id")
