@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Weights in force at cold start, certification features and tiers, penalties.
 WEIGHTS = {"f1": 0.31, "f2": 0.16, "f3": 0.16, "f4": 0.10, "f5": 0.10, "f6": 0.07, "f7": 0.06, "f8": 0.0, "f9": 0.04}
 CERTIFICATION = {"CERTIFIED": (1.0, 4), "BRAND_LICENSED": (0.8, 3), "NOT_APPLICABLE": (0.7, 2), "NOT_DECLARED": (0.3, 1), "EXPIRED": (0.0, 0)}
@@ -50,6 +52,38 @@ def banded(rows: DataFrame, group: list[str], band: Column, order: list[Column],
     return rows.withColumn("_within", within).join(sizes, [*group, "_band"]).withColumn(number, F.col("_before") + F.col("_within")).drop("_band", "_within", "_before")
 
 
+def placed(rows: DataFrame, group: list[str], order: list[Column], number: str = "place") -> DataFrame:
+    """``rows`` with their place in their group, and ``_total``, its size, whatever the values are.
+
+    Rows are dealt to ranges of (group, order), which a sample makes about equal, and
+    written; a range then is the band that ``banded`` counts in. ``order`` is best
+    total: only rows that are equal in it can make a range larger than others.
+    """
+    ranges = rows.repartitionByRange(*(F.col(g) for g in group), *order).withColumn("_range", F.spark_partition_id())
+    return banded(stored(ranges, "ranges"), group, F.col("_range"), order, number, "row_number").drop("_range")
+
+
+#: Places of a block in which neighbours are looked up.
+BLOCK = 4096
+
+
+def neighbours(rows: DataFrame, group: list[str], place: str, n: int, what: Column, name: str) -> DataFrame:
+    """``rows``, which have their ``place`` in their group, with ``what`` of the n rows before and after, nearest first.
+
+    Places are cut into blocks, and the n rows at a border are in both blocks, so
+    that a group of any size is many windows of ``BLOCK`` rows or so.
+    """
+    if n > BLOCK:
+        raise ValueError("more neighbours than a block has rows")
+    at = F.pmod(F.col(place) - 1, F.lit(BLOCK))
+    block = F.expr(f"({place} - 1) div {BLOCK}")
+    blocks = F.array_compact(F.array(block, F.when(at < n, block - 1), F.when(at >= BLOCK - n, block + 1)))
+    dealt = rows.withColumns({"_own": block, "_what": what}).withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy(*group, "_block").orderBy(place)
+    near = F.array_compact(F.array(*(f("_what", k).over(w) for k in range(1, n + 1) for f in (F.lag, F.lead))))
+    return dealt.withColumn(name, near).where("_own = _block").drop("_own", "_block", "_what")
+
+
 def amount_band(amount: Column) -> Column:
     """A band for amounts in minor units: some ninety to each doubling."""
     return F.floor(F.log2(F.greatest(amount, F.lit(1)).cast("double")) * 90)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import loosen
+from .ranking import neighbours, placed
 
 SHOCK = 0.03
 
@@ -176,10 +177,10 @@ def substitutes(rows: DataFrame, n: int = 6) -> DataFrame:
     """For each product and region the nearest-priced other products of its category.
 
     Of nearest prices the best n are among the n before and n after in price
-    order, so neighbours come from window offsets, not from a self-join.
+    order, so neighbours come from places in that order, not from a self-join.
     """
-    w = Window.partitionBy("category", "region").orderBy("floor_minor", "product_id")
-    near = [f(F.struct("product_id", "floor_minor"), k).over(w) for f in (F.lag, F.lead) for k in range(1, n + 1)]
-    own = rows.select("category", "region", "product_id", "floor_minor", F.array_compact(F.array(*near)).alias("near"))
-    ranked = F.slice(F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x.floor_minor - F.col("floor_minor")).alias("gap"), x.product_id.alias("other")))), 1, n)
-    return own.select("category", "region", "product_id", F.posexplode(ranked).alias("place", "x")).select("category", "region", "product_id", (F.col("place") + 1).alias("place"), F.col("x.other").alias("other"), F.col("x.gap").alias("gap"))
+    group = ["category", "region"]
+    ranked = placed(rows.select(*group, "product_id", "floor_minor"), group, [F.asc("floor_minor"), F.asc("product_id")])
+    own = neighbours(ranked, group, "place", n, F.struct("product_id", "floor_minor"), "near")
+    best = F.slice(F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x.floor_minor - F.col("floor_minor")).alias("gap"), x.product_id.alias("other")))), 1, n)
+    return own.select(*group, "product_id", F.posexplode(best).alias("place", "x")).select(*group, "product_id", (F.col("place") + 1).alias("place"), F.col("x.other").alias("other"), F.col("x.gap").alias("gap"))

@@ -362,8 +362,9 @@ def _sorted_nulls_last(descending: bool):
     @query(f"sort_nulls_last_{by}", _with(f"select category, region, offer_key, row_number() over (partition by category, region order by lead_days {by} nulls last, offer_key, base_minor) as place from o"))
     def run(spark, sf_dir):
         """All offers, within their category and region."""
-        own = Window.partitionBy("category", "region").orderBy(*ranking.column_order("lead_days", descending, "offer_key", "base_minor"))
-        return candidates(spark, sf_dir).select("category", "region", "offer_key", F.row_number().over(own).cast("bigint").alias("place"))
+        rows = candidates(spark, sf_dir).select("category", "region", "offer_key", "lead_days", "base_minor")
+        ordered = ranking.placed(rows, ["category", "region"], ranking.column_order("lead_days", descending, "offer_key", "base_minor"))
+        return ordered.select("category", "region", "offer_key", F.col("place").cast("bigint").alias("place"))
 
 
 _sorted_nulls_last(False)
@@ -652,7 +653,8 @@ def type_guide(spark, sf_dir):
 def quality_rank(spark, sf_dir):
     """Products by grade, certification, brand and breadth of supply; sizes and statuses stand in."""
     own = candidates(spark, sf_dir).groupBy("product_id", "category", "size", "brand").agg(F.countDistinct("vendor_id").alias("n"), F.count_if(F.col("line_status") == "F").alias("c"))
-    most = F.max("n").over(Window.partitionBy("category"))
-    score = quality.quality(F.col("size") / 50, F.when(F.col("c") > 0, 1.0).otherwise(0.3), F.col("brand") != "Brand#1", F.col("n") / most)
-    return own.select("product_id", "category", score.alias("quality_bp")).withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("quality_bp"), "product_id")).cast("bigint"))
-
+    most = own.groupBy("category").agg(F.max("n").alias("most"))
+    score = quality.quality(F.col("size") / 50, F.when(F.col("c") > 0, 1.0).otherwise(0.3), F.col("brand") != "Brand#1", F.col("n") / F.col("most"))
+    scored = own.join(most, "category").select("product_id", "category", score.alias("quality_bp"))
+    ordered = ranking.placed(scored, ["category"], [F.desc("quality_bp"), F.asc("product_id")])
+    return ordered.select("product_id", "category", "quality_bp", F.col("place").cast("bigint").alias("place"))
