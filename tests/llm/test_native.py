@@ -45,14 +45,15 @@ def license_brute(text):
     w = words(low)
     hits = [(i, label) for p, label in BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     best, labels = 0.0, {label for _, label in hits}
-    for line in low.split("\n"):
-        own = set(words(line))
+    longest = max(len(t.split()) for t in TEMPLATES)
+    for k in range(0, len(w), longest):
+        own = set(w[k : k + 2 * longest])
         for t, label in TEMPLATES.items():
-            size = len(set(t.split()))
+            telling = [x for x in set(t.split()) if not any(x in o.split() for o, other in TEMPLATES.items() if other != label)]
             common = len(own & set(t.split()))
-            if 5 * common >= 4 * size:
+            if 5 * common >= 4 * len(set(t.split())) and 5 * len(own & set(telling)) >= 4 * len(telling):
                 labels.add(label)
-                best = max(best, common / size)
+                best = max(best, common / len(set(t.split())))
     at = [i for i, _ in hits]
     return (len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits})), ",".join(sorted(labels)), 1.0 if hits else best)
 
@@ -63,6 +64,8 @@ def test_license_scan_against_brute_force(spark):
         "Released under the MIT Licence-License", "Licensed under the Apache License, Version 2.0." * 3, "cc by nc 4 0 under licensed", "under licensed 4 cc by nc",
         "THIS work is licensed under GNU General public license version", "work licensed under gnu general public", "cc by nK cc by nK under İ", "word " * 20000 + "this is free and unencumbered software released public domain",
         "permission is hereby granted to any person obtaining a copy of software free charge", "a\x00under the mit license\x7f",
+        "released under the apache license", "licensed under cc by 4 0", "licensed under cc by nc 3 0", "this work is licensed under the gnu general public license version 2",
+        *(" ".join(w for x in t.split() for w in (x, *gap)) for t in TEMPLATES for gap in ([], ["and", "so"], ["pad"] * 900)), *(" ".join(t.split()[1:]) for t in TEMPLATES), *(" ".join(t.split()[:-1]) for t in TEMPLATES),
     ]
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, label string")
     got = {r.doc_id: tuple(r)[1:] for r in scan_licenses(docs).collect()}
@@ -73,6 +76,13 @@ def test_license_scan_against_brute_force(spark):
     assert sorted((r.doc_id or 0, r.n_base) for r in scan_licenses(twice).collect()) == [(0, 1), (1, 0), (1, 1)]
 
 
+def test_confusable_and_scattered_notices(spark):
+    scattered = " ".join(x for word in "this is free and unencumbered software released into the public domain".split() for x in (word, *["pad"] * 400))
+    texts = ["released under the apache license", "licensed under cc by 4 0", scattered, "licensed under the apache license version 2 0", "released under the mit license"]
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "apache-2", 4: "mit"}
+
+
 def test_wrapped_notices(spark):
     gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation.\n */"
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
