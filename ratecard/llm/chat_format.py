@@ -6,8 +6,9 @@ each layout, the paths and a declarative expression that makes canonical turns,
 ``array<struct<role, text>>``. For a DataFrame the fingerprint of its schema is
 taken at planning time, from the paths that layouts name, so that further
 columns do not matter. For a column of JSON documents every row has its own
-fingerprint; documents are read once, with the fields of all layouts, and the
-fingerprint selects the mapping. ``as_documents`` goes the other way: it writes
+fingerprint, likewise of those of its paths that layouts name: further fields do
+not matter, nor does what a value's type is. Null values are empty texts, an empty
+list of turns is no turns, content in parts is the parts' texts one after the other. ``as_documents`` goes the other way: it writes
 turns as JSON documents of the layouts that can hold them.
 
 *Template.* ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE`` for each turn.
@@ -19,8 +20,8 @@ length) of the assistant texts in the formatted string, in code points.
 Defined cases: a null text or role is empty; turns are ordered by turn (null
 first), ties by role and text; repeated rows are turns each; each row without
 a conv_id is a conversation of its own; a JSON row of an unknown layout, or
-that is no JSON (or over Spark's limit for variants), has null turns and no formatted string; an empty table gives no
-rows. One conversation is one row of the output, so its turns meet in a task.
+that is no JSON (or over Spark's limit for variants), has null turns and no formatted string,
+and ``json_rejects`` keeps it; an empty table gives no rows. One conversation is one row of the output, so its turns meet in a task.
 """
 
 from __future__ import annotations
@@ -112,17 +113,57 @@ def canonical_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.select(key, F.expr(MAPPINGS[name][1]).cast(TURNS).alias("turns"))
 
 
+def _within(value: Column, make) -> Column:
+    """``make`` of a value that is computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _at(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{path}" if path else "$", kind)
+
+
+def _plain_text(value: Column) -> Column:
+    """A variant as text: strings as they are, parts of content joined, other values as JSON, null for none."""
+
+    def of(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        part = lambda p: F.coalesce(F.when(F.schema_of_variant(p) == "STRING", _at(p, "", "string")), _at(p, "text", "string"), F.lit(""))
+        parts = F.array_join(F.transform(_at(v, "", "array<variant>"), part), "")
+        return F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("string")).when(kind == "STRING", _at(v, "", "string")).when(kind.startswith("ARRAY"), parts).otherwise(F.to_json(v))
+
+    return _within(value, of)
+
+
+def _lists() -> dict[str, list[str]]:
+    """The list fields of all layouts with the fields of their entries."""
+    out: dict[str, dict[str, None]] = {}
+    for paths, _ in MAPPINGS.values():
+        for p in paths:
+            if "[]." in p:
+                out.setdefault(p.split("[].")[0], {})[p.split("[].")[1]] = None
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def json_turns(rows: DataFrame, key: str, document: str) -> DataFrame:
     """(key, layout, turns) of a column of JSON documents in mixed layouts.
 
-    A document's fingerprint is the hash of its type as a variant, with every
-    scalar as a string: that text lists the nested field paths in order.
+    A document's fingerprint is the hash of its paths that a layout names; of
+    layouts whose paths it has, the one with most of them maps it.
     """
-    kind = F.regexp_replace(F.schema_of_variant(F.try_parse_json(F.col(document))), r"\b(VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\))", "STRING")
-    known = rows.select(F.col(key).alias("_key"), F.sha2(kind, 256).alias("_print"), F.from_json(document, _ddl()).alias("_doc"))
+    lists = _lists()
+    plain = sorted({p for paths, _ in MAPPINGS.values() for p in paths if "[" not in p})
+    read = rows.select(F.col(key).alias("_key"), F.try_parse_json(F.col(document)).alias("_v"))
+    read = read.select("_key", *(_at(F.col("_v"), p).alias(f"_{p}") for p in plain), *(_at(F.col("_v"), k, "array<variant>").alias(f"_{k}") for k in lists))
+    there = [F.when(F.col(f"_{p}").isNotNull(), F.lit(p)) for p in plain]
+    for k, fields in lists.items():
+        for f in fields:
+            there.append(F.when(F.col(f"_{k}").isNotNull() & ((F.size(f"_{k}") == 0) | _has_field(f"_{k}", f)), F.lit(f"{k}[].{f}")))
+    entries = {k: _entries(f"_{k}", fields) for k, fields in lists.items()}
+    known = read.select("_key", F.array_compact(F.array(*there)).alias("_paths"), F.struct(*(_plain_text(F.col(f"_{p}")).alias(p) for p in plain), *(e.alias(k) for k, e in entries.items())).alias("_doc"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, expression) in MAPPINGS.items():
-        here = F.col("_print") == hashlib.sha256(_type_text(paths).encode()).hexdigest()
+    for name, (paths, expression) in sorted(MAPPINGS.items(), key=lambda x: (-len(x[1][0]), x[1][0]), reverse=True):  # the last one comes first
+        own = F.array(*map(F.lit, sorted(paths)))
+        here = F.sha2(F.array_join(F.array_intersect(own, F.col("_paths")), "\n"), 256) == fingerprint(paths)
         for field in {p.split("[")[0] for p in paths}:
             expression = re.sub(rf"(?<![\w.'])({field})(?![\w'(])", f"_doc.{field}", expression)
         layout = F.when(here, F.lit(name)).otherwise(layout)
@@ -130,7 +171,22 @@ def json_turns(rows: DataFrame, key: str, document: str) -> DataFrame:
     return known.select(F.col("_key").alias(key), layout.alias("layout"), turns.alias("turns"))
 
 
-def as_documents(conversations: DataFrame, key: str = "conv_id", most_chars: int = 2_000_000) -> DataFrame:
+def _has_field(entries: str, field: str) -> Column:
+    return F.exists(entries, lambda m: _at(m, field).isNotNull())
+
+
+def _entries(entries: str, fields: list[str]) -> Column:
+    """The entries of a list of turns with their fields as texts."""
+    return F.transform(entries, lambda m: F.struct(*(_plain_text(_at(m, f)).alias(f) for f in fields)))
+
+
+def json_rejects(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, document) of the rows that ``json_turns`` can't map, as they are."""
+    held = rows.select(F.struct(F.col(key).alias("key"), F.col(document).alias("document")).alias("_row"), F.col(document).alias("_document"))
+    return json_turns(held, "_row", "_document").where("layout is null").select(F.col("_row.key").alias(key), F.col("_row.document").alias(document))
+
+
+def as_documents(conversations: DataFrame, key: str = "conv_id", most_chars: int = 20_000_000) -> DataFrame:
     """(key, document, turns) of canonical turns, in layouts picked by a hash of the key.
 
     Lists of turns can hold any conversation; ``conversations`` renames two roles,
@@ -161,29 +217,6 @@ def as_documents(conversations: DataFrame, key: str = "conv_id", most_chars: int
     return conversations.select(key, "turns", F.when(small, name).alias("_layout")).select(key, made.alias("document"), F.when(F.col("_layout").isNull(), turns).alias("turns"))
 
 
-def _ddl() -> str:
-    """One schema with the fields of all layouts."""
-    plain: dict[str, None] = {}
-    nested: dict[str, dict[str, None]] = {}
-    for paths, _ in MAPPINGS.values():
-        for p in paths:
-            if "[" in p:
-                nested.setdefault(p.split("[].")[0], {})[p.split("[].")[1]] = None
-            else:
-                plain[p] = None
-    return ", ".join([f"{p} string" for p in plain] + [f"{k} array<struct<{', '.join(f'`{f}`: string' for f in v)}>>" for k, v in nested.items()])
-
-
-def _type_text(paths: tuple[str, ...]) -> str:
-    """How ``schema_of_variant`` writes a document of these paths, all strings."""
-    parts = {p: "STRING" for p in paths if "[" not in p}
-    for p in paths:
-        if "[" in p:
-            parts.setdefault(p.split("[].")[0], []).append(p.split("[].")[1])
-    text = lambda v: v if isinstance(v, str) else "ARRAY<OBJECT<" + ", ".join(f"{f}: STRING" for f in sorted(v)) + ">>"
-    return "OBJECT<" + ", ".join(f"{k}: {text(v)}" for k, v in sorted(parts.items())) + ">"
-
-
 def format_turns(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, formatted, loss_spans) of canonical turns."""
     parts = F.transform(

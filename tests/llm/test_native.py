@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from ratecard.llm.chat_format import CONTROL, ESCAPE, MAPPINGS, OP5_SQL, as_documents, canonical_turns, escape, fingerprint, format_turns, json_turns, layout_of, loss_text, op5_chat_format, parse_formatted, unescape
+from ratecard.llm.chat_format import CONTROL, ESCAPE, MAPPINGS, OP5_SQL, as_documents, canonical_turns, escape, fingerprint, format_turns, json_rejects, json_turns, layout_of, loss_text, op5_chat_format, parse_formatted, unescape
 from ratecard.llm.common import table
 from ratecard.llm.license_scan import BASE, OP9_SQL, TEMPLATES, op9_license_scan, scan_licenses
 from ratecard.llm.url_filter import OP3_SQL, filter_captures, host_of, op3_url_filter, url_keys
@@ -154,6 +154,30 @@ def test_layouts(spark):
     assert fingerprint(["b", "a"]) == fingerprint(["a", "b"]) != fingerprint(["ab"])
 
 
+def test_json_documents_as_they_come(spark):
+    """Further fields, nulls, empty lists, content in parts, numbers, and rows that stay behind."""
+    docs = {
+        1: ('{"messages":[{"role":"user","content":"a"}],"id":7,"meta":{"k":[1]}}', "messages", [("user", "a")]),
+        2: ('{"messages":[{"role":"user","content":"a","name":null},{"role":"assistant","content":null}]}', "messages", [("user", "a"), ("assistant", None)]),
+        3: ('{"messages":[]}', "messages", []),
+        4: ('{"messages":[{"role":"user","content":[{"type":"text","text":"a "},{"type":"image","url":"u"},"b"]}]}', "messages", [("user", "a b")]),
+        5: ('{"messages":[{"role":"user","content":"[1, 2]"},{"role":"user"}]}', "messages", [("user", "[1, 2]"), ("user", None)]),
+        6: ('{"prompt":3,"response":true,"score":0.5}', "prompt_response", [("user", "3"), ("assistant", "true")]),
+        7: ('{"instruction":"i","output":"o","input":null,"source":"x"}', "instruction_input", [("user", "i"), ("assistant", "o")]),
+        8: ('{"system":null,"prompt":"p","response":"r"}', "system_prompt", [("system", None), ("user", "p"), ("assistant", "r")]),
+        9: ('{"turns":[{"role":"user","text":{"a":1}}],"messages":"none"}', "turns", [("user", '{"a":1}')]),
+        10: ('{"messages":{"role":"user","content":"a"}}', None, None),
+        11: ("[1]", None, None),
+        12: ("", None, None),
+        13: (None, None, None),
+        14: ('{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"' + "g" * 3_000_000 + '"}]}', "conversations", [("user", "h"), ("assistant", "g" * 3_000_000)]),
+    }
+    rows_ = spark.createDataFrame([(i, d[0], "q") for i, d in docs.items()], "conv_id long, doc string, turns string")
+    got = {r.conv_id: (r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in json_turns(rows_, "conv_id", "doc").collect()}
+    assert got == {i: (layout, turns) for i, (_, layout, turns) in docs.items()}
+    assert sorted((r.conv_id, r.doc) for r in json_rejects(rows_, "conv_id", "doc").collect()) == [(i, docs[i][0]) for i in (10, 11, 12, 13)]
+
+
 def test_op3_equals_sql(spark):
     df = op3_url_filter(spark, SF01)
     same(df, OP3_SQL, SF01, "pages")
