@@ -13,8 +13,9 @@ around the hit. Most chance hits end one level up, at a few characters.
 The test items go to the tasks in blocks of at most ``block_chars`` characters;
 the documents are read once for each block, however many items there are.
 
-Items shorter than ``least_chars`` after normalisation have no budget, and match
-where they stand as whole words: neither neighbour is a letter or digit.
+Items shorter than ``least_chars`` after normalisation have the same budget, and
+match whole words only: the stretch begins and ends where a letter or digit has no
+other beside it outside, so that a short item is not found inside longer words.
 
 Defined cases: items that are null or empty after normalisation match nothing;
 documents that are null or empty are clean; whole texts are searched; a repeated
@@ -72,6 +73,23 @@ def myers(pattern: dict[str, int], size: int, text: str, most: int) -> int:
     return best
 
 
+def words_distance(item: str, text: str, origin: int, most: int) -> int:
+    """Smallest edit distance of ``item`` to a stretch of whole words that begins near ``origin``, or most + 1."""
+    apart = lambda i: not (text[max(0, i - 1) : i].isalnum() and text[i : i + 1].isalnum())
+    best = most + 1
+    for start in range(max(0, origin - most), min(len(text), origin + most) + 1):
+        if not apart(start):
+            continue
+        row = list(range(len(item) + 1))  # of the stretch so far to each beginning of the item
+        for end in range(start, min(len(text), start + len(item) + most)):
+            c, last, row[0] = text[end], row[0], row[0] + 1
+            for j, x in enumerate(item, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != c))
+            if row[-1] < best and apart(end + 1):
+                best = row[-1]
+    return best
+
+
 @dataclass
 class Node:
     """A stretch of an item and the edits it may have."""
@@ -110,7 +128,7 @@ class Matcher:
 
         self.items = items
         self.short = [len(text) < least_chars for _, text in items]
-        self.budgets = [0 if short else int(rate * len(text)) for short, (_, text) in zip(self.short, items)]
+        self.budgets = [int(rate * len(text)) for _, text in items]
         self.nodes: list[Node] = []
         for i, (_, text) in enumerate(items):
             split_item(i, text, self.budgets[i], self.nodes)
@@ -144,8 +162,6 @@ class Matcher:
                 if found.get(node.item) == 0:
                     continue
                 origin = end - size + 1 - node.start
-                if self.short[node.item] and (text[max(0, origin - 1) : origin].isalnum() or text[end + 1 : end + 2].isalnum()):
-                    continue
                 at, ok = leaf, True
                 while ok and self.nodes[at].parent >= 0:
                     at = self.nodes[at].parent
@@ -153,10 +169,15 @@ class Matcher:
                         ok = False
                         break
                     tried.add((at, origin))
+                    if self.short[node.item] and self.nodes[at].parent < 0:
+                        break  # judged below, by whole words
                     distance = self._within(at, text, origin)
                     ok = distance <= self.nodes[at].edits
+                if ok and self.short[node.item]:
+                    distance = words_distance(self.items[node.item][1], text, origin, self.budgets[node.item])
+                    ok = distance <= self.budgets[node.item]
                 if ok:
-                    if at == leaf:  # an item without a budget
+                    if at == leaf and not self.short[node.item]:  # an item without a budget
                         distance = 0
                     found[node.item] = min(distance, found.get(node.item, distance))
         return found

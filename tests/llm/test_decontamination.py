@@ -100,3 +100,40 @@ def test_documents(spark):
     docs = [(r.doc_id, normal(r.text)) for r in table(spark, SF, "documents").collect()]
     items = [(r.item_id, normal(r.text)) for r in table(spark, SF, "benchmark").collect()]
     assert {(d, i) for d, t in docs for i, x in items if len(x) >= 24 and x in t} <= out
+
+
+def whole_words(item, text):
+    """The smallest distance of an item to a stretch of whole words, by trying all."""
+    apart = lambda i: not (text[max(0, i - 1) : i].isalnum() and text[i : i + 1].isalnum())
+    cuts = [i for i in range(len(text) + 1) if apart(i)]
+    best = len(item) + 1
+    for a in cuts:
+        row = list(range(len(item) + 1))
+        for b in range(a, len(text)):
+            new = [row[0] + 1]
+            for j, x in enumerate(item, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != text[b])))
+            row = new
+            if b + 1 in cuts:
+                best = min(best, row[-1])
+    return best
+
+
+def test_short_items_have_a_budget_too():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinrst+") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    found = 0
+    for _ in range(400):
+        item = normal(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))))[:23].strip()
+        if not item:
+            continue
+        near = edited(rng, item, rng.randrange(0, 4)) if len(item) > 5 else item
+        text = normal(" ".join(rng.choice(words) for _ in range(3)) + rng.choice((" ", "", "x")) + near + rng.choice((" ", "", "s")) + " ".join(rng.choice(words) for _ in range(3)))
+        budget, d = int(0.1 * len(item)), whole_words(item, text)
+        got = Matcher([(1, item)], 0.1, 24).search(text)
+        assert got == ({0: d} if d <= budget else {}), (item, text, got, d)
+        found += bool(got) and d > 0
+    assert found > 10
+    item = "what is the capital of x"[:23]
+    assert len(item) == 23 and Matcher([(1, item)], 0.1, 24).search("so: what is teh capital of? yes") == {}
+    assert Matcher([(1, "which city is the chief")], 0.1, 24).search("ask which city is the cheif, or") == {0: 2}
