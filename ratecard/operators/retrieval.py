@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 K1, B = 1.2, 0.75
 #: How lexical and substring scores are mixed, and how many of either are kept.
 LEXICAL_SHARE, SUBSTRING_SHARE = 0.75, 0.25
@@ -69,7 +71,7 @@ def bm25(index: DataFrame, key: str, terms: list[str], prefix: bool = True, top:
 def bm25_scan(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str], prefix: bool = True, top: int | None = LEXICAL_TOP) -> DataFrame:
     """What ``bm25`` gives over ``postings``, straight from the texts: without an index
     only the query's terms need counting, so every text becomes one narrow row where it
-    is read, and nothing is shuffled but sums."""
+    is read, which is written, and nothing is shuffled but sums."""
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
 
@@ -79,7 +81,8 @@ def bm25_scan(docs: DataFrame, key: str, columns: dict[str, float], terms: list[
     words = docs.select(key, *(tokens(F.col(c)).alias(f"_w{i}") for i, c in enumerate(columns)))
     length = sum((F.size(f"_w{i}") for i in range(len(columns))), F.lit(0))
     found = [sum((count(f"_w{i}", t) * w for i, w in enumerate(columns.values())), F.lit(0.0)) for t in terms]
-    rows = words.select(key, length.alias("length"), *(f.alias(f"f{j}") for j, f in enumerate(found))).where("length > 0")
+    # written once: a filter on what is derived here would split every text again, and so would each further use
+    rows = stored(words.select(key, length.alias("length"), *(f.alias(f"f{j}") for j, f in enumerate(found))), "term_counts").where("length > 0")
     totals = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), *(F.count_if(F.col(f"f{j}") > 0).alias(f"df{j}") for j in range(len(terms))))
     score = F.lit(0.0)
     for j in range(len(terms)):
@@ -108,6 +111,7 @@ def fuse(lexical: DataFrame, substring: DataFrame, key: str) -> DataFrame:
         span = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise(F.col("high") - F.col("low"))
         return scores.join(F.broadcast(ends)).select(key, ((F.col("score") - F.col("low")) / span).alias(name))
 
+    lexical, substring = stored(lexical, "lexical"), stored(substring, "substring")  # narrow, and read twice each
     both = scaled(lexical, "l").join(scaled(substring, "s"), key, "full")
     return both.select(key, (LEXICAL_SHARE * F.coalesce("l", F.lit(0.0)) + SUBSTRING_SHARE * F.coalesce("s", F.lit(0.0))).alias("relevance"))
 
