@@ -1,6 +1,6 @@
 import pytest
 
-from ratecard.plans import bundles, catalogue  # noqa: F401  (the queries of bundles join the catalogue)
+from ratecard.plans import bundles, catalogue, indexes, replays, searches, selections, streams, wordings  # noqa: F401  (the queries of the others join the catalogue)
 from tests.compare import difference
 from tests.conftest import SF
 
