@@ -210,9 +210,9 @@ _PAGE = "category = 'cement' and (lower(brand) = 'brand#1' or starts_with(lower(
 
 @query("search_page", _search_sql(_PAGE, "0.5", "1.0", _COLUMNS))
 def search_page(spark, sf_dir):
-    """The first page of a search that names a category and a brand."""
+    """The first page of a search that names a category and a brand: what matches, without what would stand in for nothing."""
     found = search(_region(spark, sf_dir), "cement brand#1 price", _attributes(), brands=_BRANDS)
-    return found.results.select(*(c.strip() for c in _COLUMNS.split(","))).withColumn("position", F.col("position").cast("bigint"))
+    return found.results.where("rung = 0").select(*(c.strip() for c in _COLUMNS.split(","))).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("search_chips", _with("select category, count(distinct product_id)::bigint as n from o where region = 'ASIA' group by category"))
