@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from . import facets, ranking
+from . import column_sorts, facets, ranking
 from .query_parse import RELAXATION, Query, parse
 
 
@@ -107,11 +107,14 @@ def search(
     page: int = 0,
     page_size: int = 24,
     category: str | None = None,
+    column: str | None = None,
+    descending: bool = False,
 ) -> Search:
     """``rows``: landed, aged candidates of one region; ``relevance``: (product_id, relevance) of the retrieval.
 
     Prices, scores and places are those of one list of all candidates, whatever
     their categories. ``category``: asked for beside the text, before what it names.
+    ``column``: a column's header (``column_sorts``), over the whole result; equal ones stay in the order of ``sort``.
     """
     if not 1 <= page_size <= 500:
         raise ValueError("a page has 1 to 500 products")
@@ -143,10 +146,15 @@ def search(
     scored = ranking.score(shown, requested=requested)
     scored = scored.withColumns({"cert_tier": ranking.certification(F.col("cert_state"), 1) if "cert_state" in rows.columns else F.lit(1), "rating_e9": F.floor(F.col("f5") * 1e9 + 0.5)})
     ranked = ranking.banded(scored, [], -F.floor(F.col("score_e9") / 1_000_000), ranking.published_order(), "rank_pos", "row_number").drop("_total")
-    columns = [c for c in ("freshness", "lead_days", "fetched_at", "rating", "cert_state", "rung") if c in ranked.columns]
+    wanted = ["freshness", "lead_days", "fetched_at", "rating", "cert_state", "rung"] + ([column_sorts.column_of(column)] if column else [])
+    columns = [c for c in dict.fromkeys(wanted) if c in ranked.columns and c not in ("landed_minor", "product_id", "category")]
     products = ranking.by_product(ranked, "category", shown=tuple(columns))
     if sort == "best_value":
         products = ranking.best_value(products)
+    if column:
+        order = column_sorts.column_sort(column, descending, products.columns, *order)
     page_of = products.orderBy(*order, "product_id").offset(page * page_size).limit(page_size)
     said = f"Sorted by {sort.replace('_', ' ')}; ties by price, age, certification and rating."
+    if column:
+        said = f"Sorted by {column.replace('_', ' ')}, {column_sorts.direction(column, descending)}; unknown values last, then as {sort.replace('_', ' ')}."
     return Search(query, page_of, counts, chips, rung, said, weak_match=relevance is None and bool(query.terms), constraints=query.constraints, facet_category=facet_category)

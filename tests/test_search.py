@@ -104,3 +104,22 @@ def test_many_searches_equal_single_ones(spark, rows):
         assert [x for x, _ in got[i]] == shown(found), t
         assert {x for _, x in got[i]} == {r.rung for r in found.results.collect()}, t
     assert got[0] == got[7]
+
+
+def test_column_sorts(spark, rows):
+    from ratecard.operators import column_sorts
+
+    assert len(column_sorts.REGISTRY) == 36
+    cards = search(rows, "anything", attributes(), page_size=500).results.collect()
+    for name, value in (("unit_price", lambda r: r.landed_minor), ("offers", lambda r: r.n_offers), ("eta", lambda r: r.lead_days), ("rating", lambda r: None)):
+        for descending in (False, True):
+            got = search(rows, "anything", attributes(), column=name, descending=descending, page_size=500)
+            want = sorted(cards, key=lambda r: (value(r) is None, (-1 if descending else 1) * (value(r) or 0), r.position))
+            assert [r.product_id for r in got.results.collect()] == [r.product_id for r in want], name
+            assert "unknown values last" in got.disclosure
+    texts = spark.createDataFrame([("b", 1), ("Á", 2), ("a", 3), (None, 4), ("", 5), ("B", 6), ("é", 7), ("f", 8)], "brand string, i int")
+    order = lambda d: [r.i for r in texts.orderBy(*column_sorts.column_sort("brand", d, texts.columns, F.asc("i"))).collect()]
+    assert order(False) == [3, 2, 1, 6, 7, 8, 4, 5] and order(True) == [8, 7, 1, 6, 2, 3, 4, 5]
+    assert column_sorts.direction("brand", True) == "Z–A" and column_sorts.direction("verified", False) == "oldest first"
+    with pytest.raises(ValueError):
+        column_sorts.column_sort("colour", False, texts.columns)
