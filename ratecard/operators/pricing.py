@@ -22,9 +22,13 @@ def resolve(rows: DataFrame, quantity: Column, as_of: Column, sla: Column) -> Da
     return rows.withColumn("blocked", blocked).withColumn("total_minor", F.col("unit_minor") * F.col("quantity"))
 
 
+#: What a line is blocked by if no offer of its product is there at all.
+NOT_FOUND = "NOT_FOUND"
+
+
 def status(blocked: Column) -> Column:
-    """The response status of a quote: too early to quote, in conflict, or fine; not found is null."""
-    return F.when(blocked == "PRICE_EXPIRED", 425).when(blocked.isNotNull(), 409).otherwise(200)
+    """The response status of a quote: not found, too early to quote, in conflict, or fine."""
+    return F.when(blocked == NOT_FOUND, 404).when(blocked == "PRICE_EXPIRED", 425).when(blocked.isNotNull(), 409).otherwise(200)
 
 
 def pricing_order() -> list[Column]:
@@ -38,6 +42,15 @@ def bulk_quote(lines: DataFrame, quotes: DataFrame, order: str, product: str = "
     return priced.groupBy(order).agg(F.count("*").alias("n_lines"), F.count_if(F.col("unit_minor").isNull()).alias("n_blocked"), F.coalesce(F.sum(F.col("unit_minor") * F.col("quantity")), F.lit(0)).cast("bigint").alias("total_minor"))
 
 
+def blocked_lines(lines: DataFrame, quotes: DataFrame, order: str, product: str = "product_id") -> DataFrame:
+    """``lines`` that no offer can be quoted for, with the reason and the status: that of the offer
+    which comes first in pricing order, or that there is none. Aggregates by product, no order of offers."""
+    first = F.struct((F.col("stock_state") == "out_of_stock").alias("o"), "unit_minor", "offer_key")
+    known = quotes.groupBy(product).agg(F.bool_or(F.col("blocked").isNull()).alias("_quotable"), F.min_by("blocked", first).alias("reason"))
+    held = lines.join(known, product, "left").where(~F.coalesce("_quotable", F.lit(False))).withColumn("reason", F.coalesce("reason", F.lit(NOT_FOUND)))
+    return held.withColumn("status", status(F.col("reason"))).drop("_quotable")
+
+
 def cart_totals(lines: DataFrame, cart: str) -> DataFrame:
     """Sum, the tax inside it, net, units and lines of each cart; invalid lines are left out."""
     good = lines.where("quantity > 0 and unit_minor > 0")

@@ -47,6 +47,12 @@ def grade_value(grade: Column) -> Column:
     return out
 
 
-def rankable(rows: DataFrame, tier: str) -> DataFrame:
-    """Whether certification can tell products apart at all: several tiers, one of them a declared one."""
-    return rows.agg(((F.countDistinct(tier) > 1) & (F.max(tier) >= 2)).alias("rankable"))
+def rankable(rows: DataFrame, tier: str, *group: str) -> DataFrame:
+    """Whether certification can tell products (of each group) apart at all: several tiers, one of them a declared one."""
+    return rows.groupBy(*group).agg(((F.countDistinct(tier) > 1) & (F.max(tier) >= 2)).alias("rankable"))
+
+
+def winners(rows: DataFrame, score: str, key: str, tier: str, group: list[str], application: str) -> DataFrame:
+    """The best product for each application of a group, where the group is rankable: score, ties by key. A maximum, not an order."""
+    best = rows.groupBy(*group, application).agg(F.min_by(F.struct(key, score), F.struct((-F.col(score)).alias("s"), key)).alias("_w"), F.count("*").alias("n_products"))
+    return best.join(rankable(rows, tier, *group).where("rankable"), group).select(*group, application, f"_w.{key}", f"_w.{score}", "n_products")

@@ -1,6 +1,6 @@
 import pytest
 
-from ratecard.plans import bundles, catalogue, crawls, indexes, replays, searches, selections, sorts, streams, wordings  # noqa: F401  (the queries of the others join the catalogue)
+from ratecard.plans import bundles, catalogue, crawls, details, indexes, replays, searches, selections, sorts, streams, wordings  # noqa: F401  (the queries of the others join the catalogue)
 from tests.compare import difference
 from tests.conftest import SF
 
