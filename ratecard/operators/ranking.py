@@ -184,6 +184,20 @@ def vendor_rollup(rows: DataFrame, *group: str) -> DataFrame:
     return rows.groupBy(*group, "vendor_id").agg(F.min_by("offer_key", order).alias("offer_key"), F.min_by("landed_minor", order).alias("landed_minor"), (F.count("*") - 1).alias("also_listed"))
 
 
+def vendor_listings(rows: DataFrame, n: int, *group: str) -> DataFrame:
+    """One row for each vendor: its cheapest offer, its next ``n`` in ``also_listed``, and how many others there are.
+
+    In-stock offers come first. The first n + 1 of a vendor are cut before the shuffle, so no list grows with the data.
+    """
+    order = [F.expr("stock_state = 'out_of_stock'").asc(), F.asc("landed_minor"), F.asc("offer_key")]
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "vendor_id").orderBy(*order))).where(F.col("_n") <= n + 1)
+    nested = F.sort_array(F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", "offer_key", "landed_minor"))))
+    shown = first.groupBy(*group, "vendor_id").agg(F.min_by(F.struct("offer_key", "landed_minor"), "_n").alias("_best"), nested.alias("_others"))
+    counts = rows.groupBy(*group, "vendor_id").agg((F.count("*") - 1).alias("n_others"))
+    listed = F.transform("_others", lambda x: F.struct(x.offer_key.alias("offer_key"), x.landed_minor.alias("landed_minor")))
+    return shown.join(counts, [*group, "vendor_id"]).select(*group, "vendor_id", "_best.offer_key", "_best.landed_minor", listed.alias("also_listed"), "n_others")
+
+
 def min_max(score_column: str, *group: str) -> Column:
     """A list's scores from 0 to 1; all 0 if they are alike."""
     w = Window.partitionBy(*group)

@@ -56,3 +56,13 @@ def quality_winners(spark, sf_dir):
     score = quality.quality(F.col("size") / 50, F.when(F.col("c") > 0, 1.0).otherwise(0.3), F.col("brand") != "Brand#1", F.col("n") / F.col("most"))
     rows = own.join(most, "category").withColumns({"quality_bp": score, "tier": F.when(F.col("c") > 0, 4).otherwise(1), "application": F.col("size") % 5})
     return quality.winners(rows, "quality_bp", "product_id", "tier", ["category"], "application")
+
+
+@query("vendor_listings", _with("""select region, vendor_id, max(n)::bigint - 1 as n_others, arg_min(offer_key, place) as offer_key, min(landed_minor) filter (place = 1)::bigint as landed_minor,
+  coalesce(string_agg(offer_key || '=' || landed_minor, ' ' order by place) filter (place between 2 and 6), '') as also_listed from (
+  select *, count(*) over (partition by region, vendor_id) as n, row_number() over (partition by region, vendor_id order by stock_state = 'out_of_stock', landed_minor, offer_key) as place from l) where place <= 6 group by region, vendor_id"""))
+def vendor_listings(spark, sf_dir):
+    """Each vendor's best offer with its next five nested."""
+    out = ranking.vendor_listings(landed(candidates(spark, sf_dir)), 5, "region")
+    listed = F.array_join(F.transform("also_listed", lambda x: F.concat(x.offer_key, F.lit("="), x.landed_minor.cast("string"))), " ")
+    return out.select("region", "vendor_id", "n_others", "offer_key", "landed_minor", listed.alias("also_listed"))
