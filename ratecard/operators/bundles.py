@@ -210,6 +210,18 @@ def product_detail(offers: DataFrame, history: DataFrame, product: str = "produc
     return own.join(seen, product, "left")
 
 
+def product_page(detail: DataFrame, specs: DataFrame, substitutes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row for each product and region of ``detail`` (product_id, region, category, ...): with its ``specs`` (product_id,
+    field, value), its ``substitutes`` (product_id, region, place, other, gap) and the public rate of ``anchors`` (category,
+    region, rate_minor; a null region is any). Lists hold a product's fields and a handful of substitutes: both are bounded."""
+    fields = specs.where("value is not null").groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("field", "value"))).alias("specs"))
+    others = substitutes.groupBy("product_id", "region").agg(F.sort_array(F.collect_list(F.struct("place", "other", "gap"))).alias("substitutes"))
+    own = anchors.where("region is not null").select("category", "region", F.col("rate_minor").alias("_own"))
+    anywhere = anchors.where("region is null").select("category", F.col("rate_minor").alias("_any"))
+    page = detail.join(fields, "product_id", "left").join(others, ["product_id", "region"], "left").join(own, ["category", "region"], "left").join(anywhere, "category", "left")
+    return page.withColumn("anchor_minor", F.coalesce("_own", "_any")).drop("_own", "_any")
+
+
 def measures(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     """Wide aggregates as (keys, measure, value) rows, so that bundles of several can be one table."""
     one = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("value")) for c in columns)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import pricing, quality, ranking
+from ..operators import bundles, pricing, quality, ranking, reports
 from .catalogue import _FRESH, _SCORE, _scored, _surface, _with, query
 from .offers import candidates, landed, table
 
@@ -66,3 +66,22 @@ def vendor_listings(spark, sf_dir):
     out = ranking.vendor_listings(landed(candidates(spark, sf_dir)), 5, "region")
     listed = F.array_join(F.transform("also_listed", lambda x: F.concat(x.offer_key, F.lit("="), x.landed_minor.cast("string"))), " ")
     return out.select("region", "vendor_id", "n_others", "offer_key", "landed_minor", listed.alias("also_listed"))
+
+
+@query("product_page", _with("""select a.*, 'brand=' || brand || case when size % 3 > 0 then ' size=' || size else '' end as specs, subs as substitutes, case when a.category = 'cement' then case when a.region = 'ASIA' then 40000 else 35000 end when a.category = 'tmt_steel' then 6000 end::bigint as anchor_minor from (
+  select product_id, region, category, count(*)::bigint as n_offers, count(distinct vendor_id)::bigint as n_sellers, min(landed_minor)::bigint as floor_minor from l group by all) a join (select p_partkey as product_id, p_brand as brand, p_size as size from part) p using (product_id)
+  left join (select product_id, region, string_agg(other || '+' || gap, ' ' order by place) as subs from (
+    select x.category, x.region, x.product_id, y.product_id as other, abs(x.m - y.m)::bigint as gap, row_number() over (partition by x.category, x.region, x.product_id order by abs(x.m - y.m), y.product_id) as place
+    from s x join s y on x.category = y.category and x.region = y.region and x.product_id <> y.product_id) where place <= 6 group by product_id, region) t using (product_id, region)""", """,
+s as (select category, region, product_id, min(landed_minor)::bigint as m from l group by all)"""))
+def product_page(spark, sf_dir):
+    """Every product's page in every region: offers, specs, the nearest-priced others, and the public rate."""
+    rows = landed(candidates(spark, sf_dir))
+    detail = rows.groupBy("product_id", "region", "category").agg(F.count("*").alias("n_offers"), F.countDistinct("vendor_id").alias("n_sellers"), F.min("landed_minor").alias("floor_minor"))
+    fields = F.explode(F.array(F.struct(F.lit("brand").alias("field"), F.col("p_brand").alias("value")), F.struct(F.lit("size").alias("field"), F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string")).alias("value"))))
+    specs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), fields.alias("f")).select("product_id", "f.*")
+    anchors = spark.sql("select * from values ('cement', 'ASIA', 40000L), ('cement', null, 35000L), ('tmt_steel', null, 6000L) as t(category, region, rate_minor)")
+    page = bundles.product_page(detail, specs, reports.substitutes(detail.select("category", "region", "product_id", "floor_minor")), anchors)
+    specs_text = F.array_join(F.transform("specs", lambda x: F.concat(x.field, F.lit("="), x.value)), " ")
+    others = F.array_join(F.transform("substitutes", lambda x: F.concat(x.other.cast("string"), F.lit("+"), x.gap.cast("string"))), " ")
+    return page.withColumns({"specs": specs_text, "substitutes": others}).select("product_id", "region", "category", "n_offers", "n_sellers", "floor_minor", "specs", "substitutes", "anchor_minor")
