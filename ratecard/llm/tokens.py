@@ -5,7 +5,8 @@ a text's ids are the concatenated ids of the stretches between white space.
 ``WordEncoder`` asks the library once for each distinct stretch and joins the
 remembered bytes. In texts of usual characters, case is folded and a comma or
 full stop after a word is parted from it first, as the library does itself, so
-that fewer stretches are distinct.
+that fewer stretches are distinct; what is new and still ends in signs is asked
+for as a word and a run of signs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _SEPARATOR = "\x01"
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00a1\u00ab\u00bb\u00bf-\u00ff\u0100-\u012f\u0131-\u0148\u014a-\u017e]")
 #: A comma or full stop that belongs to a longer run of signs.
 _RUN = re.compile(r"(?:[^\w\s]|_)[,.]")
+#: Signs that the library parts from letters before them, as one run; not those that begin a contraction or stand in a special token.
+_TAIL = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 #: The same two for texts of one byte a character: usual ones, and signs as ``!`` but for commas and full stops.
 _USUAL_BYTES = bytes(i for i in range(256) if not _ODD.match(chr(i)) and not _UNUSUAL.match(chr(i)))
 _SIGNS = bytes(0x2E if chr(i) in ",." else 0x21 if re.match(r"[^\w\s]|_", chr(i)) else 0x20 for i in range(256))
@@ -52,13 +55,13 @@ def usual(text: str) -> tuple[bool, bool]:
 
 
 class _Memory(dict):
-    """Stretch -> its ids; one that is not there is noted in ``asked`` and stands for itself."""
+    """Stretch -> its ids; one that is not there is noted in ``asked`` and gets empty bytes, to be filled in later."""
 
-    asked: set[str]
+    asked: dict[str, bytearray]
 
-    def __missing__(self, stretch: str) -> str:
-        self.asked.add(stretch)
-        return stretch
+    def __missing__(self, stretch: str) -> bytearray:
+        self[stretch] = self.asked[stretch] = empty = bytearray()
+        return empty
 
 
 class WordEncoder:
@@ -68,7 +71,7 @@ class WordEncoder:
     longer than ``longest``; forgetting changes no result.
     """
 
-    def __init__(self, path: str, most: int = 180_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 240_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -121,10 +124,17 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null is empty."""
-        jobs: list[bytes | list[bytes | str]] = []
+        try:
+            return self._encode_many(texts)
+        except BaseException:
+            self.young = _Memory()  # what is not filled in must not be found again
+            raise
+
+    def _encode_many(self, texts: list[str | None]) -> list[bytes]:
+        jobs: list[bytes | list[bytes | bytearray]] = []
         young, old = self.young, self.old
-        plain: set[str] = set()  # new stretches of usual texts
-        odd: set[str] = set()
+        plain: dict[str, bytearray] = {}  # new stretches of usual texts
+        odd: dict[str, bytearray] = {}
         for text in texts:
             if not text:
                 jobs.append(b"")
@@ -141,16 +151,40 @@ class WordEncoder:
             jobs.append(list(map(young.__getitem__, text.split())))
         fresh: dict[str, bytes] = {}
         words, others = [], []
-        for part, kept in ((plain, words), (odd - plain, others)):
-            for w in part:
-                if w in old:
-                    fresh[w] = old[w]
-                else:
-                    (kept if w.isalpha() else others).append(w)
+        tailed: list[tuple[str, str, str]] = []  # a stretch, its letters and its signs
+        for w in plain:
+            if w in old:
+                fresh[w] = old[w]
+            elif w.isalpha():
+                words.append(w)
+            elif (head := w.rstrip(_TAIL)).isalpha():
+                tailed.append((w, head, w[len(head) :]))
+            else:
+                others.append(w)
+        for w in odd:
+            if w in old:
+                fresh[w] = old[w]
+            else:
+                others.append(w)
+        for i, kept in ((1, words), (2, others)):
+            for x in {t[i] for t in tailed}:
+                if x not in plain and x not in odd:  # those are in hand already
+                    if x in young or x in old:
+                        fresh[x] = young[x] if x in young else old[x]
+                    else:
+                        kept.append(x)
         if words or others:
             fresh |= self._learn(words, others)
-        out = [job if job.__class__ is bytes else b"".join([fresh[x] if x.__class__ is str else x for x in job]) for job in jobs]
-        young.update((w, x) for w, x in fresh.items() if len(w) <= self.longest)
+        for w, head, tail in tailed:
+            fresh[w] = fresh[head] + fresh[tail]
+        for asked in (plain, odd):
+            for w, empty in asked.items():
+                empty[:] = fresh[w]
+        out = [job if job.__class__ is bytes else b"".join(job) for job in jobs]
+        young.update(fresh)
+        for w in fresh:
+            if len(w) > self.longest:
+                del young[w]
         if len(young) > self.most:
             self.old, self.young = young, _Memory()
         return out

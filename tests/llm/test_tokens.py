@@ -43,6 +43,18 @@ def test_random_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == [whole(t) for t in texts]
 
 
+def test_signs_after_words_are_asked_for_apart(library, monkeypatch):
+    """A known word with signs behind it is not asked for again, only the signs once."""
+    encoder, asked = WordEncoder(default_vocabulary()), []
+    encoder.encode("alpha beta")
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words, others: asked.append((sorted(words), sorted(others))) or learn(words, others))
+    texts = ["Alpha$$$ beta!! gamma!! it's!! <|endoftext|>!! x1!!", "ÄÖ$$$ e\u0301!! gamma $$$"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == [library(t) for t in texts]
+    assert len(asked) == 1 and not {"alpha", "beta", "alpha$$$", "beta!!", "gamma!!"} & {x for kept in asked[0] for x in kept}
+    assert all((asked[0][0] + asked[0][1]).count(x) == 1 for x in ("gamma", "!!", "$$$"))
+
+
 def odd_documents(spark):
     rows = [(i, t, "x", None) for i, t in enumerate(ODD)] + [(3, "again", "x", 1), (None, "none", None, 2)]
     return spark.createDataFrame(rows, "doc_id long, text string, part string, ids int")
