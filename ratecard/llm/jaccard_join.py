@@ -28,7 +28,9 @@ threshold, down to connected components. The steps:
    rounds: first every class against the key's most central one (the one with the
    fewest rare tokens). Then, after components are known, classes that keys of
    this kind connect form clusters, and clusters of several components are
-   compared in blocks of two times ``CHUNK`` classes, by counting common tokens;
+   compared: by their sketches first, all with all in blocks, and only classes
+   that some sketch of another component leaves in a block of two times ``CHUNK``
+   classes are shipped to it with their texts, where common tokens are counted;
    no pair is written but those that join two components.
 5. *Verification* on the full shingle sets, of pairs whose sketches (parities of
    hashed cells, a bound from below on what they differ in) allow it: first each
@@ -68,8 +70,8 @@ CELLS = 1 << 20
 #: How many single tokens a heavy set must share: with another heavy set one, else what that one must.
 _HEAVY = 65_535
 _CHUNK = 512
-#: Classes in a chunk of a cluster; every two chunks meet in a task.
-CHUNK = 256
+#: Classes in a chunk of a cluster, and chunks whose sketches are compared together; every two of either meet in a task.
+CHUNK, TOGETHER = 256, 8
 
 
 def need(n: int, threshold: Fraction) -> int:
@@ -460,8 +462,58 @@ def _joined_in_cluster(key, part):
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def _cluster_links(docs: DataFrame, hot: DataFrame, ids: DataFrame, near: DataFrame, threshold: Fraction, words: int) -> DataFrame:
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of the same sets with fewer cells: neighbouring cells become one."""
+    bits = np.unpackbits(sketch.view(np.uint8), axis=1)
+    return np.packbits(bits.reshape(len(sketch), 64 * words, -1).sum(axis=2, dtype=np.uint16).astype(np.uint8) & 1, axis=1).view(np.int64)
+
+
+def _may_link(sketch: np.ndarray, n: np.ndarray, component: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Which two sets of different components are not too far apart by their sizes and sketches."""
+    up, down = threshold.numerator + threshold.denominator, threshold.denominator - threshold.numerator
+    out = np.zeros((len(n), len(n)), bool)
+    step = max(1, (1 << 21) // max(1, sketch.size))
+    sketch = sketch.view(np.uint64)  # of signed words the bits of the absolute value would be counted
+    for a in range(0, len(n), step):
+        i = slice(a, a + step)
+        ok = (component[i, None] != component[None, :]) & _allowed(n[i, None], n[None, :], threshold)
+        apart = np.bitwise_count(sketch[i, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+        out[i] = ok & (apart * up <= (n[i, None] + n[None, :]) * down)
+    return out
+
+
+def _near_in_cluster(key, part):
+    """(a, b, id): who has to meet in which two chunks, of all in two groups of chunks of a cluster."""
+    import pandas as pd
+
+    threshold = Fraction(int(part["num"].iloc[0]), int(part["den"].iloc[0]))
+    ids, chunk, component, n = (part[c].to_numpy() for c in ("id", "chunk", "component", "n"))
+    may = _may_link(np.stack(part["sketch"].to_numpy()), n, component, threshold)
+    if key[1] != key[2]:
+        group = chunk // TOGETHER
+        may &= group[:, None] != group[None, :]
+    wide = part["wide"].to_numpy()
+    large = np.flatnonzero([w is not None for w in wide])
+    words = np.array([len(wide[x]) for x in large], np.int64)
+    for size in np.unique(words):  # of two sets of more than 1024 tokens, cells of the smaller one
+        at = large[words >= size]
+        cells = np.concatenate([_folded(wide[x][None, :], int(size)) for x in at])
+        pairs = np.ix_(at, at)
+        smaller = np.minimum(words[words >= size][:, None], words[words >= size][None, :]) == size
+        may[pairs] &= ~smaller | _may_link(cells, n[at], component[at], threshold)
+    i, j = np.nonzero(may)
+    rows = np.unique(np.stack([np.minimum(chunk[i], chunk[j]), np.maximum(chunk[i], chunk[j]), i], 1), axis=0)
+    return pd.DataFrame({"cluster": np.full(len(rows), key[0], np.int64), "a": rows[:, 0], "b": rows[:, 1], "id": ids[rows[:, 2]]})
+
+
+def _meetings(chunk: str, chunks: str):
+    """Every chunk with each, itself included, the lower one first."""
+    return F.transform(F.sequence(F.lit(0), F.col(chunks) - 1), lambda c: F.struct(F.least(chunk, c).alias("a"), F.greatest(chunk, c).alias("b")))
+
+
+def _cluster_links(docs: DataFrame, hot: DataFrame, classes: DataFrame, near: DataFrame, threshold: Fraction, words: int) -> DataFrame:
     """(u, v): links that join components of classes under keys too large to pair."""
+    ids = classes.select("sig1", "class_id")
     named = hot.select(F.col("a").alias("sig1"), F.col("first").alias("sig2")).distinct().join(ids, "sig1").join(ids.toDF("sig2", "first_id"), "sig2")
     edges = named.select(F.col("class_id").alias("u"), F.col("first_id").alias("v"))
     cluster = connected_components(edges).toDF("id", "cluster")
@@ -469,11 +521,17 @@ def _cluster_links(docs: DataFrame, hot: DataFrame, ids: DataFrame, near: DataFr
     mixed = member.groupBy("cluster").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     member = member.join(mixed.select("cluster", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "cluster")
     member = saved(member.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")), "members")
-    texts = _texts_of(docs, member.select("id").distinct())
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("a"), F.greatest("chunk", c).alias("b")))
-    dealt = member.join(texts, "id").select("cluster", F.explode(meets).alias("meet"), "chunk", "id", "component", "text")
     fixed = [F.lit(x).alias(c) for c, x in (("num", threshold.numerator), ("den", threshold.denominator), ("words", words))]
-    return dealt.select("cluster", "meet.a", "meet.b", "chunk", "id", "component", "text", *fixed).groupBy("cluster", "a", "b").applyInPandas(_joined_in_cluster, "u bigint, v bigint")
+    grouped = member.withColumns({"group": F.floor(F.col("chunk") / TOGETHER).cast("int"), "groups": F.ceil(F.col("chunks") / TOGETHER).cast("int")})
+    sketched = grouped.join(classes.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "wide"), "id")
+    sketched = sketched.select("cluster", F.explode(_meetings("group", "groups")).alias("meet"), "chunk", "id", "component", "n", "sketch", "wide")
+    close = sketched.select("cluster", "meet.a", "meet.b", "chunk", "id", "component", "n", "sketch", "wide", *fixed).groupBy("cluster", "a", "b").applyInPandas(_near_in_cluster, "cluster bigint, a int, b int, id bigint")
+    close = saved(close, "close")
+    texts = saved(_texts_of(docs, close.select("id").distinct()), "texts")
+    dealt = close.join(member.select("cluster", "id", "chunk", "component"), ["cluster", "id"]).join(texts, "id")
+    out = saved(dealt.select("cluster", "a", "b", "chunk", "id", "component", "text", *fixed).groupBy("cluster", "a", "b").applyInPandas(_joined_in_cluster, "u bigint, v bigint"), "links")
+    forget(member, close, texts)
+    return out
 
 
 def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: int = 5, group: int = 32, most_frequent: int = 1 << 20) -> DataFrame:
@@ -504,12 +562,11 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: i
     alone = singles.where("key is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where("shared >= needed").select("a", "b")
     pairs = alone.unionByName(paired).unionByName(hot.where("a <> first").select(F.least("a", "first").alias("a"), F.greatest("a", "first").alias("b"))).distinct()
 
-    ids = classes.select("sig1", "class_id")
     first = saved(_named(pairs, classes, threshold), "candidates")
     forget(singles, index, sizes)
     edges = _links(docs, first, threshold, words)
     if not hot.isEmpty():
-        edges = edges.unionByName(saved(_cluster_links(docs, hot, ids, connected_components(edges), threshold, words), "links"))
+        edges = edges.unionByName(_cluster_links(docs, hot, classes, connected_components(edges), threshold, words))
     forget(hot, first)
     labels = connected_components(edges)
     out = prints.drop("sketch", "wide").join(classes.drop("sketch", "wide"), ["n_shingles", "sig1", "sig2"], "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")

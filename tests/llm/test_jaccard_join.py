@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from ratecard.llm import jaccard_join as jaccard_module
 from ratecard.llm.common import table
 from ratecard.llm.components import connected_components
 from ratecard.llm.jaccard_join import REACH, jaccard_join, op4_ngram_jaccard_join, reach_needed
@@ -101,6 +102,31 @@ def test_against_brute_force(spark, hard, group, most):
     same(jaccard_join(docs, group=group, most_frequent=most), hard)
 
 
+def test_clusters_ship_only_what_sketches_leave(spark, monkeypatch):
+    """Texts that share passages, so that keys of many classes connect them, but that are far apart: none is shipped, few links are lost."""
+    rng = random.Random(8)
+    shared = ["p%d" % i for i in range(166)]
+    rows = [(i, " ".join(shared + ["u%d_%d" % (i, k) for k in range(38)])) for i in range(300)]
+    large = ["q%d" % i for i in range(1500)]
+    rows += [(1000 + i, " ".join(mutated(rng, large, s).split() + ["v%d" % i])) for i, s in enumerate((0, 0.02, 0.02, 0.06, 0.01))]
+    wanted, find = [], jaccard_module._texts_of
+
+    def texts_of(docs, ids):
+        wanted.append({r.id for r in ids.select("id").collect()})
+        return find(docs, ids)
+
+    monkeypatch.setattr(jaccard_module, "_texts_of", texts_of)
+    same(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), group=4), rows)
+    assert len(wanted) == 3 and not any(i < 300 for i in wanted[2])
+
+
+@pytest.mark.parametrize("bits", [12, 14, 16])
+def test_folded_sketches(bits):
+    tokens = np.unique(np.random.default_rng(bits).integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2))
+    fine, coarse = jaccard_module._sketch(tokens, bits), jaccard_module._sketch(tokens, 10)
+    assert jaccard_module._folded(fine[None, :], 16).tolist() == [coarse.tolist()]
+
+
 def test_documents(spark):
     same(op4_ngram_jaccard_join(spark, SF), [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()])
 
