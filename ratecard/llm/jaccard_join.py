@@ -188,7 +188,7 @@ def frequent_tokens(docs: DataFrame, group: int, most: int, words: int = 5, tota
             for s in shingle_sets(texts, words):
                 held.append(_short(s))
                 size += len(s)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -286,7 +286,7 @@ def _postings(docs: DataFrame, shipped, threshold: Fraction, words: int, buckets
                     keys, k = single_keys(s, shipped.value, threshold)
                     held.append((keys, sig, len(s), k))
                     size += len(keys)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 held, seen, size = [], set(), 0
         if size:
@@ -299,9 +299,19 @@ def _allowed(n: np.ndarray, m: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.minimum(n, m) * np.int64(threshold.denominator) >= np.maximum(n, m) * np.int64(threshold.numerator)
 
 
+def _runs(pairs: np.ndarray, first: np.ndarray, rows: int, most: int = 1 << 20) -> list[slice]:
+    """Rows of consecutive keys, by the pairs that each key gives and its first row: about ``most`` pairs a run."""
+    of = np.cumsum(pairs) // most
+    cuts = [0, *first[1:][of[1:] != of[:-1]].tolist(), rows]
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def _pairs_of_keys(packed: DataFrame, group: int, threshold: Fraction, buckets: int) -> DataFrame:
     """(a, b, key, shared, needed): pairs of classes (a < b, key null) with the tokens
-    that they share in a bucket, or memberships (a, size b, key) of keys too large to pair."""
+    that they share in a run of keys of a bucket, or memberships (a, size b, key) of keys too large to pair."""
+
+    def batch(a, b, key, shared, needed) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else pa.nulls(x, pa.int64()) for x in (a, b, key, shared, needed)], names=["a", "b", "key", "shared", "needed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _buckets(batches, 4):
@@ -312,32 +322,31 @@ def _pairs_of_keys(packed: DataFrame, group: int, threshold: Fraction, buckets:
             keys, ids, n, k = keys[new], ids[new], n[new], k[new]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.concatenate([first, [len(keys)]]))
-            found = [np.zeros((2, 0), np.int64)]
-            place = np.arange(len(keys)) - np.repeat(first, size)
-            left = np.repeat(size, size) - 1 - place  # rows of the key after this one
             hot = np.repeat(size, size) > group
-            left[hot] = 0
-            for d in range(1, int(left.max(initial=0)) + 1):
-                i = np.flatnonzero(left >= d)
-                i = i[_allowed(n[i], n[i + d], threshold)]
-                found.append(np.stack([i, i + d]))
-            i, j = np.concatenate(found, axis=1)
-            order = np.lexsort((ids[j], ids[i]))
-            i, j = i[order], j[order]
-            new = np.flatnonzero(np.concatenate([[True], (ids[i][1:] != ids[i][:-1]) | (ids[j][1:] != ids[j][:-1])])) if len(i) else i
-            shared, i, j = np.diff(np.concatenate([new, [len(i)]])), i[new], j[new]
-            needed = np.where((k[i] == _HEAVY) & (k[j] == _HEAVY), 1, np.minimum(k[i], k[j]))
-            none = pa.nulls(int(hot.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([ids[i], ids[hot]])),
-                    pa.array(np.concatenate([ids[j], n[hot]])),
-                    pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(keys[hot].view(np.int64))]),
-                    pa.concat_arrays([pa.array(shared.astype(np.int64)), none]),
-                    pa.concat_arrays([pa.array(needed), none]),
-                ],
-                names=["a", "b", "key", "shared", "needed"],
-            )
+            if hot.any():
+                yield batch(ids[hot], n[hot], keys[hot].view(np.int64), int(hot.sum()), int(hot.sum()))
+            for at in _runs(np.where(size > group, 0, size * (size - 1) // 2), first, len(keys)):
+                i, j, shared, needed = paired(keys[at], ids[at], n[at], k[at], hot[at])
+                if len(i):
+                    yield batch(ids[at][i], ids[at][j], len(i), shared, needed)
+
+    def paired(keys, ids, n, k, hot) -> tuple[np.ndarray, ...]:
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.concatenate([first, [len(keys)]]))
+        found = [np.zeros((2, 0), np.int64)]
+        place = np.arange(len(keys)) - np.repeat(first, size)
+        left = np.repeat(size, size) - 1 - place  # rows of the key after this one
+        left[hot] = 0
+        for d in range(1, int(left.max(initial=0)) + 1):
+            i = np.flatnonzero(left >= d)
+            i = i[_allowed(n[i], n[i + d], threshold)]
+            found.append(np.stack([i, i + d]))
+        i, j = np.concatenate(found, axis=1)
+        order = np.lexsort((ids[j], ids[i]))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.concatenate([[True], (ids[i][1:] != ids[i][:-1]) | (ids[j][1:] != ids[j][:-1])])) if len(i) else i
+        shared, i, j = np.diff(np.concatenate([new, [len(i)]])), i[new], j[new]
+        return i, j, shared.astype(np.int64), np.where((k[i] == _HEAVY) & (k[j] == _HEAVY), 1, np.minimum(k[i], k[j]))
 
     return _by_bucket(packed, buckets).mapInArrow(run, "a bigint, b bigint, key bigint, shared bigint, needed bigint")
 

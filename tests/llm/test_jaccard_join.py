@@ -120,6 +120,16 @@ def test_clusters_ship_only_what_sketches_leave(spark, monkeypatch):
     assert len(wanted) == 3 and not any(i < 300 for i in wanted[2])
 
 
+def test_pairs_of_a_bucket_in_runs():
+    """A bucket whose keys give 2.4 million pairs is paired in runs that each give about a million at most."""
+    size = np.full(5000, 32)
+    first = np.cumsum(size) - size
+    pairs = size * (size - 1) // 2
+    runs = jaccard_module._runs(pairs, first, int(size.sum()))
+    assert [r.start for r in runs[1:]] == [r.stop for r in runs[:-1]] and (runs[0].start, runs[-1].stop) == (0, size.sum())
+    assert len(runs) == 3 and max(pairs[(first >= r.start) & (first < r.stop)].sum() for r in runs) <= (1 << 20) + 496
+
+
 @pytest.mark.parametrize("bits", [12, 14, 16])
 def test_folded_sketches(bits):
     tokens = np.unique(np.random.default_rng(bits).integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2))
