@@ -11,9 +11,12 @@ for as a word and a run of signs.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 
@@ -36,6 +39,8 @@ _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not i
 ID = np.dtype("<u4")
 #: Texts that are encoded at a time: their new stretches are asked for together.
 TOGETHER = 384
+#: New words that the library gets in one text.
+_LINE = 64
 
 
 def default_vocabulary() -> str:
@@ -54,16 +59,6 @@ def usual(text: str) -> tuple[bool, bool]:
     return not data.translate(None, _USUAL_BYTES), b".." in signs or b"!." in signs
 
 
-class _Memory(dict):
-    """Stretch -> its ids; one that is not there is noted in ``asked`` and gets empty bytes, to be filled in later."""
-
-    asked: dict[str, bytearray]
-
-    def __missing__(self, stretch: str) -> bytearray:
-        self[stretch] = self.asked[stretch] = empty = bytearray()
-        return empty
-
-
 class WordEncoder:
     """Stretch of non-space -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -71,7 +66,7 @@ class WordEncoder:
     longer than ``longest``; forgetting changes no result.
     """
 
-    def __init__(self, path: str, most: int = 180_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -80,7 +75,7 @@ class WordEncoder:
         self.bare = Tokenizer(self.library.model)  # shared, not loaded again
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.most, self.longest = most, longest
-        self.young, self.old = _Memory(), _Memory()
+        self.young, self.old = defaultdict(bytearray), defaultdict(bytearray)
         self.gap = self._ids(_SEPARATOR)
         if len(self.gap) != 1:
             raise ValueError(f"{path}: the separator is not one token")
@@ -96,11 +91,9 @@ class WordEncoder:
 
     def _cut(self, stretches: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> dict[str, bytes]:
         """Each stretch with its ids, which stop at ``ends`` and are ``gap`` apart."""
-        data, start, out = ids.tobytes(), 0, {}
-        for stretch, end in zip(stretches, ends.tolist(), strict=True):
-            out[stretch] = data[4 * start : 4 * end]
-            start = end + gap
-        return out
+        data, stops = ids.tobytes(), (4 * ends).tolist()
+        starts = [0, *(4 * (ends[:-1] + gap)).tolist()]
+        return {stretch: data[start:stop] for stretch, start, stop in zip(stretches, starts, stops, strict=True)}
 
     def _learn(self, words: list[str], others: list[str]) -> dict[str, bytes]:
         """Ask the library: once for words, which are one pre-token each and end
@@ -109,9 +102,10 @@ class WordEncoder:
         if words:
             plain = [w for w in words if w.isascii()]
             words = plain + [w for w in words if not w.isascii()]
-            other = " ".join(words[len(plain) :])
-            text = " ".join(plain) + (" " + other.encode().decode("latin-1").translate(_BYTE_LEVEL) if other else "")
-            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
+            lines = [" ".join(plain[i : i + _LINE]) for i in range(0, len(plain), _LINE)]
+            if len(words) > len(plain):
+                lines.append(" ".join(words[len(plain) :]).encode().decode("latin-1").translate(_BYTE_LEVEL))
+            ids = np.array(list(chain.from_iterable(x.ids for x in self.bare.encode_batch_fast(lines, add_special_tokens=False))), ID)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(words):
                 out = self._cut(words, ids, ends, 0)
@@ -124,69 +118,72 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null is empty."""
+        collects = gc.isenabled()
+        gc.disable()  # the lists of stretches hold no cycles, and a collection would visit each stretch
         try:
             return self._encode_many(texts)
         except BaseException:
-            self.young = _Memory()  # what is not filled in must not be found again
+            self.young = defaultdict(bytearray)  # what is not filled in must not be found again
             raise
+        finally:
+            if collects:
+                gc.enable()
 
     def _encode_many(self, texts: list[str | None]) -> list[bytes]:
-        jobs: list[bytes | list[bytes | bytearray]] = []
+        out: list[bytes] = [b""] * len(texts)
+        jobs: list[tuple[int, list[bytes | bytearray]]] = []
+        odd: list[tuple[int, str]] = []
         young, old = self.young, self.old
-        plain: dict[str, bytearray] = {}  # new stretches of usual texts
-        odd: dict[str, bytearray] = {}
-        for text in texts:
+        known, find = len(young), young.__getitem__  # what is not there gets empty bytes, to be filled in below
+        for i, text in enumerate(texts):
             if not text:
-                jobs.append(b"")
                 continue
             common, run = usual(text)
             if common:
                 text = text.lower()
                 if not run:
                     text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+                jobs.append((i, list(map(find, text.split()))))
             elif _ODD.search(text):
-                jobs.append(self._ids(text).tobytes())
-                continue
-            young.asked = plain if common else odd
-            jobs.append(list(map(young.__getitem__, text.split())))
-        fresh: dict[str, bytes] = {}
-        words, others = [], []
-        tailed: list[tuple[str, str, str]] = []  # a stretch, its letters and its signs
-        for w in plain:
-            if w in old:
-                fresh[w] = old[w]
-            elif w.isalpha():
+                out[i] = self._ids(text).tobytes()
+            else:
+                odd.append((i, text))
+        plain = len(young) - known  # new stretches of usual texts
+        jobs += [(i, list(map(find, text.split()))) for i, text in odd]
+        new = list(islice(reversed(young), len(young) - known))[::-1]  # a dictionary's last keys are its newest
+        fresh = {w: old[w] for w in new if w in old}
+        words, others, tailed = [], [], []  # tailed: a stretch, its letters and its signs
+        for w in filterfalse(fresh.__contains__, new[:plain]):
+            if w.isalpha():
                 words.append(w)
             elif (head := w.rstrip(_TAIL)).isalpha():
                 tailed.append((w, head, w[len(head) :]))
             else:
                 others.append(w)
-        for w in odd:
-            if w in old:
-                fresh[w] = old[w]
-            else:
-                others.append(w)
+        others += filterfalse(fresh.__contains__, new[plain:])
+        empty = [young[w] for w in new]
         for i, kept in ((1, words), (2, others)):
             for x in {t[i] for t in tailed}:
-                if x not in plain and x not in odd:  # those are in hand already
-                    if x in young or x in old:
-                        fresh[x] = young[x] if x in young else old[x]
-                    else:
-                        kept.append(x)
+                if x in young:
+                    if young[x]:  # else it is in hand already
+                        fresh[x] = young[x]
+                elif x in old:
+                    fresh[x] = old[x]
+                else:
+                    kept.append(x)
         if words or others:
             fresh |= self._learn(words, others)
         for w, head, tail in tailed:
             fresh[w] = fresh[head] + fresh[tail]
-        for asked in (plain, odd):
-            for w, empty in asked.items():
-                empty[:] = fresh[w]
-        out = [job if job.__class__ is bytes else b"".join(job) for job in jobs]
+        for w, ids in zip(new, empty):
+            ids[:] = fresh[w]
+        for i, job in jobs:
+            out[i] = b"".join(job)
         young.update(fresh)
-        for w in fresh:
-            if len(w) > self.longest:
-                del young[w]
+        for w in [w for w in fresh if len(w) > self.longest]:
+            del young[w]
         if len(young) > self.most:
-            self.old, self.young = young, _Memory()
+            self.old, self.young = young, defaultdict(bytearray)
         return out
 
     def encode(self, text: str | None) -> bytes:

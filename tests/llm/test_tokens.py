@@ -1,3 +1,4 @@
+import gc
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -147,3 +148,17 @@ def test_packing_empty_and_steps(spark):
             cost[s] += sum(p[2] ** 2 for p in parts)
     assert max(size.values()) <= 1 << 15
     assert max(cost.values()) < 1.6 * sorted(cost.values())[len(cost) // 2]
+
+
+def test_collections_pause_while_texts_are_encoded_and_far_words_are_remembered(monkeypatch):
+    """A word that 370,000 others came after is not asked for again; no garbage is collected meanwhile."""
+    encoder, asked = WordEncoder(default_vocabulary()), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words, others: asked.append((len(words), gc.isenabled())) or learn(words, others))
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[i // 20**k % 20] for k in range(5)) for i in range(370_000)]
+    first = encoder.encode("zymurgy")
+    for at in range(0, len(words), 10_000):
+        encoder.encode(" ".join(words[at : at + 10_000]))
+    assert encoder.encode("zymurgy") == first and sum(n for n, _ in asked) == 370_001
+    assert not any(on for _, on in asked) and gc.isenabled()
