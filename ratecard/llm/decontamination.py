@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import release
 
 RATE = 0.1
 LEAST_CHARS = 24
@@ -229,6 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, lea
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            release()
             matcher = Matcher(shipped.value, rate, least_chars)
             for batch in batches:
                 clean = [not matcher.search(normal(text.as_py())) for text in batch.column("text")]

@@ -60,6 +60,7 @@ from pyspark.sql import functions as F
 from .common import forget, saved, table, task_partitions
 from .components import connected_components
 from .shingles import mix, shingle_sets
+from .tokens import release
 
 #: Reach of token combinations; see ``reach_needed``.
 REACH = 8
@@ -96,6 +97,7 @@ def reach_needed(n: int, threshold: Fraction) -> float:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, _CHUNK):
             piece = batch.slice(at, _CHUNK)
@@ -140,6 +142,7 @@ def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
 
 def _buckets(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list[bytes]]]:
     """The columns of each bucket of a partition of ``_by_bucket``."""
+    release()
     now, held = None, []
     for batch in batches:
         for bucket, *rest in zip(*(batch.column(i).to_pylist() for i in range(columns + 1))):

@@ -11,14 +11,17 @@ for as a word and a run of signs.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
+import sys
 from collections import defaultdict
 from functools import lru_cache
 from itertools import chain, filterfalse, islice
 
 import numpy as np
+import pyarrow as pa
 
 #: White space for Python's split but not for the library, and the separator.
 _ODD = re.compile("[\x01\x1c-\x1f]")
@@ -194,3 +197,12 @@ class WordEncoder:
 def shared_encoder(path: str) -> WordEncoder:
     """The encoder of this worker process, which keeps its memory from task to task."""
     return WordEncoder(path)
+
+
+def release() -> None:
+    """For tasks that encode nothing: the encoders that earlier tasks left in this worker
+    process go, and what is free of its memory goes back to the system."""
+    shared_encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, saved, table
+from .tokens import release
 
 PREFIXES = (4, 5, 6, 7, 9)
 THRESHOLD = 0.3
@@ -216,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_tokens: i
         return model
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
@@ -329,6 +331,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     span = pa.struct([("first_token", pa.int32()), ("last_token", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shipped.value
         for batch in batches:
             rows = []
@@ -348,6 +351,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shipped.value
         for batch in batches:
             yield batch.filter(pa.array([m.probability(*m.scan(text.as_py())) < threshold for text in batch.column("text")], pa.bool_()))

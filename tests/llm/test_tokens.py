@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ratecard.llm.common import scratch_path, table
+from ratecard.llm.jaccard_join import _buckets, _chunks
 from ratecard.llm.packing import pack_documents, pack_lengths, step_groups
 from ratecard.llm.token_output import op6_token_output, read_tokens, token_digest, write_tokens
 from ratecard.llm.tokens import WordEncoder, default_vocabulary, shared_encoder
@@ -162,3 +163,10 @@ def test_collections_pause_while_texts_are_encoded_and_far_words_are_remembered(
         encoder.encode(" ".join(words[at : at + 10_000]))
     assert encoder.encode("zymurgy") == first and sum(n for n, _ in asked) == 370_001
     assert not any(on for _, on in asked) and gc.isenabled()
+
+
+def test_tasks_that_encode_nothing_let_encoders_go():
+    for own in (_chunks(iter([])), _buckets(iter([]), 4)):
+        shared_encoder(default_vocabulary())
+        assert shared_encoder.cache_info().currsize and not list(own)
+        assert shared_encoder.cache_info().currsize == 0
