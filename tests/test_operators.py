@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratecard.operators import estimate, facets, grounding, ingest, plausibility, pricing, query_parse, ranking, reports, retrieval
+from ratecard.plans import catalogue
 from ratecard.plans.offers import candidates, landed
 from ratecard.sources import listings, sinks
 from ratecard.streaming import events as streams
@@ -364,3 +366,13 @@ def test_search(spark):
     assert search(rows, "cement brand#1", attributes, brands=["Brand#1"]).constraints == {"brand": "brand#1"}
     assert search(rows, "nothing such", attributes).weak_match
     rows.unpersist()
+
+
+def test_scores_are_rounded_once(spark):
+    """600,499.4998 millionths are 600,499, though they are 600,499.5 to the billionth."""
+    alone = 0.5 * 0.16 + 0.16 + 0.1 + 3.9 / 5 * 0.1 + 0.3 * 0.07 + math.exp(-2 / 7) * 0.06 + 0.04
+    parts = (600_499.4998, 600_499.4996, 600_500.0002, 612_345.4999, 612_346.0)
+    rows = [(i, (x / 1e6 - alone) / 0.31, 1000, "in_stock", 2, 0.0, 24, "FRESH", 1) for i, x in enumerate(parts)]
+    scored = ranking.score(spark.createDataFrame(rows, "g int, relevance double, landed_minor long, stock_state string, lead_days int, age_hours double, sla_hours int, freshness string, moq int"), "g")
+    got = {r.g: (r.score_e6, r.score_e3) for r in catalogue._published(scored).collect()}
+    assert got == {0: (600_499, 600), 1: (600_499, 600), 2: (600_500, 601), 3: (612_345, 612), 4: (612_346, 612)}
