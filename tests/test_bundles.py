@@ -114,3 +114,22 @@ def test_rules_of_words():
     assert whole("a b, c") == " (?:a\\ b|c) "
     assert re.search(followed("a, b", 1, "cd"), " x b y cde ") and not re.search(followed("a, b", 1, "cd"), " b x y cde ")
     assert re.search(chain(("a", 0), ("b", 1)) + " c", " a b x c ") and not re.search(followed("a", 3, "c", go_on=False), " a cd ")
+
+
+def test_nearest_forms_compare_few(monkeypatch):
+    """The forms of a scan over all, though a word that is near to none is compared with hardly any."""
+    import random
+
+    from ratecard.operators import query_parse
+
+    rng, forms, brands = random.Random(4), tuple(query_parse.FORMS), ("shree", "bangur rockstrong", "cementa")
+    edited = ["".join(c for c in f for c in (c, rng.choice(("", "", c, "x"))) if rng.random() > 0.1) for f in (*forms, *brands) for _ in range(3)]
+    scan = lambda w, own: min(((d, i) for i, f in enumerate(own) if (d := query_parse.within_edits(w, f))), default=(0, None))[1]
+    nearest = query_parse._nearest(forms, brands)
+    for w in edited:
+        at, other = scan(w, forms), scan(w, brands)
+        assert nearest(w) == (forms[at] if at is not None else brands[other] if other is not None else None), w
+    asked = []
+    monkeypatch.setattr(query_parse, "within_edits", lambda a, b: asked.append(a))
+    query_parse.parse(" ".join("qu%dzwy" % i for i in range(100, 400)), ("UltraTech",))
+    assert len(asked) < 300
