@@ -27,7 +27,7 @@ def bulk_blocked_lines(spark, sf_dir):
   case line_status when 'F' then 4 else 1 end desc, case when size % 4 > 0 then size % 5 + 1 else 0 end desc, offer_key) as rank_pos from r) where rank_pos <= 24""", _FRESH + _SCORE))
 def published_order(spark, sf_dir):
     """The first offers of each category and region by all six keys; statuses and sizes stand in for certificates and ratings."""
-    rows = _scored(spark, sf_dir).withColumns({"score_e9": F.round(F.col("score_e6") / 1000).cast("bigint"), "cert_tier": F.when(F.col("line_status") == "F", 4).otherwise(1), "rating_e9": F.when(F.col("size") % 4 > 0, F.col("size") % 5 + 1).otherwise(0)})
+    rows = _scored(spark, sf_dir, "offer_key", "fetched_at", "line_status", "size").withColumns({"score_e9": F.col("score_e3"), "cert_tier": F.when(F.col("line_status") == "F", 4).otherwise(1), "rating_e9": F.when(F.col("size") % 4 > 0, F.col("size") % 5 + 1).otherwise(0)})
     place = F.row_number().over(Window.partitionBy("category", "region").orderBy(*ranking.published_order()))  # a top-k: cut before the shuffle
     return rows.withColumn("rank_pos", place).where("rank_pos <= 24").select("category", "region", "rank_pos", "offer_key")
 

@@ -33,3 +33,13 @@ def test_no_window_over_a_whole_group(spark):
         for line in plan.splitlines():
             if "Window [" in line and "row_number" in line or "lag(" in line:
                 assert "_band" in line or "_block" in line, (name, line[:200])
+
+
+def test_offers_are_read_and_shuffled_once_for_ranks(spark):
+    """The sizes of bands come from the rows' own exchange; an exchange that is used again shows no scan below it."""
+    for name, exchanges in (("rank_score", 1), ("group_by_product", 2)):
+        df = QUERIES[name](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+        assert plan.count("lineitem.parquet") == 1, name
+        assert plan.count("ReusedExchange") >= exchanges, name
