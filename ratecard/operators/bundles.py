@@ -92,6 +92,18 @@ def contradicts(url: Column, brand: Column, kind: Column, heads: list[str], kind
     return F.coalesce(wrong_brand, F.lit(False)) | F.coalesce(wrong_kind, F.lit(False))
 
 
+def pair_contradictions(offers: DataFrame, pictures: DataFrame, heads: list[str]) -> DataFrame:
+    """(brand, n, wrong): pairs of an offer (product_id, brand) and a picture (product_id, url) of its product, and those that contradict.
+
+    Both sides are counted by product first: pairs are products of counts, and an address is judged once for a product, not once for each offer.
+    """
+    own = offers.groupBy("product_id", "brand").agg(F.count("*").alias("_offers"))
+    shown = pictures.groupBy("product_id", "url").agg(F.count("*").alias("_shown"))
+    pairs = F.col("_offers") * F.col("_shown")
+    wrong = contradicts(F.col("url"), F.col("brand"), F.lit(None).cast("string"), heads)
+    return own.join(shown, "product_id").groupBy("brand").agg(F.sum(pairs).cast("bigint").alias("n"), F.sum(F.when(wrong, pairs).otherwise(0)).cast("bigint").alias("wrong"))
+
+
 def card_pictures(offers: DataFrame, pictures: DataFrame, n: int = CARD_PICTURES) -> DataFrame:
     """(offer_key, pictures): an offer's own pictures first, then its product's, by rank and width; no address twice.
 
@@ -103,7 +115,8 @@ def card_pictures(offers: DataFrame, pictures: DataFrame, n: int = CARD_PICTURES
     one = pictures.groupBy("product_id", "url").agg(F.min("rank").alias("rank"), F.max("width").alias("width"))
     pool = one.withColumn("place", F.row_number().over(Window.partitionBy("product_id").orderBy(*order))).where(F.col("place") <= 2 * n)
     pool = pool.groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url).alias("pool"))
-    mine = pictures.groupBy("offer_key", "url").agg(F.min("rank").alias("rank"), F.max("width").alias("width"))
+    # all steps by offer follow one exchange
+    mine = pictures.repartition("offer_key").groupBy("offer_key", "url").agg(F.min("rank").alias("rank"), F.max("width").alias("width"))
     mine = mine.withColumn("place", F.row_number().over(Window.partitionBy("offer_key").orderBy(*order))).where(F.col("place") <= n)
     mine = mine.groupBy("offer_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url).alias("mine"))
     none = F.array().cast("array<string>")

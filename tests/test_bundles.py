@@ -133,3 +133,20 @@ def test_nearest_forms_compare_few(monkeypatch):
     monkeypatch.setattr(query_parse, "within_edits", lambda a, b: asked.append(a))
     query_parse.parse(" ".join("qu%dzwy" % i for i in range(100, 400)), ("UltraTech",))
     assert len(asked) < 300
+
+
+def test_contradicting_pairs_are_counted_not_paired(spark):
+    from tests.compare import difference
+
+    pictures = spark.createDataFrame([(p, u) for p, u in ((1, "x/brand-a.jpg"), (1, "x/brand-b.jpg"), (2, "x/brand-b.jpg")) for _ in range(300)], "product_id int, url string")
+    offers = spark.createDataFrame([(p, b) for p, b in ((1, "brand-a"), (1, None), (2, "brand-a"), (3, "brand-a")) for _ in range(200)], "product_id int, brand string")
+    df = bundles.pair_contradictions(offers, pictures, ["brand-a", "brand-b"])
+    assert {tuple(r) for r in df.collect()} == {("brand-a", 180_000, 120_000), (None, 120_000, 0)}
+    joined = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].splitlines() if "Aggregate" in line]
+    assert len(joined) == 2  # both sides are counted below the join
+    assert not difference(spark, SF, plans.picture_contradictions, catalogue.ORACLES["picture_contradictions"])
+
+
+def test_card_pictures_read_offers_once(spark):
+    df = plans.card_pictures(spark, SF)
+    assert "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and "lineitem" not in "".join(df.inputFiles())
