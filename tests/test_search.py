@@ -123,3 +123,14 @@ def test_column_sorts(spark, rows):
     assert column_sorts.direction("brand", True) == "Z–A" and column_sorts.direction("verified", False) == "oldest first"
     with pytest.raises(ValueError):
         column_sorts.column_sort("colour", False, texts.columns)
+
+
+def test_sellers_are_counted_once_for_all_sets(spark, rows):
+    """Sellers are no part of what is dealt to sets: they are counted by region and product."""
+    asked = spark.createDataFrame([(0, "cement brand#1", "ASIA"), (1, "cement", "ASIA")], "query_id int, text string, region string")
+    df = search_many(rows, asked, attributes(), BRANDS)
+    want = {r.product_id: (r.s, r.n) for r in rows.groupBy("product_id").agg(F.countDistinct("vendor_id").alias("s"), F.count("*").alias("n")).collect()}
+    got = df.collect()
+    assert {r.query_id for r in got} == {0, 1} and all((r.n_sellers, r.n_offers) == want[r.product_id] for r in got)
+    dealt = df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [set")[1].split("Project [")[1].splitlines()[0]
+    assert "landed_minor#" in dealt and "vendor_id#" not in dealt
